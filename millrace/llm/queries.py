@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 
 
+def fold(folds: int, held_out: int) -> "F.Column":
+    """Whether crc32 of the doc_id as text leaves the held-out remainder."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % folds == held_out, F.lit(False))
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, folds=4, held_out=2, sample_docs=3000)
+    got = identify(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.mixing import mix
 
@@ -14,6 +29,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality import judge
+
+    got = judge(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,5 +50,41 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=8).drop("source", "fraction")
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op7_packing": op7_packing, "op8_sharding": op8_sharding}
-ORACLE_SQL: dict[str, str] = {}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.linedup import dedup_lines
+
+    got = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op1_langid": op1_langid,
+    "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
+    "op7_packing": op7_packing,
+    "op8_sharding": op8_sharding,
+    "op9_topk": op9_topk,
+    "op10_linededup": op10_linededup,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5""",
+}
