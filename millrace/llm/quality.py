@@ -1,7 +1,7 @@
 """Quality rules by weak supervision.
 
 Every rule votes for a document (1), against it (-1) or abstains (0). The
-votes of all documents are summed into counts by pattern (at most 3 to the
+votes of all documents that pass the base rule are summed into counts by pattern (at most 3 to the
 number of rules), expectation-maximisation over these counts estimates how
 accurate each rule's votes are and the share of good documents, and a document is kept if its
 posterior of being good is at least one half and it does not fail the base rule.
@@ -21,7 +21,6 @@ from millrace.llm.common import GAP, stored
 #: Rule: (vote for, vote against) as SQL conditions over the feature columns.
 #: Most rules know junk only, and abstain where they see none.
 RULES = {
-    "length": ("n_words >= 80", "n_words < 50"),
     "word_length": ("word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
     "symbols": ("false", "n_symbols * 5 > n_words"),
     "symbol_words": ("false", "n_symbol_words * 5 > n_words"),
@@ -89,13 +88,13 @@ def features(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, *, rules: dict[str, tuple[str, str]] = RULES, steps: int = 25) -> DataFrame:
     """doc_id, the features, base_failed, each rule's vote, posterior, kept."""
     votes = F.array(*(F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END") for good, bad in rules.values()))
-    df = stored(features(docs).withColumn("votes", votes))
-    counts = df.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    df = stored(features(docs).withColumn("votes", votes).withColumn("base_failed", failed))
+    counts = df.filter("NOT base_failed").groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
     one = counts.agg(F.sort_array(F.collect_list(F.struct(F.col("votes").alias("v"), "n"))).alias("patterns"))
-    em = one.select(F.expr(EM.format(steps=steps, rules=len(rules))).alias("em")).first().em if df.limit(1).count() else None
+    em = one.select(F.expr(EM.format(steps=steps, rules=len(rules))).alias("em")).first().em if df.filter("NOT base_failed").limit(1).count() else None
     logit = F.log(F.lit(em.pi / (1 - em.pi))) if em else F.lit(0.0)
     for r, by_vote in enumerate(em.lr if em else []):
         logit = logit + F.when(F.col("votes")[r] < 0, by_vote[0]).when(F.col("votes")[r] > 0, by_vote[2]).otherwise(by_vote[1])
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    df = df.withColumn("posterior", 1 / (1 + F.exp(-logit))).withColumn("base_failed", failed)
+    df = df.withColumn("posterior", 1 / (1 + F.exp(-logit)))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
