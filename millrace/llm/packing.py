@@ -15,6 +15,7 @@ often as needed; only the very last window can be short.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,55 +28,84 @@ from pyspark.sql import functions as F
 from millrace.llm.common import stored
 
 #: Distinct words whose ids a Python worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _loaded: dict[str, "WordIds"] = {}
 
 
 class WordIds:
     """Ids of a text, word by word: the tokenizer never joins over white space,
-    so each distinct word is encoded once."""
+    so each distinct word is encoded once.
+
+    A plain word (Latin letters, then marks) is at most two pieces of the
+    tokenizer's own pattern; new pieces go to its model directly, many at a
+    time. Any other word goes through the whole tokenizer."""
+
+    PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00de]+)([.,;:!?|*#$%&]*)")
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.most = Tokenizer.from_file(path), cache_words
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[bytes, bytes] = {}
-        self.mark = next((t.content for t in self.tok.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
-        self.mark_id = self.tok.token_to_id(self.mark) if self.mark else -1
-
-    def _encode(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        odd = [i for i, t in enumerate(texts) if self.mark is None or "<|" in t]
-        for i in odd:
-            self.cache[words[i]] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        plain = [i for i in range(len(words)) if i not in set(odd)] if odd else range(len(words))
-        if not plain:
-            return
-        ids = np.array(self.tok.encode(self.mark.join(texts[i] for i in plain), add_special_tokens=False).ids, dtype=self.kind)
-        cuts = np.flatnonzero(ids == self.mark_id)
-        if len(cuts) != len(plain) - 1:
-            raise ValueError("the tokenizer lost a word mark")
-        raw, width, at = ids.tobytes(), ids.itemsize, 0
-        for i, cut in zip(plain, [*cuts.tolist(), len(ids)]):
-            self.cache[words[i]] = raw[at * width : cut * width]
-            at = cut + 1
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.Split("\n", "removed")
+        self.last = np.zeros(self.tok.get_vocab_size(), dtype=bool)  # whether an id ends a piece
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        for token, i in self.tok.get_vocab().items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c).lower())[0][0] for c in range(0xC0, 0x100)}
+        # the short way must agree with the tokenizer on a few words, else it is not taken
+        probe = ["abc", "\u00e9t\u00e9,", "\u00d1and\u00fa", "x...", "stra\u00dfe!", "w|", "thtionnd", "na\u00efve;"]
+        self.short = bool(suffix) and all(self._piecewise([self.PLAIN.fullmatch(w).groups()])[0] == self._whole(w) for w in probe)
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tok.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def _piecewise(self, split: list[tuple[str, str]]) -> list[bytes]:
+        new = list({p for two in split for p in two}.difference(self.pieces))
+        new.sort(key=str.isascii)  # most need no translation
+        if new:
+            got = self.bare.encode_batch_fast([text if (text := "\n".join(new[i : i + 2000])).isascii() else text.translate(self.letters) for i in range(0, len(new), 2000)], add_special_tokens=False)
+            for i, e in zip(range(0, len(new), 2000), got):
+                ids = np.array(e.ids, dtype=self.kind)
+                raw, cuts = ids.tobytes(), [0, *((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()]
+                if len(cuts) != len(new[i : i + 2000]) + 1:
+                    raise ValueError("a piece has no last token of its own")
+                self.pieces.update(zip(new[i : i + 2000], (raw[x:y] for x, y in zip(cuts, cuts[1:]))))
+        get = self.pieces.__getitem__
+        return [get(x) + get(y) for x, y in split]
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, split = [], []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if self.short and (m := self.PLAIN.fullmatch(t)):
+                plain.append(w)
+                split.append(m.groups())
+            else:
+                self.words[w] = self._whole(t)
+        self.words.update(zip(plain, self._piecewise(split)))
 
     def __call__(self, texts: list[str | None], end: bytes) -> list[bytes]:
         out, n = [], 0
         while n < len(texts):
             some, chars = [], 0
             while n < len(texts) and (not some or chars < 4_000_000):
-                some.append((texts[n] or "").encode("utf-8", "surrogatepass").split())
-                chars += len(texts[n] or "")
+                raw = (texts[n] or "").encode("utf-8", "surrogatepass")
+                some.append((raw if b"<|" in raw else raw.lower()).split())  # marked tokens are told by their case
+                chars += len(raw)
                 n += 1
-            if len(self.cache) > self.most:
-                self.cache.clear()
-            new = list(set().union(*some) - self.cache.keys())
+            if len(self.words) > self.most:
+                self.words.clear()
+                self.pieces = {"": b""}
+            new = list(set().union(*some).difference(self.words))
             for k in range(0, len(new), 20_000):
-                self._encode(new[k : k + 20_000])
-            get = self.cache.__getitem__
+                self._learn(new[k : k + 20_000])
+            get = self.words.__getitem__
             out += [b"".join(map(get, words)) + end for words in some]
         return out
 
