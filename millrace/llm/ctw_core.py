@@ -115,36 +115,42 @@ def weigh(code: np.ndarray, count: np.ndarray, depth: int, top: int) -> dict[int
     return out
 
 
-def slots(key: np.ndarray, depth: int, bits: int) -> np.ndarray:
-    """Table slot of node keys: the key itself where it fits, else its hash."""
+def slots(key: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Table slot and 16-bit tag of node keys: the key itself where it fits, else its hash."""
     if 8 * (depth + 1) <= bits:
-        return key.astype(np.int64)
+        return key.astype(np.int64), np.zeros(len(key), dtype=np.uint16)
     x = key * MIX
     x ^= x >> np.uint64(32)
-    return ((x * MIX) >> np.uint64(64 - bits)).astype(np.int64)
+    x *= MIX
+    return (x >> np.uint64(64 - bits)).astype(np.int64), ((x >> np.uint64(64 - bits - 16)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def size(depth: int, bits: int) -> int:
     return 1 << min(8 * (depth + 1), bits)
 
 
-def score_codes(code: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
-    """Log10 probability of the last byte of each code. tables[d]: (probability
-    of a one, 0 where unseen; own weight) by slot."""
+def quantised(n0: np.ndarray, n1: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """KT probability of a one (never 0 or 1) and own weight, in 1/65535."""
+    p = np.clip(np.rint((n1 + 0.5) / (n0 + n1 + 1.0) * 65535), 1, 65534)
+    return p.astype(np.uint16), np.rint(w * 65535).astype(np.uint16)
+
+
+def score_codes(code: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
+    """Log10 probability of the last byte of each code. tables[d], by slot: tag,
+    probability of a one (0 where empty), own weight."""
     ctx, byte = code >> np.uint64(8), code & np.uint64(255)
     total = np.zeros(len(code))
     for k in range(8):
         key = (ctx << np.uint64(8)) | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
         one = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-        p, rest, done = np.zeros(len(code)), np.ones(len(code)), np.zeros(len(code), dtype=bool)
+        p, rest, live = np.zeros(len(code)), np.ones(len(code)), np.ones(len(code), dtype=bool)
         last = np.full(len(code), 0.5)
-        for d, (p1, w) in enumerate(tables):
-            s = slots(cut(key, d), d, bits)
-            own = p1[s].astype(np.float64)
-            done |= own == 0
-            go = ~done
-            last[go] = own[go]
-            ws = np.where(go, w[s], 0.0)
+        for d, (tag, p1, w) in enumerate(tables):
+            s, t = slots(cut(key, d), d, bits)
+            own = p1[s] / 65535.0
+            live &= (own > 0) & (tag[s] == t)
+            last = np.where(live, own, last)
+            ws = np.where(live, w[s] / 65535.0, 0.0)
             p += rest * ws * own
             rest *= 1 - ws
         p += rest * last  # what is left goes to the deepest node seen

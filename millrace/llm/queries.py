@@ -22,6 +22,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op2_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"), fold(7, 2))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.mixing import mix
 
@@ -65,6 +71,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_lmscore": op2_lmscore,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op7_packing": op7_packing,
