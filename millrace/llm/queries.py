@@ -42,6 +42,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.neardup import classes
+
+    return classes(table(spark, sf_dir, "documents"), threshold=0.8, words=5)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op2_lmscore": op2_lmscore,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op5_neardup": op5_neardup,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
     "op9_topk": op9_topk,
