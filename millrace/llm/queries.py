@@ -48,6 +48,12 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), threshold=0.8, words=5)
 
 
+def op6_suffixdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.suffixdup import removed
+
+    return removed(table(spark, sf_dir, "documents"), length=200)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +87,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_neardup": op5_neardup,
+    "op6_suffixdup": op6_suffixdup,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
     "op9_topk": op9_topk,
