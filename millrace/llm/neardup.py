@@ -13,8 +13,9 @@ Bands of `rows` components make buckets (50 bands of 8: a pair of similarity
 0.8 misses all with a chance of 1e-4, one of 0.85 with 2e-7). In each bucket the
 document that shares most buckets is the hub, and every other one is verified
 against it on the exact bags. The Jaccard distance is a metric, so members whose
-distances to the hub differ by more than 1 - threshold cannot be linked; what
-that leaves between members of different components is verified pair by pair.
+distances to the hub differ by more than 1 - threshold cannot be linked; the
+others, if they are still in different components, are compared block by block,
+first by an estimate (five standard deviations of room), then on the exact bags.
 Links are joined into classes by label propagation.
 
 Equal texts are one class from the start; only one of them is hashed and
@@ -39,6 +40,8 @@ from millrace.llm.shingling import STEPS, U, jaccard, mix, shingles
 
 BANDS, ROWS, THRESHOLD = 50, 8, 0.8
 CHUNK_CHARS = 400_000
+#: Documents in a block of a hub's documents, and components of the estimates inside.
+BLOCK, SKETCH = 1000, 200
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -152,6 +155,60 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return both.mapInArrow(run, ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in "ab") + ", sim double")
 
 
+def across(held: DataFrame, near: DataFrame, label: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """Links (a, b) between components that share a hub.
+
+    Documents of a hub are dealt into blocks of bounded size, and those outside
+    the hub's component meet every block. Inside a pair of blocks, candidates come
+    in order of estimated similarity, those already joined are passed over, and
+    only links that join two components leave: no more than there are documents."""
+    far = 1 - threshold + 1e-9
+    at = held.select("hub", "rep").distinct().join(near.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("sim")).alias("d")), ["hub", "rep"], "left")
+    at = at.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("hub", "rep", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("label", "rep").alias("label"))
+    main = F.max(F.when(F.col("rep") == F.col("hub"), F.col("label"))).alias("main")
+    of = at.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), main, F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    at = stored(at.join(stored(of.select("hub", "main", "n")), "hub"))
+    sides = at.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ny"), F.ceil(F.count(F.when(F.col("label") != F.col("main"), 1)) / BLOCK).cast("int").alias("nx"))
+    at = at.join(stored(sides), "hub").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    cols = ["hub", "rep", "d", "label", "text"]
+    x = at.filter("label <> main").select(*cols, deal("nx").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"))
+    y = at.select(*cols, deal("ny").alias("j"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("i"))
+
+    def join(left, right):
+        import pandas as pd
+
+        out = []
+        if len(left) and len(right):
+            bx, by = shingles(left["text"].tolist(), words), shingles(right["text"].tolist(), words)
+            sx, sy = signatures(bx, SKETCH), signatures(by, SKETCH)
+            dx, dy, lx, ly = left.d.to_numpy(), right.d.to_numpy(), left.label.to_numpy(), right.label.to_numpy()
+            least = threshold - 5 * (threshold * (1 - threshold) / SKETCH) ** 0.5
+            found = []
+            for i in range(len(left)):
+                fit = np.flatnonzero((ly != lx[i]) & (np.abs(dy - dx[i]) <= far))
+                if len(fit):
+                    est = (sy[fit] == sx[i]).mean(1)
+                    keep = est >= least
+                    found += [(-e, i, j) for e, j in zip(est[keep].tolist(), fit[keep].tolist())]
+            up: dict = {}
+
+            def root(v):
+                while up.get(v, v) != v:
+                    v = up[v]
+                return v
+
+            for _, i, j in sorted(found):
+                a, b = root(lx[i]), root(ly[j])
+                if a != b and jaccard(bx[i], by[j]) >= threshold:
+                    up[max(a, b)] = min(a, b)
+                    out.append((left.rep[i], right.rep[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    kind = held.schema["rep"].dataType.simpleString()
+    return x.groupBy("hub", "i", "j").cogroup(y.groupBy("hub", "i", "j")).applyInPandas(join, f"a {kind}, b {kind}")
+
+
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id for every row."""
     docs = docs.select("doc_id", "text")
@@ -169,20 +226,12 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = 5, ba
     texts = stored(docs.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").dropDuplicates(["doc_id"]))
     pairs = held.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     near = stored(verified(pairs, texts, words))
-    links = near.filter(F.col("sim") >= threshold)
+    links = near.filter(F.col("sim") >= threshold).select("a", "b")
     label = components(links)
 
-    # members of a bucket that are still in different components, and may be linked by their distances to the hub
-    at = held.join(near.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("sim")).alias("d")), ["hub", "rep"], "left")
-    at = at.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "rep", "hub", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("label", "rep").alias("label"))
-    split = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("label"))).alias("main")).filter("lo <> hi")
-    at = stored(at.join(split.select("key", "main"), "key"))
-    x = at.filter("label <> main AND rep <> hub").select("key", F.col("rep").alias("x"), F.col("d").alias("dx"), F.col("label").alias("lx"))
-    y = at.filter("rep <> hub").select("key", F.col("rep").alias("y"), F.col("d").alias("dy"), F.col("label").alias("ly"), (F.col("label") != F.col("main")).alias("out"))
-    rest = x.join(y, "key").filter((F.col("lx") != F.col("ly")) & (F.abs(F.col("dx") - F.col("dy")) <= 1 - threshold + 1e-9) & (~F.col("out") | (F.col("x") < F.col("y"))))
-    rest = stored(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    rest = stored(across(held, near, label, texts, threshold, words))
     if rest.limit(1).count():
-        links = links.unionByName(stored(verified(rest, texts, words)).filter(F.col("sim") >= threshold))
+        links = links.unionByName(rest)
         label = components(links)
 
     member = sig.select("doc_id", "tx").join(reps.select(F.col("tx").alias("t"), "rep"), F.col("tx") == F.col("t"), "left")
