@@ -173,16 +173,16 @@ def across(held: DataFrame, near: DataFrame, label: DataFrame, texts: DataFrame,
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     cols = ["hub", "rep", "d", "label", "text"]
     x = at.filter("label <> main").select(*cols, deal("nx").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"))
-    y = at.select(*cols, deal("ny").alias("j"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("i"))
+    y = at.select(*(F.col(c).alias(f"y_{c}") for c in cols), deal("ny").alias("y_j"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("y_i"))
 
     def join(left, right):
         import pandas as pd
 
         out = []
         if len(left) and len(right):
-            bx, by = shingles(left["text"].tolist(), words), shingles(right["text"].tolist(), words)
+            bx, by = shingles(left["text"].tolist(), words), shingles(right["y_text"].tolist(), words)
             sx, sy = signatures(bx, SKETCH), signatures(by, SKETCH)
-            dx, dy, lx, ly = left.d.to_numpy(), right.d.to_numpy(), left.label.to_numpy(), right.label.to_numpy()
+            dx, dy, lx, ly = left.d.to_numpy(), right.y_d.to_numpy(), left.label.to_numpy(), right.y_label.to_numpy()
             least = threshold - 5 * (threshold * (1 - threshold) / SKETCH) ** 0.5
             found = []
             for i in range(len(left)):
@@ -202,11 +202,11 @@ def across(held: DataFrame, near: DataFrame, label: DataFrame, texts: DataFrame,
                 a, b = root(lx[i]), root(ly[j])
                 if a != b and jaccard(bx[i], by[j]) >= threshold:
                     up[max(a, b)] = min(a, b)
-                    out.append((left.rep[i], right.rep[j]))
+                    out.append((left.rep[i], right.y_rep[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     kind = held.schema["rep"].dataType.simpleString()
-    return x.groupBy("hub", "i", "j").cogroup(y.groupBy("hub", "i", "j")).applyInPandas(join, f"a {kind}, b {kind}")
+    return x.groupBy("hub", "i", "j").cogroup(y.groupBy("y_hub", "y_i", "y_j")).applyInPandas(join, f"a {kind}, b {kind}")
 
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
