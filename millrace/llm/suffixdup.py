@@ -213,7 +213,8 @@ def repeated(suffix: list[bytes], before: list[bytes], n: np.ndarray, near: np.n
 
 def sorted_spans(rows: DataFrame, length: int, lead: int) -> tuple[DataFrame, DataFrame]:
     """(lead, span, offs): repeated offsets by span, decided in a bucket; and
-    (lead, span, o, fp): windows to compare across boundaries."""
+    (lead, span, k, fp): windows at a bucket's edge: those still open, by offset,
+    and one without a span for each kind that is settled there."""
     w = length - lead + 1
     total = rows.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
@@ -230,21 +231,25 @@ def sorted_spans(rows: DataFrame, length: int, lead: int) -> tuple[DataFrame, Da
         before = [bytes.fromhex(x[::-1])[::-1] for x in t.column("before").to_pylist()]
         order, marks, prints, group = repeated(t.column("suffix").to_pylist(), before, n, o1, o, length, lead)
         edge = (group == group[0]) | (group == group[-1])
-        out_l, out_s, offs, fps = [], [], [], []
         on = (o1[order][:, None] <= np.arange(w)) & (np.arange(w) <= o[order][:, None])
+        rows_out: list[tuple] = []
         for k, i in enumerate(order):
             hit = np.flatnonzero(marks[k])
-            if len(hit) or edge[k]:
-                out_l.append(ids[i])
-                out_s.append(spans[i])
-                offs.append(hit.astype(np.int32))
-                at = np.flatnonzero(on[k])
-                fps.append(prints[k, at].view(np.int64) if edge[k] else None)
-        yield pa.RecordBatch.from_arrays([pa.array(out_l, type=pa.int64()), pa.array(out_s, type=pa.int64()), pa.array(offs, type=pa.list_(pa.int32())), pa.array(fps, type=pa.list_(pa.int64()))], ["lead", "span", "offs", "fps"])
-
-    found = stored(dealt.mapInArrow(run, "lead long, span long, offs array<int>, fps array<long>"))
-    edges = found.filter("fps IS NOT NULL").select("lead", "span", F.posexplode("fps").alias("k", "fp"))
-    return found.select("lead", "span", "offs"), edges
+            open_ = np.flatnonzero(on[k] & ~marks[k]) if edge[k] else hit[:0]
+            if len(hit) or len(open_):
+                rows_out.append((int(ids[i]), int(spans[i]), hit.astype(np.int32), open_.astype(np.int32), prints[k, open_].view(np.int64)))
+        # a window that is settled here stands once for all its like
+        present = np.unique(prints[edge][marks[edge]])
+        for lo in range(0, len(present), 10_000):
+            some = present[lo : lo + 10_000]
+            rows_out.append((None, None, [], np.full(len(some), -1, dtype=np.int32), some.view(np.int64)))
+        cols = list(zip(*rows_out)) if rows_out else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, kinds)], ["lead", "span", "offs", "ks", "fps"])
+
+    found = stored(dealt.mapInArrow(run, "lead long, span long, offs array<int>, ks array<int>, fps array<long>"))
+    edges = found.filter("size(fps) > 0").select("lead", "span", F.inline(F.arrays_zip("ks", "fps"))).withColumnsRenamed({"ks": "k", "fps": "fp"})
+    return found.filter("lead IS NOT NULL").select("lead", "span", "offs"), edges
 
 
 def removed(docs: DataFrame, *, length: int = LENGTH, lead: int = LEAD, with_kept: bool = False) -> DataFrame:
@@ -261,10 +266,8 @@ def removed(docs: DataFrame, *, length: int = LENGTH, lead: int = LEAD, with_kep
     distinct = stored(distinct.select("lead", "span", "n", "at.tid", "at.p", "at.i1", "at.i2"))
     suffixes = stored(contexts(base.filter("text IS NOT NULL").select("tid", "text"), distinct, length))
     found, edges = sorted_spans(suffixes, length, lead)
-    shift = suffixes.select(F.col("lead").alias("el"), F.col("span").alias("es"), "o1")
     twice = edges.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("fp").alias("f"))
-    across = edges.join(stored(twice), F.col("fp") == F.col("f")).groupBy("lead", "span").agg(F.collect_set("k").alias("ks"))
-    across = across.join(shift, (F.col("lead") == F.col("el")) & (F.col("span") == F.col("es"))).select("lead", "span", F.expr("transform(ks, k -> cast(k + o1 as int))").alias("offs"))
+    across = edges.filter("lead IS NOT NULL").join(stored(twice), F.col("fp") == F.col("f")).groupBy("lead", "span").agg(F.collect_set("k").alias("offs"))
     found = stored(found.unionByName(across).filter("size(offs) > 0").groupBy("lead", "span").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("offs")))).alias("offs")))
     partly = several.join(found.withColumnRenamed("lead", "fl").withColumnRenamed("span", "fs"), (F.col("lead") == F.col("fl")) & (F.col("span") == F.col("fs")))
     # runs of offsets o become runs of window starts p - o
