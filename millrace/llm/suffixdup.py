@@ -268,15 +268,16 @@ def removed(docs: DataFrame, *, length: int = LENGTH, lead: int = LEAD, with_kep
     found, edges = sorted_spans(suffixes, length, lead)
     twice = edges.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("fp").alias("f"))
     across = edges.filter("lead IS NOT NULL").join(stored(twice), F.col("fp") == F.col("f")).groupBy("lead", "span").agg(F.collect_set("k").alias("offs"))
-    found = stored(found.unionByName(across).filter("size(offs) > 0").groupBy("lead", "span").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("offs")))).alias("offs")))
-    partly = several.join(found.withColumnRenamed("lead", "fl").withColumnRenamed("span", "fs"), (F.col("lead") == F.col("fl")) & (F.col("span") == F.col("fs")))
     # runs of offsets o become runs of window starts p - o
     runs = F.expr("""
       aggregate(offs, cast(array() as array<struct<lo:int,hi:int>>), (acc, o) ->
         IF(size(acc) > 0 AND element_at(acc, -1).hi = o - 1,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('lo', element_at(acc, -1).lo, 'hi', o))),
            concat(acc, array(named_struct('lo', o, 'hi', o)))))""")
-    partly = partly.select("tid", "p", F.explode(runs).alias("r")).select("tid", (F.col("p") - F.col("r.hi")).alias("i1"), (F.col("p") - F.col("r.lo")).alias("i2"))
+    found = found.unionByName(across).filter("size(offs) > 0").groupBy("lead", "span").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("offs")))).alias("offs"))
+    found = stored(found.select(F.col("lead").alias("fl"), F.col("span").alias("fs"), runs.alias("runs")))
+    partly = several.join(found, (F.col("lead") == F.col("fl")) & (F.col("span") == F.col("fs")))
+    partly = partly.select("tid", "p", F.explode("runs").alias("r")).select("tid", (F.col("p") - F.col("r.hi")).alias("i1"), (F.col("p") - F.col("r.lo")).alias("i2"))
     gone = stored(whole.unionByName(partly).groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("i1", "i2"))).alias("gone")).withColumnRenamed("tid", "gt"))
 
     copies = stored(base.groupBy("tx").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("tx").alias("cx")))
