@@ -30,13 +30,15 @@ LEAST_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, learn(docs, folds=4, held_out=2, sample_docs=3000))
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = identify(docs, learn(docs, folds=4, held_out=2, sample_docs=3000), prefix="_found_")
+    kept = found.filter((F.col("_found_lang_pred") != "und") & (F.col("_found_score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "_found_lang_pred")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = dedup_lines(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    cut = dedup_lines(docs.select(*own, *(F.col(c).alias(f"_kept_{c}") for c in docs.columns if c not in own))).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = cut.drop("n_lines", "n_removed").withColumnsRenamed({f"_kept_{c}": c for c in docs.columns if c not in own})
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

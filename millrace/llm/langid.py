@@ -112,7 +112,7 @@ class Model:
     def __init__(self, counts: dict[str, np.ndarray]):
         """counts: by language, trigram buckets and then scripts."""
         self.langs = sorted(counts)
-        n = np.array([counts[x] for x in self.langs]).reshape(len(self.langs), -1)
+        n = np.array([counts[x] for x in self.langs]).reshape(len(self.langs), (1 << BITS) + N_SCRIPTS)
         grams, by_script = n[:, : 1 << BITS], n[:, 1 << BITS :]
         self.seen = (grams > 0).T.astype(np.float32).copy()
         self.logp = np.log((grams + 0.2) / (grams.sum(1, keepdims=True) + 0.2 * (1 << BITS))).T.astype(np.float32).copy()
@@ -189,8 +189,11 @@ def learn(docs: DataFrame, *, folds: int = 4, held_out: int = 2, sample_docs: in
     return Model({r.lang: np.frombuffer(bytes(r.counts), dtype=np.int64) for r in per.collect()})  # a row for each language
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs with lang_pred, score and spans (start, end in characters, language)."""
+def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """The columns of docs with lang_pred, score and spans (start, end in characters,
+    language), under a prefix if given; columns of these names are replaced."""
+    made = [prefix + c for c in ("lang_pred", "score", "spans")]
+    docs = docs.drop(*made)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     at, names = docs.columns.index("text"), docs.columns
@@ -204,7 +207,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 for lo, hi in chunks(texts):
                     got += shared.value.predict(texts[lo:hi])
                 more = [pa.array([g[0] for g in got], type=pa.string()), pa.array([g[1] for g in got], type=pa.float64()), pa.array([[dict(zip(("start", "end", "lang"), s)) for s in g[2]] for g in got], type=span)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, *made])
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return docs.mapInArrow(run, f"{kinds}, `{made[0]}` string, `{made[1]}` double, `{made[2]}` array<struct<start:int,end:int,lang:string>>")

@@ -116,7 +116,8 @@ def removals(docs: DataFrame, *, rare: int = RARE) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
-    """The columns of docs with text cut, and n_lines and n_removed."""
+    """The columns of docs with text cut, and n_lines and n_removed (columns of these names are replaced)."""
+    docs = docs.drop("n_lines", "n_removed")
     gone = stored(removals(docs, **how)).select(F.col("tx").alias("_tx"), F.col("first").alias("_first"), F.col("gone").alias("_gone"))
     df = docs.withColumn("_k", F.sha2(F.col("text"), 256)).join(gone, F.col("_k") == F.col("_tx"), "left")
     df = df.withColumn("_lines", F.split("text", "\n")).withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))

@@ -39,7 +39,7 @@ from millrace.llm.components import components
 from millrace.llm.shingling import STEPS, U, jaccard, mix, shingles
 
 BANDS, ROWS, THRESHOLD = 50, 8, 0.8
-CHUNK_CHARS = 400_000
+CHUNK_CHARS, CHUNK_DOCS = 400_000, 500
 #: Documents in a block of a hub's documents, and components of the estimates inside.
 BLOCK, SKETCH = 1000, 200
 
@@ -107,7 +107,7 @@ def hashed(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
             texts = [t or "" for t in whole.column(1).to_pylist()]
             while lo < len(texts):
                 hi, n = lo, 0
-                while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= CHUNK_CHARS):
+                while hi < len(texts) and (hi == lo or (hi - lo < CHUNK_DOCS and n + len(texts[hi]) <= CHUNK_CHARS)):
                     n += len(texts[hi])
                     hi += 1
                 part = texts[lo:hi]
