@@ -14,8 +14,8 @@ left, finds every repeat. Windows in a row with one anchor form a span.
    multikey sort over eight-byte digits, and common prefixes of neighbours tell,
    for each offset, which windows agree to the right; those that also agree to
    the left are repeated.
-3. Leads that touch a bucket's edge are compared across boundaries: their windows
-   meet by fingerprint, with map-side combining, however many there are.
+3. Windows that may have their like beyond a bucket's edge are compared across
+   boundaries by fingerprint, dealt evenly however many share a lead.
 
 Texts that occur twice or more (copies) and are long enough go as a whole. Null
 text is empty: n_bytes 0, the digest of no bytes. Repeated rows are copies.
@@ -180,7 +180,8 @@ def digits(m: np.ndarray) -> np.ndarray:
 def repeated(suffix: list[bytes], before: list[bytes], n: np.ndarray, near: np.ndarray, far: np.ndarray, length: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorts suffixes and marks repeated windows. near..far: a row's offsets from
     window start to anchor. Returns the order, marks (row x offset, in that order),
-    window fingerprints and the lead group of each row."""
+    window fingerprints, and of each row the longest prefix that it shares with the
+    bucket's first or last row."""
     w = length - lead + 1
     r = np.zeros((len(suffix), length), dtype=np.uint8)
     b = np.zeros((len(suffix), w), dtype=np.uint8)
@@ -207,17 +208,23 @@ def repeated(suffix: list[bytes], before: list[bytes], n: np.ndarray, near: np.n
         _, back, count = np.unique(mix(run * STEPS[0] + left[on, o]), return_inverse=True, return_counts=True)
         marks[on, o] = (count[back] > 1) | (n[on] > 1)
         prints[on, o] = mix(mix(right[on, length - o - 1] + U(o)) + left[on, o])
-    group = np.cumsum(np.r_[0, common < lead])
-    return order, marks, prints, group
+    if not len(order):
+        return order, marks, prints, np.zeros(0, np.int64)
+    to_first = np.minimum.accumulate(np.r_[length, common])
+    to_last = np.minimum.accumulate(np.r_[length, common[::-1]])[::-1]
+    return order, marks, prints, np.maximum(to_first, to_last)
 
 
-def sorted_spans(rows: DataFrame, length: int, lead: int) -> tuple[DataFrame, DataFrame]:
-    """(lead, span, offs): repeated offsets by span, decided in a bucket; and
-    (lead, span, k, fp): windows at a bucket's edge: those still open, by offset,
-    and one without a span for each kind that is settled there."""
+def sorted_spans(rows: DataFrame, length: int, lead: int) -> DataFrame:
+    """(lead, span, offs): the repeated offsets of each span.
+
+    Equal leading bytes are neighbours in the order, so a window can only meet its
+    like in another bucket if its row shares the window's right part with a row at
+    the bucket's edge. Such windows are compared across boundaries: open ones with
+    their owner, settled ones once for all their like, in packed arrays dealt by
+    fingerprint."""
     w = length - lead + 1
-    total = rows.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
+    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     dealt = rows.repartitionByRange(buckets, "suffix", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,27 +236,44 @@ def sorted_spans(rows: DataFrame, length: int, lead: int) -> tuple[DataFrame, Da
         n, o1, o = (t.column(c).to_numpy() for c in ("n", "o1", "o"))
         # reversed hexadecimal digits: nearest byte first, its digits swapped
         before = [bytes.fromhex(x[::-1])[::-1] for x in t.column("before").to_pylist()]
-        order, marks, prints, group = repeated(t.column("suffix").to_pylist(), before, n, o1, o, length, lead)
-        edge = (group == group[0]) | (group == group[-1])
-        on = (o1[order][:, None] <= np.arange(w)) & (np.arange(w) <= o[order][:, None])
-        rows_out: list[tuple] = []
-        for k, i in enumerate(order):
-            hit = np.flatnonzero(marks[k])
-            open_ = np.flatnonzero(on[k] & ~marks[k]) if edge[k] else hit[:0]
-            if len(hit) or len(open_):
-                rows_out.append((int(ids[i]), int(spans[i]), hit.astype(np.int32), open_.astype(np.int32), prints[k, open_].view(np.int64)))
-        # a window that is settled here stands once for all its like
-        present = np.unique(prints[edge][marks[edge]])
-        for lo in range(0, len(present), 10_000):
-            some = present[lo : lo + 10_000]
-            rows_out.append((None, None, [], np.full(len(some), -1, dtype=np.int32), some.view(np.int64)))
-        cols = list(zip(*rows_out)) if rows_out else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, kinds)], ["lead", "span", "offs", "ks", "fps"])
-
-    found = stored(dealt.mapInArrow(run, "lead long, span long, offs array<int>, ks array<int>, fps array<long>"))
-    edges = found.filter("size(fps) > 0").select("lead", "span", F.inline(F.arrays_zip("ks", "fps"))).withColumnsRenamed({"ks": "k", "fps": "fp"})
-    return found.filter("lead IS NOT NULL").select("lead", "span", "offs"), edges
+        order, marks, prints, edge = repeated(t.column("suffix").to_pylist(), before, n, o1, o, length, lead)
+        ids, spans = ids[order], spans[order]
+        offset = np.arange(w)
+        reach = (o1[order][:, None] <= offset) & (offset <= o[order][:, None]) & (edge[:, None] >= length - offset)
+        out: list[tuple] = []
+        for i in np.flatnonzero(marks.any(1)):
+            out.append((int(ids[i]), int(spans[i]), np.flatnonzero(marks[i]).astype(np.int32), None, None, None, None, None))
+        row, k = np.nonzero(reach & ~marks)
+        settled = np.unique(prints[reach & marks])
+        none = np.zeros(len(settled), dtype=np.int64)
+        fp = np.concatenate([prints[row, k], settled])
+        l, s = np.concatenate([ids[row], none]), np.concatenate([spans[row], none])
+        k = np.concatenate([k, none - 1]).astype(np.int32)
+        part = (fp % U(buckets)).astype(np.int64)
+        at = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(part[at]) != 0, True]) if len(at) else [0]
+        for lo, hi in zip(cuts, cuts[1:]):
+            x = at[lo:hi]
+            out.append((None, None, None, int(part[x[0]]), fp[x].tobytes(), l[x].tobytes(), s[x].tobytes(), k[x].tobytes()))
+        cols = list(zip(*out)) if out else [[]] * 8
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), *(pa.binary(),) * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, kinds)], ["lead", "span", "offs", "part", "fps", "leads", "spans", "ks"])
+
+    def meet(part):
+        import pandas as pd
+
+        join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in part[c]])
+        fp, l, s, k = join("fps", np.uint64), join("leads", np.int64), join("spans", np.int64), join("ks", np.int32)
+        _, back, count = np.unique(fp, return_inverse=True, return_counts=True)
+        hit = np.flatnonzero((count[back] > 1) & (k >= 0))
+        got: dict[tuple[int, int], list[int]] = {}
+        for a, b, o in zip(l[hit].tolist(), s[hit].tolist(), k[hit].tolist()):
+            got.setdefault((a, b), []).append(o)
+        return pd.DataFrame([(a, b, np.array(v, dtype=np.int32)) for (a, b), v in got.items()], columns=["lead", "span", "offs"])
+
+    found = stored(dealt.mapInArrow(run, "lead long, span long, offs array<int>, part long, fps binary, leads binary, spans binary, ks binary"))
+    across = found.filter("part IS NOT NULL").select("part", "fps", "leads", "spans", "ks").groupBy("part").applyInPandas(meet, "lead long, span long, offs array<int>")
+    return found.filter("part IS NULL").select("lead", "span", "offs").unionByName(across)
 
 
 def removed(docs: DataFrame, *, length: int = LENGTH, lead: int = LEAD, with_kept: bool = False) -> DataFrame:
@@ -265,16 +289,14 @@ def removed(docs: DataFrame, *, length: int = LENGTH, lead: int = LEAD, with_kep
     distinct = several.groupBy("lead", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "p", "i1", "i2")).alias("at"))
     distinct = stored(distinct.select("lead", "span", "n", "at.tid", "at.p", "at.i1", "at.i2"))
     suffixes = stored(contexts(base.filter("text IS NOT NULL").select("tid", "text"), distinct, length))
-    found, edges = sorted_spans(suffixes, length, lead)
-    twice = edges.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("fp").alias("f"))
-    across = edges.filter("lead IS NOT NULL").join(stored(twice), F.col("fp") == F.col("f")).groupBy("lead", "span").agg(F.collect_set("k").alias("offs"))
+    found = sorted_spans(suffixes, length, lead)
     # runs of offsets o become runs of window starts p - o
     runs = F.expr("""
       aggregate(offs, cast(array() as array<struct<lo:int,hi:int>>), (acc, o) ->
         IF(size(acc) > 0 AND element_at(acc, -1).hi = o - 1,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('lo', element_at(acc, -1).lo, 'hi', o))),
            concat(acc, array(named_struct('lo', o, 'hi', o)))))""")
-    found = found.unionByName(across).filter("size(offs) > 0").groupBy("lead", "span").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("offs")))).alias("offs"))
+    found = found.groupBy("lead", "span").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("offs")))).alias("offs"))
     found = stored(found.select(F.col("lead").alias("fl"), F.col("span").alias("fs"), runs.alias("runs")))
     partly = several.join(found, (F.col("lead") == F.col("fl")) & (F.col("span") == F.col("fs")))
     partly = partly.select("tid", "p", F.explode("runs").alias("r")).select("tid", (F.col("p") - F.col("r.hi")).alias("i1"), (F.col("p") - F.col("r.lo")).alias("i2"))
