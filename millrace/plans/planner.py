@@ -15,9 +15,10 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.operators.conditions import add_event, build, start_events
-from millrace.operators.conversions import convert, export_exception
+from millrace.operators.conversions import convert, export_exception, to_string
 from millrace.operators.records import record_to_string
 from millrace.operators.tasks import EXCEPTION, TASKS, run_task
 from millrace.plans import mapping as m
@@ -148,7 +149,11 @@ class Planner:
             df = df.withColumn(took, delivered | F.col(f"_go{i}"))
             delivered = F.col(took)
         for i, x in enumerate(routes):
-            branch = df.filter(F.col(f"_go{i}")).select(struct_of({k: self._bound(b) for k, b in x.fields.items()}).alias("received"))
+            to_sink = x.destination in {t.name for t in self.r.process.outputs}
+            values = {k: self._bound(b) for k, b in x.fields.items()}
+            if to_sink:  # records of different sources may meet there
+                values = {k: self._text(df, v) if (x.fields[k].type or "").startswith(("struct", "array")) else v for k, v in values.items()}
+            branch = df.filter(F.col(f"_go{i}")).select(struct_of(values).alias("received"))
             self.plan.deliveries[x.source, x.destination] = branch
             self.into[x.destination].append(branch)
 
@@ -160,6 +165,14 @@ class Planner:
                 return F.col(f"{rec}.{f}")
         raise DefinitionError(f"condition at {name}: no field {f}")
 
+    @staticmethod
+    def _text(df: DataFrame, v: Column) -> Column:
+        """The string form of an exception, a record or an array."""
+        kind = df.select(v.alias("v")).schema["v"].dataType
+        if kind.simpleString() == EXCEPTION:
+            return export_exception(v, {})[0]
+        return record_to_string(v, kind) if isinstance(kind, StructType) else to_string(v, kind.simpleString())
+
     def _bound(self, b) -> Column:
         if b.sql is not None:
             got = F.expr(b.sql)
