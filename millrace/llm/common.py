@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,24 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
 def unit(*cols) -> "F.Column":
     """Uniform number in [0, 1) that depends on the given values alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
+
+
+#: What a Python worker keeps between tasks, by operator: how to drop it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def worker_turn(operator: str, drop: Callable[[], None] | None = None) -> None:
+    """Called where a task begins in a Python worker. Workers outlive stages, so
+    what other operators keep there is dropped, and free memory goes back."""
+    if drop is not None:
+        _kept[operator] = drop
+    others = [k for k in _kept if k != operator]
+    for k in others:
+        _kept.pop(k)()
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass

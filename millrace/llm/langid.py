@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import unit
+from millrace.llm.common import unit, worker_turn
 
 #: Unicode blocks by script (fixed values of the Unicode standard): first, last, script.
 SCRIPTS = [
@@ -45,6 +45,10 @@ CHUNK_CHARS = 1_000_000
 _tables: dict[str, np.ndarray] = {}
 
 
+def drop_cache() -> None:
+    _tables.clear()
+
+
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """(script by code point, 0 for no letter; lower case by code point)."""
     if not _tables:
@@ -169,6 +173,7 @@ def learn(docs: DataFrame, *, folds: int = 4, held_out: int = 2, sample_docs: in
         keep = keep | ((F.col("lang") == lang) & (unit(F.lit(5), F.col("doc_id")) < min(1.0, sample_docs / k)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_turn("langid", drop_cache)
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = np.array(batch.column(0).to_pylist(), dtype=object), np.array(batch.column(1).to_pylist(), dtype=object)
@@ -200,6 +205,7 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_turn("langid", drop_cache)
         for whole in batches:
             for first in range(0, whole.num_rows, 1000):
                 batch = whole.slice(first, 1000)

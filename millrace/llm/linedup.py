@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import stored, worker_turn
 
 #: Texts that may hold a line alone that still counts as rare.
 RARE = 50
@@ -106,6 +106,7 @@ def removals(docs: DataFrame, *, rare: int = RARE) -> DataFrame:
     both = pairs.join(reps.select(F.col("tx").alias("a"), F.col("h").alias("ha")), "a").select("b", "ha").join(reps.select(F.col("tx").alias("b"), F.col("h").alias("hb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_turn("linedup")
         for batch in batches:
             gone = [aligned(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, type=pa.list_(pa.int32()))], ["b", "gone"])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import ctw_core as ctw
-from millrace.llm.common import stored
+from millrace.llm.common import stored, worker_turn
 
 DEPTH, BITS = 5, 21
 GROUP_BYTES, CHUNK_BYTES = 24_000_000, 2_000_000
@@ -44,6 +44,10 @@ TREES, FAN_IN, LAID, CACHE_BITS = 64, 64, 1 << 16, 21
 _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def drop_cache() -> None:
+    _cache.clear()
+
+
 def grouped(docs: DataFrame, fold: "F.Column", group_bytes: int) -> DataFrame:
     """g, doc_id, text, held_out; rows of a group are read together."""
 
@@ -68,6 +72,7 @@ def gather(parts: DataFrame, depth: int, buckets: int, trees: int) -> DataFrame:
     training counts; kind 1, byte strings of training documents, by subtree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_turn("lm", drop_cache)
         pid = TaskContext.get().partitionId()
         words: Counter = Counter()
         now, seqs, n = None, [], 0
@@ -253,6 +258,7 @@ def score(docs: DataFrame, fold: "F.Column", *, depth: int = DEPTH, bits: int =
     of = id(shared) ^ int(n_all)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        worker_turn("lm", drop_cache)
         count: dict[bytes, int] = {}
         for ws, cs in zip(right["keys"], right["counts"]):
             count.update(zip(ws.split(b" "), np.frombuffer(cs, np.int64).tolist()))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small, stored
+from millrace.llm.common import small, stored, worker_turn
 from millrace.llm.components import components
 from millrace.llm.shingling import STEPS, U, jaccard, mix, shingles
 
@@ -101,6 +101,7 @@ def hashed(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     """doc_id, tx (digest of the text, null without a word), keys (band keys; null for a copy seen in the same task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_turn("neardup")
         seen: set[bytes] = set()
         for whole in batches:
             lo = 0
@@ -136,6 +137,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_turn("neardup")
         known: dict = {}
 
         def bag(i, text):
@@ -178,6 +180,7 @@ def across(held: DataFrame, near: DataFrame, label: DataFrame, texts: DataFrame,
     def join(left, right):
         import pandas as pd
 
+        worker_turn("neardup")
         out = []
         if len(left) and len(right):
             bx, by = shingles(left["text"].tolist(), words), shingles(right["y_text"].tolist(), words)

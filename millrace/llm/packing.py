@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import stored, worker_turn
 
-#: Distinct words whose ids a Python worker remembers before it starts afresh.
-CACHE_WORDS = 800_000
+#: Distinct words whose ids a Python worker remembers before it drops all but those in use.
+CACHE_WORDS = 500_000
 _loaded: dict[str, "WordIds"] = {}
 
 
@@ -99,10 +99,12 @@ class WordIds:
                 some.append((raw if b"<|" in raw else raw.lower()).split())  # marked tokens are told by their case
                 chars += len(raw)
                 n += 1
-            if len(self.words) > self.most:
-                self.words.clear()
+            used = set().union(*some)
+            if len(self.words) > self.most:  # the words of now go on, and with them the frequent ones
+                self.words = {w: self.words[w] for w in used if w in self.words}
+            if len(self.pieces) > self.most // 2:
                 self.pieces = {"": b""}
-            new = list(set().union(*some).difference(self.words))
+            new = list(used.difference(self.words))
             for k in range(0, len(new), 20_000):
                 self._learn(new[k : k + 20_000])
             get = self.words.__getitem__
@@ -110,6 +112,10 @@ class WordIds:
         return out
 
 
+def drop_cache() -> None:
+    _loaded.clear()
+
+
 def word_ids(path: str) -> WordIds:
     if path not in _loaded:
         _loaded[path] = WordIds(path)
@@ -120,6 +126,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(pid, local_start, doc_id, n, ids) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_turn("packing", drop_cache)
         enc, pid, at = word_ids(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=enc.kind).tobytes()
         width = len(end)
@@ -149,6 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_turn("cutting")
         for batch in batches:
             pids, starts, ns, raws = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
             row, cols, pieces = [], [[] for _ in range(6)], []
