@@ -45,8 +45,8 @@ BLOCK, SKETCH = 1000, 200
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Uniform in (0, 1) from hashes."""
-    return ((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
+    """Uniform in (0, 1) from the upper 44 bits of hashes."""
+    return ((x >> U(20)).astype(np.float64) + 0.5) * 2.0**-44
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
@@ -64,18 +64,18 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
         level = 0
         while len(h):  # dyadic intervals: (0, 1], (1, 2], (2, 4], ...
             low, width = (0, 1) if level == 0 else (1 << (level - 1), 1 << (level - 1))
-            d, t, cc = doc, np.zeros(len(h)), c
             state = mix(h + U(level * int(STEPS[1]) & 0xFFFFFFFFFFFFFFFF))
-            end = until[d]
+            d, t, cc = doc, np.zeros(len(h)), c
             while len(d):
+                # the next point: 44 bits of the hash give its time, 20 its component
                 state = mix(state + STEPS[0])
                 t = t - np.log(unit(state)) / width
-                keep = t <= end
-                d, t, cc, state, end = d[keep], t[keep], cc[keep], state[keep], end[keep]
-                mark = mix(state ^ STEPS[2])
-                at = d * m + ((mark >> U(32)) % U(m)).astype(np.int64)
+                on = np.flatnonzero(t <= until[d])
+                d, t, state = d[on], t[on], state[on]
+                at = d * m + ((state & U(0xFFFFF)) * U(m) >> U(20)).astype(np.int64)
                 if width > 1:
-                    fit = low + 1 + ((mark & U(0xFFFFFFFF)) % U(width)).astype(np.int64) <= cc
+                    cc = cc[on]
+                    fit = low + 1 + (mix(state ^ STEPS[2]) % U(width)).astype(np.int64) <= cc
                     np.minimum.at(sig, at[fit], t[fit])
                 else:
                     np.minimum.at(sig, at, t)
