@@ -95,6 +95,17 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_neardup": r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS s FROM w),
+b AS (SELECT doc_id, s, count(*) AS c FROM s GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM b GROUP BY ALL),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS k FROM b x JOIN b y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 10 * k >= 8 * (na.n + nb.n - k)),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id)
+SELECT id AS doc_id, min(root) AS class_id FROM r GROUP BY id""",
     "op9_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
