@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from millrace.plans.planner import Plan
 
 
+#: Calls for one counter; beyond that only its total is told.
+TICKS = 1000
+
+
 @dataclass
 class Monitor:
     """Callbacks in the order of a run; the defaults do nothing."""
@@ -37,15 +41,19 @@ def counts(plan: Plan) -> DataFrame:
 
 
 def report(plan: Plan, monitor: Monitor = Monitor()) -> dict:
-    """Runs the counters, calls back floor(n / frequency) style totals, and gives a report."""
+    """Runs the counters, calls back, and gives a report."""
     name, began = plan.resolved.process.name, time.time()
     monitor.on_start(name)
     rows = counts(plan).collect()  # one row for each element and route of the definition
+    every = {e.name: getattr(e, "monitor_frequency", 0) for e in plan.resolved.elements.values()}
     for r in rows:
-        if r.kind == "element":
-            monitor.on_node(r.source, r.n)
+        tell = (lambda n, r=r: monitor.on_node(r.source, n)) if r.kind == "element" else (lambda n, r=r: monitor.on_route(r.source, r.destination, n))
+        step = every.get(r.source, 0)
+        if step and r.n // step <= TICKS:  # a call at each multiple of the element's frequency, as if counted along
+            for k in range(1, r.n // step + 1):
+                tell(k * step)
         else:
-            monitor.on_route(r.source, r.destination, r.n)
+            tell(r.n)
     errors = {k: df.count() for k, df in {**plan.errors, **plan.discarded}.items()}
     for where, n in errors.items():
         monitor.on_error(where, n)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: New keys from which numbering goes by buckets of the order instead of one sort.
-BUCKETS = 1024
+BUCKETS = 128
 
 
 def keyset(df: DataFrame, key: str, order: str, start: int = 0) -> DataFrame:

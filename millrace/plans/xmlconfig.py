@@ -35,8 +35,18 @@ def quotes(e: ET.Element | None) -> tuple[tuple[str, str], ...] | None:
     return tuple(found) or None
 
 
-def stream_format(e: ET.Element | None) -> StreamFormat | None:
-    e = kid(e, "format", "streamFormat")
+def stream_format(e: ET.Element | None, shared: dict[str, ET.Element]) -> StreamFormat | None:
+    """A terminal's own format, or the shared one that it refers to."""
+    ref = text(e, "formatRef")
+    if ref is not None:
+        if ref.strip() not in shared:
+            raise DefinitionError(f"no format {ref.strip()!r}")
+        found = shared[ref.strip()]
+    else:
+        found = kid(e, "format")
+    if found is not None and kid(found, "tableFormat") is not None:
+        return StreamFormat(tuple(c.get("name") for c in kids(kid(found, "tableFormat", "fields"), "column")))
+    e = kid(found, "streamFormat")
     if e is None:
         return None
     columns = {}
@@ -63,11 +73,11 @@ def mappings(e: ET.Element) -> tuple:
     return tuple(out)
 
 
-def terminal(e: ET.Element) -> Terminal:
+def terminal(e: ET.Element, shared: dict[str, ET.Element]) -> Terminal:
     hints = tuple(Hint(h.get("field"), text(h, "name") or (text(h, "conversionMethod") or "").rpartition(".")[2] or None, None, parameters(h)) for h in kids(e, "conversionHint"))
     errors = tuple(ErrorRoute(text(r, "destination"), mappings(r)) for r in kids(e, "errorRoute"))
     source = kid(e, "datasource") if kid(e, "datasource") is not None else kid(e, "datasink")
-    return Terminal(e.get("name"), stream_format(source), hints, errors, int(e.get("queueSize", 5000)), int(e.get("monitorFrequency", 0)))
+    return Terminal(e.get("name"), stream_format(source, shared), hints, errors, int(e.get("queueSize", 5000)), int(e.get("monitorFrequency", 0)))
 
 
 def condition(e: ET.Element):
@@ -106,12 +116,12 @@ def route(e: ET.Element) -> Route:
     return Route(text(e, "source").strip(), text(e, "destination").strip(), mappings(e), condition(kids(c)[0]) if c is not None else None)
 
 
-def process(e: ET.Element) -> ProcessDef:
+def process(e: ET.Element, shared: dict[str, ET.Element]) -> ProcessDef:
     terminals, network = kid(e, "terminals"), kid(e, "network")
     io = kid(network, "io")
     used = lambda name: [x.text.strip() for x in kids(io, name)]
-    inputs = {t.get("name"): terminal(t) for t in kids(terminals, "input")}
-    outputs = {t.get("name"): terminal(t) for t in kids(terminals, "output")}
+    inputs = {t.get("name"): terminal(t, shared) for t in kids(terminals, "input")}
+    outputs = {t.get("name"): terminal(t, shared) for t in kids(terminals, "output")}
     for name in used("inputRef") + used("outputRef"):
         if name not in inputs and name not in outputs:
             raise DefinitionError(f"no terminal {name!r}")
@@ -124,4 +134,6 @@ def process(e: ET.Element) -> ProcessDef:
 
 def load(xml: str) -> dict[str, ProcessDef]:
     """All processes of a definitions document, by name."""
-    return {e.get("name"): process(e) for e in ET.fromstring(xml).iter() if tag(e) == "process"}
+    every = list(ET.fromstring(xml).iter())
+    shared = {e.get("name"): e for e in every if tag(e) == "format" and e.get("name")}
+    return {e.get("name"): process(e, shared) for e in every if tag(e) == "process"}

@@ -128,7 +128,7 @@ def test_monitor_report(spark):
     seen = []
     m = Monitor(on_node=lambda n, k: seen.append((n, k)), on_error=lambda w, k: seen.append((w, k)))
     got = report(run(spark), m)
-    assert ("n", 6) in seen and ("log", 1) in seen and got["process"] == "two"
+    assert ("n", 6) in seen and [k for n, k in seen if n == "log"] == [1, 2, 3, 4, 5, 6, 1]  # each of six records, then one bad line and got["process"] == "two"
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -149,3 +149,25 @@ def test_command_line(spark, tmp_path):
     args = ["--process_definitions", str(tmp_path / "p.xml"), "--output", str(tmp_path / "o"), "--tasks", "millrace.suite", str(tmp_path / "in.txt")]
     assert cli.main(["--process", "two", *args]) == 0 and cli.main(["--process", "none", *args]) == 2
     assert spark.read.text(str(tmp_path / "o" / "fact")).count() == 6 and spark.read.json(str(tmp_path / "o" / "log.discarded")).count() == 1
+
+
+def test_shared_and_table_formats():
+    shared = XML.replace("<df:format>", "<df:formatRef>f</df:formatRef><df:skip>", 1).replace("</df:format>", "</df:skip>", 1)
+    body = XML[XML.index("<df:streamFormat>") : XML.index("</df:format>")]
+    whole = shared.replace("<process ", f'<df:format name="f">{body}</df:format><process ', 1)
+    assert load(whole)["two"].inputs[0].format == load(XML)["two"].inputs[0].format
+    with pytest.raises(DefinitionError):
+        load(shared)
+    table = XML.replace(body, '<df:tableFormat><df:fields><df:column name="x" jdbcDataType="12"/></df:fields></df:tableFormat>')
+    assert load(table)["two"].inputs[0].format.fields == ("x",)
+
+
+def test_streaming_dictionary(spark, tmp_path):
+    from millrace.streaming import dictionary
+
+    (tmp_path / "in").mkdir()
+    for i, keys in enumerate((["b", "a"], ["a", "c"], ["d", "b"])):
+        spark.createDataFrame([(10 * i + k, x) for k, x in enumerate(keys)], "n long, k string").coalesce(1).write.mode("append").json(str(tmp_path / "in" / str(i)))
+        stream = spark.readStream.schema("n long, k string").json(str(tmp_path / "in" / "*"))
+        dictionary.start(stream, "k", "n", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    assert {r.key: r.id for r in dictionary.read(spark, str(tmp_path / "out")).collect()} == {"b": 0, "a": 1, "c": 2, "d": 3}
