@@ -130,9 +130,12 @@ def split_line(line: Column, f: StreamFormat) -> Column:
     pattern = compiled(formats)
     if pattern is None:
         return python_split(line, formats)
-    cut = F.split(F.regexp_replace(line, pattern, SEPARATOR.join(f"${i + 1}" for i in range(len(formats)))), SEPARATOR, -1)
-    whole = F.transform(F.array(cut), lambda parts: F.array(*(plain(parts[i], c) for i, c in enumerate(formats))))[0]
-    return F.when(line.rlike(pattern) & ~line.contains(SEPARATOR), whole)
+    n = len(formats)
+    joined = F.regexp_replace(line, pattern, SEPARATOR.join(f"${i + 1}" for i in range(n)))
+    # a line that does not match stays as it is, and so is one part
+    fits = (lambda parts: F.size(parts) == n) if n > 1 else (lambda parts: line.rlike(pattern))
+    whole = lambda parts: F.when(fits(parts), F.array(*(plain(parts[i], c) for i, c in enumerate(formats))))
+    return F.when(~line.contains(SEPARATOR), F.transform(F.array(F.split(joined, SEPARATOR, -1)), whole)[0])
 
 
 def plain(part: Column, c: ColumnFormat) -> Column:
