@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import stored, worker_turn
 
 #: Distinct words whose ids a Python worker remembers before it drops all but those in use.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
 _loaded: dict[str, "WordIds"] = {}
 
 
@@ -102,7 +102,7 @@ class WordIds:
             used = set().union(*some)
             if len(self.words) > self.most:  # the words of now go on, and with them the frequent ones
                 self.words = {w: self.words[w] for w in used if w in self.words}
-            if len(self.pieces) > self.most // 2:
+            if len(self.pieces) > self.most * 4 // 7:
                 self.pieces = {"": b""}
             new = list(used.difference(self.words))
             for k in range(0, len(new), 20_000):
