@@ -32,3 +32,14 @@ def test_nothing_else_imports_the_corpus_operators():
             if name.endswith(".py"):
                 with open(os.path.join(folder, name), encoding="utf-8") as f:
                     assert not re.search(r"import.*\bllm\b|\bllm\b.*import|millrace\.llm", f.read()), name
+
+
+def test_queries_run_from_any_folder(tmp_path):
+    """Python workers find the package though neither folder nor PYTHONPATH leads to it."""
+    code = (
+        f"import sys; sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; "
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate(); "
+        "assert e.queries()['user_agent_fields'](s, '/root/testdata/sf0.001').count() == 1000"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=env)
