@@ -28,6 +28,8 @@ from millrace.llm.common import WORD, small, stored
 
 #: Documents in a chunk, on average.
 CHUNK = 256
+#: Identical rows that are numbered at a time.
+SAME = 10_000
 
 #: One step: acc.c is the fraction carried (none or one), acc.out what is decided.
 FOLD = """
@@ -83,7 +85,9 @@ def decide(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: floa
     src = src.withColumn("whole", F.floor(F.col("r") + 1e-9)).withColumn("p0", F.greatest(F.col("r") - F.col("whole"), F.lit(0.0)))
     sources = small(stored(src.select(F.col("source").alias("s"), "n", "source_size", "target", "whole", F.when(F.col("p0") < 1e-9, 0.0).otherwise(F.col("p0")).alias("p0"))))
 
-    rows = rows.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("idx"))
+    # identical rows are numbered in two steps, so that no array grows with their count
+    rows = rows.select("doc_id", "source", "size", "m", F.explode(F.expr(f"sequence(0L, (m - 1) div {SAME}L)")).alias("hi"))
+    rows = rows.select("doc_id", "source", "size", F.explode(F.expr(f"sequence(hi * {SAME}L + 1L, least(m, (hi + 1L) * {SAME}L))")).alias("idx"))
     live = rows.filter("size > 0").join(sources, F.col("source").eqNullSafe(F.col("s"))).select("source", "n", "doc_id", "idx", "size", F.col("p0").alias("p"))
     live = live.withColumn("chunks", F.ceil(F.lit(2.0) * F.col("n") / chunk))
     done = rows.filter("size = 0").select("source", "doc_id", "idx", "size", F.lit(0.0).alias("p"))
