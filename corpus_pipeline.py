@@ -37,7 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    cut = dedup_lines(docs.select(*own, *(F.col(c).alias(f"_kept_{c}") for c in docs.columns if c not in own))).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = dedup_lines(docs.select(*own, *(F.col(c).alias(f"_kept_{c}") for c in docs.columns if c not in own)), rare=None).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     cut = cut.drop("n_lines", "n_removed").withColumnsRenamed({f"_kept_{c}": c for c in docs.columns if c not in own})
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

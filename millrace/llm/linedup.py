@@ -2,8 +2,8 @@
 
 Texts are split at newlines. Exact copies are settled first: every line of a
 later copy goes. Among distinct texts, a line is rare if at most `rare` texts
-hold it; two lines in a row count as rare however many texts hold them, so
-large groups of near copies are found too, without a cap. Each rare unit pairs
+hold it, and with `rare` None (the queries and the pipeline) however many do;
+two lines in a row always count as rare. Each rare unit pairs
 the earliest text that holds it with every other one: pairs grow with the
 lines, not with the square of a group. Each pair is aligned by patience diff
 (lines unique to both sides anchor, longest increasing run, extended to their
@@ -86,7 +86,7 @@ def increasing(a: dict, b: dict) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def removals(docs: DataFrame, *, rare: int = RARE) -> DataFrame:
+def removals(docs: DataFrame, *, rare: int | None = RARE) -> DataFrame:
     """tx, first, gone: by distinct text its earliest document and the line positions to delete from it."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)).otherwise(F.lit(0)))
     texts = docs.filter("text IS NOT NULL").select("doc_id", F.sha2(F.col("text"), 256).alias("tx"), lines.alias("h"))
@@ -100,7 +100,8 @@ def removals(docs: DataFrame, *, rare: int = RARE) -> DataFrame:
     )))[0]))
     held = stored(held)
     earliest = held.groupBy("k", "u").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o"))
-    earliest = stored(earliest.filter((F.col("n") > 1) & ((F.col("k") == 2) | (F.col("n") <= rare))).select("k", "u", F.col("o.tx").alias("a")))
+    few = F.lit(True) if rare is None else (F.col("k") == 2) | (F.col("n") <= rare)
+    earliest = stored(earliest.filter((F.col("n") > 1) & few).select("k", "u", F.col("o.tx").alias("a")))
     pairs = held.join(earliest, ["k", "u"]).filter("a != tx").select("a", F.col("tx").alias("b")).distinct()
     pairs = stored(pairs)
     both = pairs.join(reps.select(F.col("tx").alias("a"), F.col("h").alias("ha")), "a").select("b", "ha").join(reps.select(F.col("tx").alias("b"), F.col("h").alias("hb")), "b")

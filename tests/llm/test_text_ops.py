@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -387,6 +388,17 @@ def test_linedup_large_group_and_boilerplate(spark):
     assert got[1000].n_removed == 0 and all(got[1000 + i].text == f"head {i}\nfoot {i}" for i in range(1, 150))
 
 
+def test_linedup_queries_take_frequent_lines(spark, tmp_path):
+    """A lone line goes from every later text, also where more than RARE texts hold it."""
+    rows = [(i, f"own line {i}\nA licence line that stands alone.\nanother {i * 7}") for i in range(linedup.RARE + 10)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in queries.op10_linededup(spark, str(tmp_path)).collect()}
+    assert got == {i: int(i > 0) for i, _ in rows}
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {i: t if i == 0 else f"own line {i}\nanother {i * 7}" for i, t in rows}
+
+
 def test_linedup_odd_rows(odd, nothing):
     got = linedup.dedup_lines(odd)
     assert sorted(set(got.columns)) == sorted(got.columns) and got.count() == 13
