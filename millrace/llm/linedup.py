@@ -5,12 +5,17 @@ later copy goes. Among distinct texts, a line is rare if at most `rare` texts
 hold it, and with `rare` None (the queries and the pipeline) however many do;
 two lines in a row always count as rare. Each rare unit pairs
 the earliest text that holds it with every other one: pairs grow with the
-lines, not with the square of a group. Each pair is aligned by patience diff
+lines, not with the square of a group. With `all_pairs` (op10_linededup), a
+line that then stays in a later text pairs that text with the next earlier
+holders, four times as many each round, until it goes or no earlier holder is
+left: a worded line goes if alignment with any earlier text finds it, as if all
+pairs had been compared. Each pair is aligned by patience diff
 (lines unique to both sides anchor, longest increasing run, extended to their
 equal neighbours), and aligned blocks go from the later document.
 
 Earlier means the smaller doc_id; null ids come last. Null text has no lines
-and stays null. Lines without a word are never units but go as part of a block.
+and stays null. Lines without a word are never units but go as part of a block
+of two texts that were compared.
 Repeated rows (same id, same text) are one document and are all treated alike.
 Extra columns are ignored. An empty table gives no rows.
 """
@@ -20,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored, worker_turn
@@ -86,7 +91,44 @@ def increasing(a: dict, b: dict) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def removals(docs: DataFrame, *, rare: int | None = RARE) -> DataFrame:
+def cuts(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """b, gone: by pair (a, b) the line positions of b that alignment with a finds."""
+    both = pairs.join(reps.select(F.col("tx").alias("a"), F.col("h").alias("ha")), "a").select("b", "ha").join(reps.select(F.col("tx").alias("b"), F.col("h").alias("hb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_turn("linedup")
+        for batch in batches:
+            gone = [aligned(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, type=pa.list_(pa.int32()))], ["b", "gone"])
+
+    return both.select("b", "ha", "hb").mapInArrow(run, "b string, gone array<int>").filter("size(gone) > 0")
+
+
+def later_rounds(held: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+    """b, gone of the rounds after the first. held: u, tx, first, a (the earliest holder) of every shared line.
+
+    Ranks of holders are cut at the round's reach, so no task orders all the holders of a frequent line."""
+    spot = lambda df: df.select(F.col("b").alias("tx"), F.explode("gone").alias("p")).distinct()
+    later = held.filter("a <> tx").select("tx", "u")
+    left = reps.join(later.select("tx").distinct(), "tx", "left_semi").select("tx", F.posexplode("h").alias("p", "u"))
+    left = stored(left.join(later, ["tx", "u"], "left_semi").join(spot(found), ["tx", "p"], "left_anti"))
+    by_rank = Window.partitionBy("u").orderBy(F.col("first").isNull(), "first", "tx")
+    out, reach = found.limit(0), 1
+    while left.limit(1).count():
+        top = held.join(left.select("u").distinct(), "u", "left_semi").select("u", "tx", F.row_number().over(by_rank).alias("r"))
+        top = stored(top.filter(F.col("r") <= 4 * reach))
+        left = stored(left.join(top, ["u", "tx"], "left"))
+        new = top.filter(F.col("r") > reach).select("u", F.col("tx").alias("a"), F.col("r").alias("ra"))
+        pairs = stored(left.select("u", F.col("tx").alias("b"), "r").distinct().join(new, "u").filter("r IS NULL OR ra < r").select("a", "b").distinct())
+        met = stored(pairs.select(F.explode(F.array("a", "b")).alias("tx")).distinct())
+        cut = stored(cuts(pairs, reps.join(met, "tx", "left_semi").select("tx", "h")))
+        out = out.unionByName(cut)
+        left = stored(left.filter("r IS NULL").drop("r").join(spot(cut), ["tx", "p"], "left_anti"))
+        reach *= 4
+    return out
+
+
+def removals(docs: DataFrame, *, rare: int | None = RARE, all_pairs: bool = False) -> DataFrame:
     """tx, first, gone: by distinct text its earliest document and the line positions to delete from it."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)).otherwise(F.lit(0)))
     texts = docs.filter("text IS NOT NULL").select("doc_id", F.sha2(F.col("text"), 256).alias("tx"), lines.alias("h"))
@@ -104,15 +146,11 @@ def removals(docs: DataFrame, *, rare: int | None = RARE) -> DataFrame:
     earliest = stored(earliest.filter((F.col("n") > 1) & few).select("k", "u", F.col("o.tx").alias("a")))
     pairs = held.join(earliest, ["k", "u"]).filter("a != tx").select("a", F.col("tx").alias("b")).distinct()
     pairs = stored(pairs)
-    both = pairs.join(reps.select(F.col("tx").alias("a"), F.col("h").alias("ha")), "a").select("b", "ha").join(reps.select(F.col("tx").alias("b"), F.col("h").alias("hb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_turn("linedup")
-        for batch in batches:
-            gone = [aligned(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, type=pa.list_(pa.int32()))], ["b", "gone"])
-
-    found = both.select("b", "ha", "hb").mapInArrow(run, "b string, gone array<int>").filter("size(gone) > 0")
+    found = cuts(pairs, reps)
+    if all_pairs:
+        found = stored(found)
+        one = held.filter("k = 1").join(earliest.filter("k = 1").select("u", "a"), "u").select("u", "tx", "first", "a")
+        found = found.unionByName(later_rounds(stored(one), found, reps))
     found = found.groupBy("b").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     return reps.select("tx", "first").join(found.withColumnRenamed("b", "tx"), "tx", "left")
 

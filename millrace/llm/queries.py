@@ -77,7 +77,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.linedup import dedup_lines
 
-    got = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), rare=None)
+    got = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), rare=None, all_pairs=True)
     return got.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 

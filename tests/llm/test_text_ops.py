@@ -399,6 +399,27 @@ def test_linedup_queries_take_frequent_lines(spark, tmp_path):
     assert got == {i: t if i == 0 else f"own line {i}\nanother {i * 7}" for i, t in rows}
 
 
+def test_linedup_query_equals_true_all_pairs(spark, tmp_path):
+    """op10_linededup removes what alignment with any earlier text finds, not only with a line's earliest holder."""
+    r = random.Random(7)
+    texts = {0: "u\na\nu2", 1: "u2\nb\nu", 2: "u2\nc\nu"}
+    for i in range(3, 120):  # few shared lines, so many holders, in any order and often twice
+        texts[i] = "\n".join(r.choice([f"own {i} {k}", f"shared {r.randrange(12)}"]) for k in range(r.randrange(2, 9)))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for dir_, docs in ((str(tmp_path), texts), (SF, {x.doc_id: x.text for x in docs_of(spark).collect()})):
+        lines, want = {i: t.split("\n") for i, t in docs.items()}, {}
+        code = {i: [x if WORD.search(x) else 0 for x in lines[i]] for i in docs}
+        for i, t in docs.items():
+            gone = {k for j in docs if j < i and set(code[j]) & set(code[i]) - {0} for k in linedup.aligned(code[j], code[i])}
+            if any(docs[j] == t for j in docs if j < i):
+                want[i] = (len(lines[i]), hashlib.sha256(b"").hexdigest())
+                continue
+            kept = "\n".join(x for k, x in enumerate(lines[i]) if k not in gone)
+            want[i] = (len(gone), hashlib.sha256(kept.encode()).hexdigest())
+        got = {x.doc_id: (x.n_removed, x.kept_sha256) for x in queries.op10_linededup(spark, dir_).collect()}
+        assert got == want
+
+
 def test_linedup_odd_rows(odd, nothing):
     got = linedup.dedup_lines(odd)
     assert sorted(set(got.columns)) == sorted(got.columns) and got.count() == 13
