@@ -40,6 +40,8 @@ from millrace.llm.shingling import STEPS, U, jaccard, mix, shingles
 
 BANDS, ROWS, THRESHOLD = 50, 8, 0.8
 CHUNK_CHARS, CHUNK_DOCS = 400_000, 500
+#: Texts that a scan task remembers; beyond that it hashes a text again.
+SEEN = 1_000_000
 #: Documents in a block of a hub's documents, and components of the estimates inside.
 BLOCK, SKETCH = 1000, 200
 
@@ -121,10 +123,11 @@ def hashed(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
                 keys = band_keys(signatures(bags, bands * rows), bands, rows)
                 rowed = {i: k for i, k, b in zip(new.values(), keys, bags) if len(b[0])}
                 worded = {x for x, b in zip(new, bags) if len(b[0])}
+                tx = [x if x in worded or x in seen else None for x in digests]  # before seen is emptied
                 seen |= worded
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen = worded
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), pa.array([x if x in worded or x in seen else None for x in digests], type=pa.binary()), pa.array([rowed.get(i) for i in range(len(part))], type=pa.list_(pa.int64()))], ["doc_id", "tx", "keys"])
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), pa.array(tx, type=pa.binary()), pa.array([rowed.get(i) for i in range(len(part))], type=pa.list_(pa.int64()))], ["doc_id", "tx", "keys"])
                 lo = hi
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -267,6 +267,15 @@ def test_neardup_chains_and_large_groups(spark):
     assert got == brute_classes(dict(rows))
 
 
+def test_neardup_copies_survive_the_reset_of_seen_texts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SEEN", 2)
+    monkeypatch.setattr(neardup, "CHUNK_DOCS", 2)
+    rows = [(1, "one text"), (2, "another text"), (3, "a third"), (4, "one text"), (5, " "), (6, "a third")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5, 6: 3}
+    assert {r.doc_id for r in neardup.one_of_each(docs).collect()} == {1, 2, 3, 5}
+
+
 def test_bagminhash_is_unbiased_on_bags():
     rng = np.random.default_rng(1)
     bags = []
