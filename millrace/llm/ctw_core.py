@@ -8,6 +8,10 @@ Krichevsky-Trofimov estimate; a node mixes its own estimate with that of its
 longer child, weighted by the posterior that context-tree weighting gives on
 the training data. A child that training never visited hands over to its
 parent, so the mixture stays a proper distribution over the next byte.
+
+A code holds a byte and its context: the latest context byte is highest, the
+byte itself lowest, and between them unused bytes are zero for shorter contexts.
+So codes in order have the contexts that share their latest bytes together.
 """
 
 from __future__ import annotations
@@ -16,9 +20,9 @@ import math
 
 import numpy as np
 
+U = np.uint64
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 END = 10
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -46,19 +50,28 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return shift + (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + i * (1 / 12 - i2 * (1 / 360 - i2 * (1 / 1260 - i2 / 1680)))
 
 
+_half, _whole = lgamma(np.arange(4096) + 0.5), lgamma(np.arange(8192) + 1.0)
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log of the sequential KT probability of n0 zeros and n1 ones."""
-    return lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - math.log(math.pi) - lgamma(n0 + n1 + 1.0)
+    """Log of the sequential KT probability of n0 zeros and n1 ones; small counts come from a table."""
+    n0, n1 = n0.astype(np.int64), n1.astype(np.int64)
+    few = (n0 < len(_half)) & (n1 < len(_half))
+    out = np.empty(len(n0))
+    a, b = n0[few], n1[few]
+    out[few] = _half[a] + _half[b] - _whole[a + b]
+    a, b = n0[~few].astype(np.float64), n1[~few].astype(np.float64)
+    out[~few] = lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1.0)
+    return out - math.log(math.pi)
 
 
 def grams(seqs: list[bytes], depth: int) -> np.ndarray:
-    """(depth + 1)-byte codes, one for each byte of each sequence; the current
-    byte is lowest, and positions before a sequence count as newlines."""
+    """Codes, one for each byte of each sequence; positions before a sequence count as newlines."""
     pad = bytes([END]) * depth
-    a = np.frombuffer(pad + pad.join(seqs), dtype=np.uint8).astype(np.uint64)
+    a = np.frombuffer(pad + pad.join(seqs), dtype=np.uint8).astype(U)
     code = a[depth:].copy()
     for d in range(1, depth + 1):
-        code |= a[depth - d : len(a) - d] << np.uint64(8 * d)
+        code |= a[depth - d : len(a) - d] << U(8 * (depth + 1 - d))
     lens = np.fromiter((len(s) for s in seqs), dtype=np.int64, count=len(seqs))
     if depth and len(seqs) > 1:  # drop the codes that end in padding
         keep = np.ones(len(code), dtype=bool)
@@ -79,80 +92,115 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[first], *(np.add.reduceat(v[order], first) for v in values))
 
 
-def nodes(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, zeros, ones) of the binary nodes that grams pass; key = context * 256 + bit prefix."""
-    ctx, byte = code >> np.uint64(8), code & np.uint64(255)
-    keys, ones, alls = [], [], []
-    for k in range(8):
-        keys.append((ctx << np.uint64(8)) | np.uint64(1 << k) | (byte >> np.uint64(8 - k)))
-        ones.append(np.where((byte >> np.uint64(7 - k)) & np.uint64(1), count, 0))
-        alls.append(count)
-    key, n1, n = summed(np.concatenate(keys), np.concatenate(ones).astype(np.float64), np.concatenate(alls).astype(np.float64))
-    return key, n - n1, n1
-
-
-def cut(code: np.ndarray, depth: int) -> np.ndarray:
-    """Codes or node keys without the bytes older than depth."""
-    return code & np.uint64((1 << (8 * (depth + 1))) - 1)
-
-
-def weigh(code: np.ndarray, count: np.ndarray, depth: int, top: int) -> dict[int, tuple]:
-    """Nodes of depths depth..top: {d: (key, zeros, ones, own weight, log weighted probability)}."""
-    out, below = {}, None
-    for d in range(depth, top - 1, -1):
-        c, n = summed(cut(code, d), count)
-        key, n0, n1 = nodes(c, n)
-        own = log_kt(n0, n1)
-        if below is None:
-            lw, w = own, np.ones(len(key))
-        else:
-            k, child = summed(cut(below[0], d), below[1])
-            lw = np.logaddexp(own, child) - math.log(2)
-            w = np.exp(np.minimum(0.0, own - math.log(2) - lw))
-        out[d] = (key, n0, n1, w, lw)
-        below = (key, lw)
-        code, count = c, n
-    return out
-
-
-def slots(key: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Table slot and 16-bit tag of node keys: the key itself where it fits, else its hash."""
-    if 8 * (depth + 1) <= bits:
-        return key.astype(np.int64), np.zeros(len(key), dtype=np.uint16)
-    x = key * MIX
-    x ^= x >> np.uint64(32)
-    x *= MIX
-    return (x >> np.uint64(64 - bits)).astype(np.int64), ((x >> np.uint64(64 - bits - 16)) & np.uint64(0xFFFF)).astype(np.uint16)
-
-
-def size(depth: int, bits: int) -> int:
-    return 1 << min(8 * (depth + 1), bits)
-
-
-def quantised(n0: np.ndarray, n1: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """KT probability of a one (never 0 or 1) and own weight, in 1/65535."""
-    p = np.clip(np.rint((n1 + 0.5) / (n0 + n1 + 1.0) * 65535), 1, 65534)
-    return p.astype(np.uint16), np.rint(w * 65535).astype(np.uint16)
-
-
-def score_codes(code: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
-    """Log10 probability of the last byte of each code. tables[d], by slot: tag,
-    probability of a one (0 where empty), own weight."""
-    ctx, byte = code >> np.uint64(8), code & np.uint64(255)
+def shorter(code: np.ndarray, depth: int, to: int) -> np.ndarray:
+    """Codes of depth ``depth`` as codes of depth ``to``: the oldest bytes go."""
+    drop = U(8 * (depth - to))
+    return (code >> (drop + U(8)) << U(8)) | (code & U(255))
+
+
+class Level:
+    """The binary nodes of one depth, over its distinct codes in order. Node j of
+    bit k holds the codes that share the context and the first k bits."""
+
+    def __init__(self, code: np.ndarray, count: np.ndarray):
+        self.code, self.count = code, count
+        self.of, self.first, self.n0, self.n1 = [], [], [], []  # by bit: node of each code, first code of each node, zeros, ones
+        prefix = (code >> U(8) << U(8), code & U(255))
+        for k in range(8):
+            key = prefix[0] | (prefix[1] >> U(8 - k))
+            new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            one = np.where((prefix[1] >> U(7 - k)) & U(1), count, 0)
+            self.of.append((np.cumsum(new) - 1).astype(np.int32))
+            self.first.append(first)
+            n = np.add.reduceat(count, first) if len(first) else count
+            n1 = np.add.reduceat(one, first) if len(first) else one
+            self.n0.append(n - n1)
+            self.n1.append(n1)
+        self.lw: list[np.ndarray] = []
+        self.w: list[np.ndarray] = []
+
+    def weigh(self, below: list[np.ndarray] | None) -> None:
+        """below: by bit, the log weighted probabilities of each node's children, summed; None at the deepest level."""
+        for k in range(8):
+            own = log_kt(self.n0[k], self.n1[k])
+            if below is None:
+                self.lw.append(own)
+                self.w.append(np.ones(len(own)))
+            else:
+                lw = np.logaddexp(own, below[k]) - math.log(2)
+                self.lw.append(lw)
+                self.w.append(np.exp(np.minimum(0.0, own - math.log(2) - lw)))
+
+    def handed(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each code: whether training visited its node, the node's probability of a one and its own weight."""
+        n0, n1 = self.n0[k], self.n1[k]
+        of = self.of[k]
+        return (n0 + n1 > 0)[of], ((n1 + 0.5) / (n0 + n1 + 1.0))[of], self.w[k][of]
+
+
+def tree(code: np.ndarray, count: np.ndarray, depth: int, top: int) -> tuple[list[Level], list[np.ndarray]]:
+    """Weighed levels of depths top..depth (in this order), and the index of each
+    level's codes in the level above (the first list entry is of level top + 1).
+    code: distinct, in order. Codes with a count of 0 take part without a vote."""
+    levels, up = [Level(code, count)], []
+    for d in range(depth, top, -1):
+        low = levels[0]
+        short = shorter(low.code, d, d - 1)
+        order = np.argsort(short, kind="stable")
+        k = short[order]
+        new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        inv = np.empty(len(k), dtype=np.int64)
+        inv[order] = np.cumsum(new) - 1
+        levels.insert(0, Level(k[first], np.add.reduceat(low.count[order], first) if len(first) else low.count))
+        up.insert(0, inv)
+    for i in range(len(levels) - 1, -1, -1):
+        if i == len(levels) - 1:
+            levels[i].weigh(None)
+            continue
+        below, here, inv = levels[i + 1], levels[i], up[i]
+        sums = []
+        for k in range(8):
+            to = here.of[k][inv[below.first[k]]]
+            sums.append(np.bincount(to, weights=below.lw[k], minlength=len(here.first[k])))
+        here.weigh(sums)
+    return levels, up
+
+
+def top_index(depth: int, code: np.ndarray, k: int) -> np.ndarray:
+    """Place of a code's node of bit k in the dense table of a shallow depth: context, then 1 and the first k bits."""
+    return (((code >> U(8)) << U(8)) | U(1 << k) | ((code & U(255)) >> U(8 - k))).astype(np.int64)
+
+
+def mixture(code: np.ndarray, depth: int, tops: list[tuple[np.ndarray, np.ndarray, np.ndarray]], levels: list[Level], up: list[np.ndarray]) -> np.ndarray:
+    """Log10 probability of the last byte of each of the deepest level's codes.
+
+    tops[d], for the depths above the levels: sorted node keys, probability of a
+    one, own weight. levels and up as tree() gives them."""
     total = np.zeros(len(code))
+    to = [np.arange(len(code))]  # of each level from the deepest up: the index of each code
+    for inv in reversed(up):
+        to.insert(0, inv[to[0]])
     for k in range(8):
-        key = (ctx << np.uint64(8)) | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-        one = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
+        one = ((code >> U(7 - k)) & U(1)).astype(bool)
         p, rest, live = np.zeros(len(code)), np.ones(len(code)), np.ones(len(code), dtype=bool)
         last = np.full(len(code), 0.5)
-        for d, (tag, p1, w) in enumerate(tables):
-            s, t = slots(cut(key, d), d, bits)
-            own = p1[s] / 65535.0
-            live &= (own > 0) & (tag[s] == t)
+        for d, (keys, p1, w) in enumerate(tops):
+            key = top_index(d, shorter(code, depth, d), k).astype(U)
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            live &= (keys[at] == key) if len(keys) else False
+            own, ws = (p1[at], np.where(live, w[at], 0.0)) if len(keys) else (last, np.zeros(len(code)))
             last = np.where(live, own, last)
-            ws = np.where(live, w[s] / 65535.0, 0.0)
             p += rest * ws * own
             rest *= 1 - ws
+        for level, i in zip(levels, to):
+            met, own, w = level.handed(k)
+            live &= met[i]
+            ws = np.where(live, w[i], 0.0)
+            last = np.where(live, own[i], last)
+            p += rest * ws * own[i]
+            rest *= 1 - ws
         p += rest * last  # what is left goes to the deepest node seen
         total += np.log10(np.where(one, p, 1 - p))
     return total

@@ -1,18 +1,20 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-Documents are dealt into groups of bounded bytes. Training gathers, from all
-training documents, the counts of (depth + 1)-byte strings and of words.
-
-Model: strings that share their two most recent context bytes meet in one task,
-which weighs that subtree bottom up (ctw_core); the two topmost depths (at most
-65536 contexts) are weighed on the driver. Nodes are kept in one table for each
-depth with 2**bits slots and a tag; of two nodes that meet in a slot the one
-with more counts stays, and the other hands over to its parent. So what is
-broadcast is bounded by (depth + 1) * 2**bits * 6 bytes, whatever the input.
-
-Base: the training count of every word of a group comes back to the group by a
-shuffle on buckets of words, of which there are as many as groups; no vocabulary
-is collected or broadcast.
+Documents are dealt into groups of bounded bytes. A group asks for its distinct
+(depth + 1)-byte codes and its distinct words, and tells how often its training
+documents hold them; both go to buckets, codes by the `TOP` latest context bytes.
+
+Model: a bucket adds up its codes, weighs the subtrees below depth TOP bottom up
+(ctw_core) and hands sums of log probabilities to their parents. The depths above
+are weighed on the driver: at most 256**(TOP - 1) contexts by 255 bit prefixes,
+whatever the input. Then every bucket knows the weights above it, scores the codes
+it was asked for from the nodes of all depths and answers the groups. No node is
+left out, no table of nodes, codes or words is broadcast, and subtrees are worked
+through `SUBTREES` codes at a time, so a task's memory does not follow a bucket's.
+Where a bucket has many askers its counts are added up in a tree of partial sums,
+and its askers are dealt into slices that each get a copy of the sums.
+
+Base: training counts of words come back to the groups the same way.
 
 Null and empty texts are the end token alone. A null doc_id counts as a training
 document (its remainder is not known to be the held-out one). Repeated rows are
@@ -28,7 +30,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,252 +38,349 @@ from pyspark.sql import functions as F
 from millrace.llm import ctw_core as ctw
 from millrace.llm.common import stored, worker_turn
 
-DEPTH, BITS = 5, 21
-GROUP_BYTES, CHUNK_BYTES = 24_000_000, 2_000_000
-#: Subtree buckets, merge fan-in, slots that one reducer lays out, entries of the score cache.
-TREES, FAN_IN, LAID, CACHE_BITS = 64, 64, 1 << 16, 21
-_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+DEPTH, TOP = 7, 3
+#: Coded bytes of a group, of a stored row of documents, and of a counted chunk.
+GROUP_BYTES, ROW_BYTES, CHUNK_BYTES = 32_000_000, 1_000_000, 2_000_000
+#: Coded bytes that a bucket is meant for, and the fewest and most buckets.
+BUCKET_BYTES, BUCKETS = 8_000_000, (64, 4096)
+#: Parts that one task adds up, askers that share a copy of a bucket's sums, codes weighed at a time.
+FAN_IN, SLICE, SUBTREES = 64, 1024, 200_000
+WORDS, CODES = 0, 1
+U = np.uint64
+MIX = U(0x9E3779B97F4A7C15)
+#: Planes of a score: the three upper bytes of its 32-bit float, an error of 2**-16 of it at most.
+SCORE_BYTES = 3
+
 
+def planes(a: np.ndarray, width: int | None = None) -> bytes:
+    """Numbers as planes of bytes, the highest first (and only so many): sorted numbers pack well."""
+    size = a.dtype.itemsize
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, size)[:, ::-1].T[: width or size]).tobytes()
 
-def drop_cache() -> None:
-    _cache.clear()
+
+def unplaned(b: bytes, kind: type, width: int | None = None) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    got = np.frombuffer(b, np.uint8).reshape(width or size, -1)
+    out = np.zeros((got.shape[1], size), dtype=np.uint8)
+    out[:, size - len(got) :] = got.T[:, ::-1]
+    return out.reshape(-1).view(kind)
 
 
 def grouped(docs: DataFrame, fold: "F.Column", group_bytes: int) -> DataFrame:
-    """g, doc_id, text, held_out; rows of a group are read together."""
+    """g, ids, held, size, n_train, blob: runs of documents of a group, coded and packed; each ends with a newline."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, n, base = 0, 0, TaskContext.get().partitionId() << 24
         for whole in batches:
             for first in range(0, whole.num_rows, 1000):
-                batch, g = whole.slice(first, 1000), []
-                for x in batch.column(1).to_pylist():
-                    g.append(base + k)
-                    n += len(x or "")
-                    if n >= group_bytes:
-                        k, n = k + 1, 0
-                yield pa.RecordBatch.from_arrays([pa.array(g, type=pa.int64()), *batch.columns], ["g", *batch.schema.names])
+                batch = whole.slice(first, 1000)
+                ends, rows, part, size = [0], [], [], 0
+                for i, x in enumerate(batch.column(1).to_pylist()):
+                    part.append(ctw.coded(ctw.tokens(x)))
+                    size += len(part[-1])
+                    n += len(part[-1])
+                    if size >= ROW_BYTES or n >= group_bytes or i + 1 == batch.num_rows:
+                        rows.append((base + k, size, pa.compress(b"".join(part), codec="zstd", asbytes=True)))
+                        ends.append(i + 1)
+                        part, size = [], 0
+                        if n >= group_bytes:
+                            k, n = k + 1, 0
+                held = batch.column(2).to_numpy(zero_copy_only=False)
+                listed = lambda c: pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), c)
+                train = [int((~held[a:b]).sum()) for a, b in zip(ends, ends[1:])]
+                g, sizes, blobs = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g, type=pa.int64()), listed(batch.column(0)), listed(batch.column(2)), pa.array(sizes, type=pa.int64()), pa.array(train, type=pa.int64()), pa.array(blobs, type=pa.binary())],
+                    ["g", "ids", "held", "size", "n_train", "blob"],
+                )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", fold.alias("held_out")).mapInArrow(run, f"g long, doc_id {kind}, text string, held_out boolean")
+    return docs.select("doc_id", "text", fold.alias("held_out")).mapInArrow(run, f"g long, ids array<{kind}>, held array<boolean>, size long, n_train long, blob binary")
+
+
+def documents(blob: bytes, size: int) -> list[bytes]:
+    return pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True).split(b"\n")[:-1]
+
+
+ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ROWS_SQL = "kind int, bucket long, g long, keys binary, counts binary"
 
 
-def gather(parts: DataFrame, depth: int, buckets: int, trees: int) -> DataFrame:
-    """Rows (kind, bucket, g, keys, counts): kind 0, words of group g with their
-    training counts; kind 1, byte strings of training documents, by subtree."""
+def arrow(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    cols = list(zip(*rows)) if rows else [[]] * len(schema)
+    return pa.Table.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def gather(parts: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """(kind, bucket, g, keys, counts): what group g asks for, with its training counts."""
+    low = min(TOP, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_turn("lm", drop_cache)
-        pid = TaskContext.get().partitionId()
+        worker_turn("lm")
         words: Counter = Counter()
-        now, seqs, n = None, [], 0
-        code, count, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-
-        def word_rows() -> list[tuple]:
-            by: dict[int, list[bytes]] = {}
-            for w in words:
-                by.setdefault(zlib.crc32(w) % buckets, []).append(w)
-            return [(0, b, now, b" ".join(ws), np.array([words[w] for w in ws], dtype=np.int64).tobytes()) for b, ws in by.items()]
+        now, seqs, n = None, {False: [], True: []}, 0
+        code, count, held = np.zeros(0, U), np.zeros(0, np.uint32), []
+
+        def chunk() -> None:
+            nonlocal seqs, n, code, count, held
+            for out, s in seqs.items():
+                if s:
+                    k, c = np.unique(ctw.grams(s, depth), return_counts=True)
+                    held.append((k, np.zeros(len(k), np.uint32) if out else c.astype(np.uint32)))
+            seqs, n = {False: [], True: []}, 0
+            if sum(len(k) for k, _ in held) > 3_000_000:
+                merge()
 
         def merge() -> None:
             nonlocal code, count, held
-            code, count = ctw.summed(np.concatenate([code, *(c for c, _ in held)]), np.concatenate([count, *(k for _, k in held)]))
+            code, count = ctw.summed(np.concatenate([code, *(k for k, _ in held)]), np.concatenate([count, *(c for _, c in held)]))
             held = []
 
-        def gram_rows() -> list[tuple]:
-            tree = ((code >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65521) % np.uint64(trees)
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal code, count, words
+            chunk()
+            merge()
+            by: dict[int, list[bytes]] = {}
+            for w in words:
+                by.setdefault(zlib.crc32(w) % buckets, []).append(w)
+            rows = [(WORDS, b, now, b" ".join(ws), planes(np.array([words[w] for w in ws], dtype=np.uint64))) for b, ws in by.items()]
+            tree = ((code >> U(8 * (depth + 1 - low))) * MIX >> U(40)) % U(buckets)
             order = np.argsort(tree, kind="stable")
-            at = np.searchsorted(tree[order], np.arange(trees + 1, dtype=np.uint64))
-            return [(1, t, pid, code[order[lo:hi]].tobytes(), count[order[lo:hi]].tobytes()) for t, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo]
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(cols, kinds)], ["kind", "bucket", "g", "keys", "counts"])
+            at = np.searchsorted(tree[order], np.arange(buckets + 1, dtype=U))
+            rows += [(CODES, b, now, planes(code[order[lo:hi]]), planes(count[order[lo:hi]].astype(np.uint64))) for b, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo]
+            code, count, words = code[:0], count[:0], Counter()
+            for lo in range(0, len(rows), 64):
+                yield from arrow(rows[lo : lo + 64], ROWS).to_batches()
 
         for batch in batches:
-            for g, text, held_out in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+            for g, outs, size, blob in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("g", "held", "size", "blob"))):
                 if g != now:
-                    if words:
-                        yield out(word_rows())
-                    words, now = Counter(), g
-                tok = ctw.tokens(text)
-                if held_out:
-                    words.update(dict.fromkeys(tok, 0))
-                    continue
-                words.update(tok)
-                seqs.append(ctw.coded(tok))
-                n += len(seqs[-1])
-                if n >= CHUNK_BYTES:
-                    held.append(np.unique(ctw.grams(seqs, depth), return_counts=True))
-                    seqs, n = [], 0
-                    if sum(len(c) for c, _ in held) > 4_000_000:
-                        merge()
-                    if len(code) > 8_000_000:  # bounds memory; the next stage adds up
-                        yield out(gram_rows())
-                        code, count = code[:0], count[:0]
-        if words:
-            yield out(word_rows())
-        if seqs:
-            held.append(np.unique(ctw.grams(seqs, depth), return_counts=True))
-        merge()
-        yield out(gram_rows())
-
-    return parts.mapInArrow(run, "kind int, bucket long, g long, keys binary, counts binary")
-
-
-def add_up(keys, counts) -> tuple[np.ndarray, np.ndarray]:
-    return ctw.summed(np.concatenate([np.frombuffer(x, np.uint64) for x in keys]), np.concatenate([np.frombuffer(x, np.int64) for x in counts]))
-
-
-def model(gathered: DataFrame, depth: int, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The node tables of all depths."""
-    rows = gathered.filter("kind = 1").select("bucket", "g", "keys", "counts")
-    low = min(2, depth)
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        code, n = add_up(part["keys"], part["counts"])
-        return pd.DataFrame({"bucket": [part.bucket[0]], "g": [part.g[0]], "keys": [code.tobytes()], "counts": [n.tobytes()]})
-
-    most = gathered.filter("kind = 1").groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-    while most > FAN_IN:  # a tree: no task adds up more than FAN_IN parts
+                    if now is not None:
+                        yield from flush()
+                    now = g
+                for doc, out in zip(documents(blob, size), outs):
+                    tok = doc.split()
+                    words.update(dict.fromkeys(tok, 0) if out else tok)
+                    seqs[out].append(doc + b"\n")
+                    n += len(doc) + 1
+                    if n >= CHUNK_BYTES:
+                        chunk()
+        if now is not None:
+            yield from flush()
+
+    return parts.select("g", "held", "size", "blob").mapInArrow(run, ROWS_SQL)
+
+
+def counts_of(t: pa.Table) -> list[np.ndarray]:
+    return [unplaned(x, U).astype(np.int64) for x in t.column("counts").to_pylist()]
+
+
+def word_sums(t: pa.Table) -> dict[bytes, int]:
+    sums: dict[bytes, int] = {}
+    for ws, cs in zip(t.column("keys").to_pylist(), counts_of(t)):
+        for w, c in zip(ws.split(b" "), cs.tolist()):
+            sums[w] = sums.get(w, 0) + c
+    return sums
+
+
+def code_sums(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    codes = [unplaned(x, U) for x in t.column("keys").to_pylist()]
+    return ctw.summed(np.concatenate(codes), np.concatenate(counts_of(t)))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """The rows of each bucket added up until no bucket has more than FAN_IN: a tree of partial sums."""
+
+    def add(t: pa.Table) -> pa.Table:
+        kind, bucket, g = (t.column(c)[0].as_py() for c in ("kind", "bucket", "g"))
+        if kind == WORDS:
+            sums = word_sums(t)
+            return arrow([(kind, bucket, g, b" ".join(sums), planes(np.fromiter(sums.values(), U, len(sums))))], ROWS)
+        code, n = code_sums(t)
+        return arrow([(kind, bucket, g, planes(code), planes(n.astype(U)))], ROWS)
+
+    most = rows.groupBy("kind", "bucket").count().agg(F.max("count")).first()[0] or 0
+    while most > FAN_IN:
         most = -(-most // FAN_IN)
-        rows = stored(rows.withColumn("g", F.pmod(F.xxhash64("g", F.lit(most)), F.lit(most))).groupBy("bucket", "g").applyInPandas(merge, rows.schema))
+        rows = stored(rows.withColumn("g", F.pmod(F.xxhash64("g", F.lit(most)), F.lit(most))).groupBy("kind", "bucket", "g").applyInArrow(add, ROWS_SQL))
+    return rows
+
+
+def subtrees(code: np.ndarray, depth: int, low: int) -> Iterator[slice]:
+    """Runs of whole subtrees below depth low, of about SUBTREES codes."""
+    root = code >> U(8 * (depth + 1 - low))
+    first = np.flatnonzero(np.r_[True, root[1:] != root[:-1], True]) if len(code) else np.zeros(1, np.int64)
+    lo = 0
+    for hi in first[1:].tolist():
+        if hi - lo >= SUBTREES or hi == len(code):
+            yield slice(lo, hi)
+            lo = hi
 
-    def pack(d: int, chunk: int, s, tag, p, w, n) -> tuple:
-        return (d, chunk, s.astype(np.uint16).tobytes(), tag.tobytes(), p.tobytes(), w.tobytes(), n.astype(np.float32).tobytes())
 
-    def weigh(part: pd.DataFrame) -> pd.DataFrame:
-        code, n = add_up(part["keys"], part["counts"])
-        out = []
-        got = ctw.weigh(code, n, depth, low)
-        for d in range(low + (depth >= 2) * 0, depth + 1):
-            key, n0, n1, w, _ = got[d]
-            if d >= 2:
-                s, tag = ctw.slots(key, d, bits)
-                p, w = ctw.quantised(n0, n1, w)
-                order = np.argsort(s, kind="stable")
-                s, tag, p, w, n_ = s[order], tag[order], p[order], w[order], (n0 + n1)[order]
-                at = np.flatnonzero(np.r_[True, s[1:] // LAID != s[:-1] // LAID, True]) if len(s) else [0]
-                out += [pack(d, int(s[lo] // LAID), s[lo:hi] % LAID, tag[lo:hi], p[lo:hi], w[lo:hi], n_[lo:hi]) for lo, hi in zip(at, at[1:])]
-        key, n0, n1, _, lw = got[low]
-        short, m = ctw.summed(ctw.cut(code, low), n)
-        out.append((-1, 0, key.tobytes(), lw.tobytes(), short.tobytes(), m.tobytes(), b""))
-        return pd.DataFrame(out, columns=["d", "chunk", "s", "tag", "p", "w", "n"])
-
-    kinds = "d int, chunk int, s binary, tag binary, p binary, w binary, n binary"
-    nodes = stored(rows.groupBy("bucket").applyInPandas(weigh, kinds))
-
-    def lay(part: pd.DataFrame) -> pd.DataFrame:
-        s, tag, p, w = (np.concatenate([np.frombuffer(x, np.uint16) for x in part[c]]) for c in ("s", "tag", "p", "w"))
-        n = np.concatenate([np.frombuffer(x, np.float32) for x in part.n])
-        order = np.lexsort((tag, -n))[::-1]  # the last write stays: most counts, then the smallest tag
-        table = np.zeros((3, LAID), dtype=np.uint16)
-        table[:, s[order]] = tag[order], p[order], w[order]
-        return pd.DataFrame({"d": [part.d[0]], "chunk": [part.chunk[0]], "table": [table.tobytes()]})
-
-    tables = [tuple(np.zeros(ctw.size(d, bits), dtype=np.uint16) for _ in range(3)) for d in range(depth + 1)]
-    for r in nodes.filter("d >= 0").groupBy("d", "chunk").applyInPandas(lay, "d int, chunk int, table binary").collect():  # bounded by the tables
-        t, lo = np.frombuffer(bytes(r.table), np.uint16).reshape(3, LAID), r.chunk * LAID
-        for mine, theirs in zip(tables[r.d], t):
-            mine[lo : lo + LAID] = theirs[: len(mine) - lo]
-    top = nodes.filter("d < 0").collect()  # at most 65536 contexts by 255 prefixes
-    if top:
-        key, lw = (np.concatenate([np.frombuffer(bytes(getattr(r, c)), k) for r in top]) for c, k in (("s", np.uint64), ("tag", np.float64)))
-        code, n = ctw.summed(np.concatenate([np.frombuffer(bytes(r.p), np.uint64) for r in top]), np.concatenate([np.frombuffer(bytes(r.w), np.int64) for r in top]))
-        below = (key, lw)
-        for d in range(min(low, 1), -1, -1):
-            c, m = ctw.summed(ctw.cut(code, d), n)
-            key, n0, n1 = ctw.nodes(c, m)
-            own = ctw.log_kt(n0, n1)
-            if d == depth:
-                lw, w = own, np.ones(len(key))
-            else:
-                _, child = ctw.summed(ctw.cut(below[0], d), below[1])
-                lw = np.logaddexp(own, child) - math.log(2)
-                w = np.exp(np.minimum(0.0, own - math.log(2) - lw))
-            p, w = ctw.quantised(n0, n1, w)
-            s, tag = ctw.slots(key, d, bits)
-            tables[d][0][s], tables[d][1][s], tables[d][2][s] = tag, p, w
-            below = (key, lw)
-    return tables
-
-
-def cached_scores(code: np.ndarray, tables: list, bits: int, of: int) -> np.ndarray:
-    """score_codes through a direct-mapped cache that the worker keeps."""
-    if of not in _cache:
-        _cache.clear()
-        _cache[of] = (np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(1 << CACHE_BITS, dtype=np.float32))
-    keys, values = _cache[of]
-    at = ((code * ctw.MIX) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-    miss = keys[at] != code
-    out = values[at].astype(np.float64)
-    if miss.any():
-        new, back = np.unique(code[miss], return_inverse=True)
-        got = ctw.score_codes(new, tables, bits)
-        out[miss] = got[back]
-        at = ((new * ctw.MIX) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        keys[at], values[at] = new, got.astype(np.float32)
-        clash = keys[at] != new
-        if clash.any():  # of codes that meet, the table keeps one; its value must be its own
-            own = np.searchsorted(new, keys[at])
-            values[at] = got[own].astype(np.float32)
-    return out
-
-
-def score(docs: DataFrame, fold: "F.Column", *, depth: int = DEPTH, bits: int = BITS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
+TOPS = pa.schema([("part", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary()), ("nodes", pa.binary()), ("sums", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+TOPS_SQL = "part int, codes binary, counts binary, nodes binary, sums binary, n long, v long"
+
+
+def top(model: DataFrame, depth: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], int, int]:
+    """Nodes of the depths above the subtrees (sorted keys, probability of a one, own weight), and the words' count and number."""
+    low = min(TOP, depth)
+    t = low - 1
+
+    def weigh(rows: pa.Table) -> pa.Table:
+        worker_turn("lm")
+        if rows.column("kind")[0].as_py() == WORDS:
+            sums = [c for c in word_sums(rows).values() if c]
+            return arrow([(-1, None, None, None, None, sum(sums), len(sums))], TOPS)
+        code, n = code_sums(rows)
+        code, n = code[n > 0], n[n > 0]
+        codes, counts, keys, values = [], [], [], []
+        for s in subtrees(code, depth, low):
+            levels, _ = ctw.tree(code[s], n[s], depth, low)
+            root = levels[0]
+            codes.append(ctw.shorter(root.code, low, t))
+            counts.append(root.count)
+            for k in range(8):
+                keys.append(ctw.top_index(t, ctw.shorter(root.code[root.first[k]], low, t), k).astype(U))
+                values.append(root.lw[k])
+        if not codes:
+            return arrow([], TOPS)
+        return packed(*ctw.summed(np.concatenate(codes), np.concatenate(counts)), *ctw.summed(np.concatenate(keys), np.concatenate(values)))
+
+    def packed(code, n, key, lw) -> pa.Table:
+        """A row for each latest context byte."""
+        shift = U(8 * t) if t else U(63)
+        a, b = (code >> shift), (key >> shift)
+        rows = []
+        for p in np.unique(a).tolist():
+            i, j = a == U(p), b == U(p)
+            rows.append((p, code[i].tobytes(), n[i].tobytes(), key[j].tobytes(), lw[j].tobytes(), 0, 0))
+        return arrow(rows, TOPS)
+
+    def read(rows) -> tuple:
+        code, n, key, lw = (np.concatenate([np.frombuffer(x, kind) for x in c]) for c, kind in zip(rows, (U, np.int64, U, np.float64)))
+        return *ctw.summed(code, n), *ctw.summed(key, lw)
+
+    def add(rows: pa.Table) -> pa.Table:
+        if rows.column("part")[0].as_py() < 0:
+            return arrow([(-1, None, None, None, None, sum(rows.column("n").to_pylist()), sum(rows.column("v").to_pylist()))], TOPS)
+        return packed(*read(rows.column(c).to_pylist() for c in ("codes", "counts", "nodes", "sums")))
+
+    weighed = model.groupBy("kind", "bucket").applyInArrow(weigh, TOPS_SQL)
+    got = weighed.groupBy("part").applyInArrow(add, TOPS_SQL).collect()  # at most 256 rows, of 256**(TOP - 2) contexts each
+    words = [r for r in got if r.part < 0]
+    got = [r for r in got if r.part >= 0]
+    tops: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, U), np.zeros(0), np.zeros(0))] * low
+    if got:
+        code, n, key, lw = read([[bytes(x) for x in c] for c in zip(*((r.codes, r.counts, r.nodes, r.sums) for r in got))])
+        for d in range(t, -1, -1):
+            level = ctw.Level(code, n)
+            own = [ctw.top_index(d, code[level.first[k]], k).astype(U) for k in range(8)]
+            level.weigh([lw[np.searchsorted(key, x)] for x in own])
+            all_keys = np.concatenate(own)
+            order = np.argsort(all_keys)
+            n0, n1, w, lw = (np.concatenate(x)[order] for x in (level.n0, level.n1, level.w, level.lw))
+            key = all_keys[order]
+            tops[d] = (key, (n1 + 0.5) / (n0 + n1 + 1.0), w)
+            if d:
+                code, n = ctw.summed(ctw.shorter(code, d, d - 1), n)
+                key, lw = ctw.summed(ctw.shorter(key, d, d - 1), lw)
+    return tops, sum(r.n for r in words), sum(r.v for r in words)
+
+
+ANSWERS_SQL = "g long, kind int, keys binary, values binary"
+ANSWERS = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+
+
+def answers(model: DataFrame, asked: DataFrame, groups: int, depth: int, tops) -> DataFrame:
+    """(g, kind, keys, values): training counts of words, log10 probabilities of codes."""
+    low = min(TOP, depth)
+
+    def reply(m: pa.Table, a: pa.Table) -> pa.Table:
+        worker_turn("lm")
+        if not a.num_rows:
+            return arrow([], ANSWERS)
+        gs, keys = a.column("g").to_pylist(), a.column("keys").to_pylist()
+        if a.column("kind")[0].as_py() == WORDS:
+            sums = word_sums(m)
+            return arrow([(g, WORDS, ws, planes(np.array([sums[w] for w in ws.split(b" ")], dtype=U))) for g, ws in zip(gs, keys)], ANSWERS)
+        code, n = code_sums(m)
+        score = np.zeros(len(code), np.float32)
+        for s in subtrees(code, depth, low):
+            levels, up = ctw.tree(code[s], n[s], depth, low)
+            score[s] = ctw.mixture(code[s], depth, tops.value, levels, up)
+        out = [(g, CODES, x, planes(score[np.searchsorted(code, unplaned(x, U))], SCORE_BYTES)) for g, x in zip(gs, keys)]
+        return arrow(out, ANSWERS)
+
+    slices = -(-groups // SLICE)
+    if slices == 1:  # few askers: the bucket's sums are those of its askers
+        return asked.groupBy("kind", "bucket").applyInArrow(lambda t: reply(t, t), ANSWERS_SQL)
+    left = model.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    right = asked.withColumn("slice", F.pmod(F.xxhash64("g"), F.lit(slices)).cast("int"))
+    by = ["kind", "bucket", "slice"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(lambda key, m, a: reply(m, a), ANSWERS_SQL)
+
+
+class Lookup:
+    """Scores of codes: by a slot of their hash, or else by search."""
+
+    def __init__(self, code: np.ndarray, score: np.ndarray, bits: int = 22):
+        order = np.argsort(code)
+        self.code, self.score, self.shift = code[order], score[order], U(64 - bits)
+        self.slot = np.zeros(1 << bits, dtype=np.int32)
+        self.slot[(self.code * MIX >> self.shift).astype(np.int64)] = np.arange(len(code), dtype=np.int32)
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        at = self.slot[(code * MIX >> self.shift).astype(np.int64)]
+        miss = np.flatnonzero(self.code[at] != code)
+        at[miss] = np.searchsorted(self.code, code[miss])
+        return self.score[at]
+
+
+def score(docs: DataFrame, fold: "F.Column", *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte. depth: 1 to 7."""
     spark = docs.sparkSession
     parts = stored(grouped(docs, fold, group_bytes))
-    info = parts.agg(F.countDistinct("g").alias("g"), F.count(F.when(~F.col("held_out"), 1)).alias("n")).first()
-    buckets = max(16, info.g)
-    gathered = stored(gather(parts, depth, buckets, TREES))
-    shared = spark.sparkContext.broadcast(model(gathered, depth, bits))
-
-    def total(part: pd.DataFrame) -> pd.DataFrame:
-        sums: dict[bytes, int] = {}
-        lists = [x.split(b" ") for x in part["keys"]]
-        for words, counts in zip(lists, part["counts"]):
-            for w, c in zip(words, np.frombuffer(counts, np.int64).tolist()):
-                if c:
-                    sums[w] = sums.get(w, 0) + c
-        back = [np.array([sums.get(w, 0) for w in words], dtype=np.int64).tobytes() for words in lists]
-        first = [1] + [0] * (len(part) - 1)
-        return pd.DataFrame({"g": part.g, "keys": part["keys"], "counts": back, "n": [x * sum(sums.values()) for x in first], "v": [x * len(sums) for x in first]})
-
-    words = stored(gathered.filter("kind = 0").groupBy("bucket").applyInPandas(total, "g long, keys binary, counts binary, n long, v long"))
-    s = words.agg(F.sum("n"), F.sum("v")).first()
-    ends = info.n
-    n_all, v_all = (s[0] or 0) + ends, (s[1] or 0) + (ends > 0)
+    info = parts.agg(F.countDistinct("g").alias("g"), F.sum("n_train").alias("n"), F.sum("size").alias("size")).first()
+    buckets = min(max(BUCKETS[0], (info.size or 0) // bucket_bytes), BUCKETS[1])
+    asked = stored(gather(parts, depth, buckets))
+    model = merged(asked)
+    tops, n_words, v_words = top(model, depth)
+    shared = spark.sparkContext.broadcast(tops)
+    replies = answers(model, asked, info.g, depth, shared)
+    ends = info.n or 0
+    n_all, v_all = n_words + ends, v_words + (ends > 0)
     floor = math.log10(n_all + v_all + 1)
-    of = id(shared) ^ int(n_all)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
+    kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64(), pa.float64()]
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        worker_turn("lm", drop_cache)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        worker_turn("lm")
         count: dict[bytes, int] = {}
-        for ws, cs in zip(right["keys"], right["counts"]):
-            count.update(zip(ws.split(b" "), np.frombuffer(cs, np.int64).tolist()))
+        codes, scores = [], []
+        for k, keys, values in zip(*(right.column(c).to_pylist() for c in ("kind", "keys", "values"))):
+            if k == WORDS:
+                count.update(zip(keys.split(b" "), unplaned(values, U).tolist()))
+            else:
+                codes.append(unplaned(keys, U))
+                scores.append(unplaned(values, np.float32, SCORE_BYTES))
+        look = Lookup(np.concatenate(codes), np.concatenate(scores)) if codes else None
         out = []
-        lo = 0
-        texts = left["text"].tolist()
-        while lo < len(texts):
-            toks, n, hi = [], 0, lo
-            while hi < len(texts) and (hi == lo or n < CHUNK_BYTES):
-                toks.append(ctw.tokens(texts[hi]))
-                n += len(texts[hi] or "")
-                hi += 1
-            seqs = [ctw.coded(t) for t in toks]
-            each = cached_scores(ctw.grams(seqs, depth), shared.value, bits, of)
-            first = np.cumsum([0] + [len(x) for x in seqs])
-            sums = np.add.reduceat(each, first[:-1])
-            for tok, seq, value in zip(toks, seqs, sums.tolist()):
+
+        def told(some: list[bytes]) -> None:
+            each = look(ctw.grams([x + b"\n" for x in some], depth)).astype(np.float64)
+            first = np.cumsum([0] + [len(x) + 1 for x in some])
+            for doc, value in zip(some, np.add.reduceat(each, first[:-1]).tolist()):
+                tok = doc.split()
                 c = np.fromiter(map(count.__getitem__, tok), dtype=np.int64, count=len(tok))
                 base = float(np.log10(c + 1.0).sum()) + math.log10(ends + 1.0) - (len(tok) + 1) * floor
-                out.append((len(tok) + 1, int((c > 0).sum()) + (ends > 0), n_all, base, value, len(seq), -value / math.log10(2) / len(seq)))
-            lo = hi
-        got = pd.DataFrame(out, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
-        return pd.concat([left[["doc_id", "held_out"]].reset_index(drop=True), got], axis=1)
+                out.append((len(tok) + 1, int((c > 0).sum()) + (ends > 0), n_all, base, value, len(doc) + 1, -value / math.log10(2) / (len(doc) + 1)))
+
+        for size, blob in zip(left.column("size").to_pylist(), left.column("blob").to_pylist()):
+            told(documents(blob, size))
+        flat = lambda c: pa.concat_arrays([x.flatten() for x in left.column(c).chunks])
+        got = arrow(out, pa.schema(list(zip(names, kinds))))
+        return pa.Table.from_arrays([flat("ids"), flat("held"), *got.columns], ["doc_id", "held_out", *names])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return parts.groupBy("g").cogroup(words.select("g", "keys", "counts").groupBy("g")).applyInPandas(run, schema)
+    return parts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(run, schema)
