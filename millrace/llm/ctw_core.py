@@ -86,7 +86,7 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, with each value summed."""
     if not len(keys):
         return (keys, *values)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable")  # mostly sorted runs
     k = keys[order]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     return (k[first], *(np.add.reduceat(v[order], first) for v in values))
@@ -132,11 +132,29 @@ class Level:
                 self.lw.append(lw)
                 self.w.append(np.exp(np.minimum(0.0, own - math.log(2) - lw)))
 
-    def handed(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each code: whether training visited its node, the node's probability of a one and its own weight."""
-        n0, n1 = self.n0[k], self.n1[k]
-        of = self.of[k]
-        return (n0 + n1 > 0)[of], ((n1 + 0.5) / (n0 + n1 + 1.0))[of], self.w[k][of]
+    def mix(self, state: list["State"]) -> None:
+        """Takes this depth's nodes into the mixtures of its codes, one state for each bit."""
+        for k, x in enumerate(state):
+            n = self.n0[k] + self.n1[k]
+            x.add((n > 0)[self.of[k]], ((self.n1[k] + 0.5) / (n + 1.0))[self.of[k]], self.w[k][self.of[k]])
+
+
+class State:
+    """Of some codes, for one bit: the mixture so far, the weight that is left, and the deepest node's estimate."""
+
+    def __init__(self, n: int):
+        self.p, self.rest, self.last, self.live = np.zeros(n), np.ones(n), np.full(n, 0.5), np.ones(n, dtype=bool)
+
+    def add(self, met: np.ndarray, own: np.ndarray, w: np.ndarray) -> None:
+        """A child that training never visited leaves all to its parent."""
+        self.live &= met
+        w = np.where(self.live, w, 0.0)
+        self.last = np.where(self.live, own, self.last)
+        self.p += self.rest * w * own
+        self.rest *= 1 - w
+
+    def take(self, at: np.ndarray) -> None:
+        self.p, self.rest, self.last, self.live = self.p[at], self.rest[at], self.last[at], self.live[at]
 
 
 def tree(code: np.ndarray, count: np.ndarray, depth: int, top: int) -> tuple[list[Level], list[np.ndarray]]:
@@ -147,7 +165,7 @@ def tree(code: np.ndarray, count: np.ndarray, depth: int, top: int) -> tuple[lis
     for d in range(depth, top, -1):
         low = levels[0]
         short = shorter(low.code, d, d - 1)
-        order = np.argsort(short, kind="stable")
+        order = np.argsort(short)
         k = short[order]
         new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
         first = np.flatnonzero(new)
@@ -168,8 +186,8 @@ def tree(code: np.ndarray, count: np.ndarray, depth: int, top: int) -> tuple[lis
     return levels, up
 
 
-def top_index(depth: int, code: np.ndarray, k: int) -> np.ndarray:
-    """Place of a code's node of bit k in the dense table of a shallow depth: context, then 1 and the first k bits."""
+def top_index(code: np.ndarray, k: int) -> np.ndarray:
+    """Key of a code's node of bit k: its context, then 1 and the first k bits."""
     return (((code >> U(8)) << U(8)) | U(1 << k) | ((code & U(255)) >> U(8 - k))).astype(np.int64)
 
 
@@ -177,30 +195,28 @@ def mixture(code: np.ndarray, depth: int, tops: list[tuple[np.ndarray, np.ndarra
     """Log10 probability of the last byte of each of the deepest level's codes.
 
     tops[d], for the depths above the levels: sorted node keys, probability of a
-    one, own weight. levels and up as tree() gives them."""
-    total = np.zeros(len(code))
-    to = [np.arange(len(code))]  # of each level from the deepest up: the index of each code
-    for inv in reversed(up):
-        to.insert(0, inv[to[0]])
-    for k in range(8):
-        one = ((code >> U(7 - k)) & U(1)).astype(bool)
-        p, rest, live = np.zeros(len(code)), np.ones(len(code)), np.ones(len(code), dtype=bool)
-        last = np.full(len(code), 0.5)
+    one, own weight. levels and up as tree() gives them. Mixtures are worked out
+    from the shallowest depth down, each over the distinct codes of its depth."""
+    low, here = depth + 1 - len(levels), levels[0].code
+    if tops:
+        short, at = np.unique(shorter(here, low, low - 1), return_inverse=True)
+    else:
+        short, at = here, np.arange(len(here))
+    state = [State(len(short)) for _ in range(8)]
+    for k, x in enumerate(state):
         for d, (keys, p1, w) in enumerate(tops):
-            key = top_index(d, shorter(code, depth, d), k).astype(U)
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            live &= (keys[at] == key) if len(keys) else False
-            own, ws = (p1[at], np.where(live, w[at], 0.0)) if len(keys) else (last, np.zeros(len(code)))
-            last = np.where(live, own, last)
-            p += rest * ws * own
-            rest *= 1 - ws
-        for level, i in zip(levels, to):
-            met, own, w = level.handed(k)
-            live &= met[i]
-            ws = np.where(live, w[i], 0.0)
-            last = np.where(live, own[i], last)
-            p += rest * ws * own[i]
-            rest *= 1 - ws
-        p += rest * last  # what is left goes to the deepest node seen
-        total += np.log10(np.where(one, p, 1 - p))
+            if not len(keys):
+                x.live[:] = False
+                continue
+            key = top_index(shorter(short, low - 1, d), k).astype(U)
+            i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            x.add(keys[i] == key, p1[i], w[i])
+    for level, i in zip(levels, [at, *up]):
+        for x in state:
+            x.take(i)
+        level.mix(state)
+    total = np.zeros(len(code))
+    for k, x in enumerate(state):
+        p = x.p + x.rest * x.last  # what is left goes to the deepest node seen
+        total += np.log10(np.where((code >> U(7 - k)) & U(1), p, 1 - p))
     return total

@@ -11,8 +11,9 @@ whatever the input. Then every bucket knows the weights above it, scores the cod
 it was asked for from the nodes of all depths and answers the groups. No node is
 left out, no table of nodes, codes or words is broadcast, and subtrees are worked
 through `SUBTREES` codes at a time, so a task's memory does not follow a bucket's.
-Where a bucket has many askers its counts are added up in a tree of partial sums,
-and its askers are dealt into slices that each get a copy of the sums.
+A bucket's requests stay with it between the two passes. Where there are many
+groups, counts are added up in a tree of partial sums first, and a bucket's askers
+are dealt into slices that each get a copy of the sums.
 
 Base: training counts of words come back to the groups the same way.
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from millrace.llm import ctw_core as ctw
 from millrace.llm.common import stored, worker_turn
 
-DEPTH, TOP = 7, 3
+DEPTH, TOP = 6, 3
 #: Coded bytes of a group, of a stored row of documents, and of a counted chunk.
 GROUP_BYTES, ROW_BYTES, CHUNK_BYTES = 32_000_000, 1_000_000, 2_000_000
 #: Coded bytes that a bucket is meant for, and the fewest and most buckets.
@@ -132,9 +133,14 @@ def gather(parts: DataFrame, depth: int, buckets: int) -> DataFrame:
                 merge()
 
         def merge() -> None:
+            """Adds up sorted arrays range by range, so that copies stay small."""
             nonlocal code, count, held
-            code, count = ctw.summed(np.concatenate([code, *(k for k, _ in held)]), np.concatenate([count, *(c for _, c in held)]))
+            runs = [(code, count), *held]
             held = []
+            longest = max((k for k, _ in runs), key=len)
+            cuts = [np.r_[0, np.searchsorted(k, longest[len(longest) // 8 :: len(longest) // 8 + 1]), len(k)] for k, _ in runs]
+            got = [ctw.summed(*(np.concatenate([x[j][c[i] : c[i + 1]] for x, c in zip(runs, cuts)]) for j in (0, 1))) for i in range(len(cuts[0]) - 1)]
+            code, count = np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got])
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal code, count, words
@@ -217,45 +223,50 @@ def subtrees(code: np.ndarray, depth: int, low: int) -> Iterator[slice]:
             lo = hi
 
 
-TOPS = pa.schema([("part", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary()), ("nodes", pa.binary()), ("sums", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 TOPS_SQL = "part int, codes binary, counts binary, nodes binary, sums binary, n long, v long"
+TOPS = pa.schema([("part", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary()), ("nodes", pa.binary()), ("sums", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+KEPT_SQL = "kind int, gs array<long>, keys array<binary>, votes array<binary>"
+KEPT = pa.schema([("kind", pa.int32()), ("gs", pa.list_(pa.int64())), ("keys", pa.list_(pa.binary())), ("votes", pa.list_(pa.binary()))])
+
+
+def by_latest(t: int, code: np.ndarray, n: np.ndarray, key: np.ndarray, lw: np.ndarray) -> pa.Table:
+    """Codes with counts and nodes with sums, of depth t: a row for each latest context byte."""
+    shift = U(8 * t) if t else U(63)
+    a, b, rows = code >> shift, key >> shift, []
+    for p in np.unique(a).tolist():
+        i, j = a == U(p), b == U(p)
+        rows.append((p, code[i].tobytes(), n[i].tobytes(), key[j].tobytes(), lw[j].tobytes(), 0, 0))
+    return arrow(rows, TOPS)
 
 
-def top(model: DataFrame, depth: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], int, int]:
+def weighed(rows: pa.Table, depth: int) -> pa.Table:
+    """What a bucket tells the depths above its subtrees: of words, their count and number."""
+    if rows.column("kind")[0].as_py() == WORDS:
+        sums = [c for c in word_sums(rows).values() if c]
+        return arrow([(-1, None, None, None, None, sum(sums), len(sums))], TOPS)
+    low = min(TOP, depth)
+    t = low - 1
+    code, n = code_sums(rows)
+    code, n = code[n > 0], n[n > 0]
+    codes, counts, keys, values = [], [], [], []
+    for s in subtrees(code, depth, low):
+        levels, _ = ctw.tree(code[s], n[s], depth, low)
+        root = levels[0]
+        codes.append(ctw.shorter(root.code, low, t))
+        counts.append(root.count)
+        for k in range(8):
+            keys.append(ctw.top_index(ctw.shorter(root.code[root.first[k]], low, t), k).astype(U))
+            values.append(root.lw[k])
+    if not codes:
+        return arrow([], TOPS)
+    return by_latest(t, *ctw.summed(np.concatenate(codes), np.concatenate(counts)), *ctw.summed(np.concatenate(keys), np.concatenate(values)))
+
+
+def top(told: DataFrame, depth: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], int, int]:
     """Nodes of the depths above the subtrees (sorted keys, probability of a one, own weight), and the words' count and number."""
     low = min(TOP, depth)
     t = low - 1
 
-    def weigh(rows: pa.Table) -> pa.Table:
-        worker_turn("lm")
-        if rows.column("kind")[0].as_py() == WORDS:
-            sums = [c for c in word_sums(rows).values() if c]
-            return arrow([(-1, None, None, None, None, sum(sums), len(sums))], TOPS)
-        code, n = code_sums(rows)
-        code, n = code[n > 0], n[n > 0]
-        codes, counts, keys, values = [], [], [], []
-        for s in subtrees(code, depth, low):
-            levels, _ = ctw.tree(code[s], n[s], depth, low)
-            root = levels[0]
-            codes.append(ctw.shorter(root.code, low, t))
-            counts.append(root.count)
-            for k in range(8):
-                keys.append(ctw.top_index(t, ctw.shorter(root.code[root.first[k]], low, t), k).astype(U))
-                values.append(root.lw[k])
-        if not codes:
-            return arrow([], TOPS)
-        return packed(*ctw.summed(np.concatenate(codes), np.concatenate(counts)), *ctw.summed(np.concatenate(keys), np.concatenate(values)))
-
-    def packed(code, n, key, lw) -> pa.Table:
-        """A row for each latest context byte."""
-        shift = U(8 * t) if t else U(63)
-        a, b = (code >> shift), (key >> shift)
-        rows = []
-        for p in np.unique(a).tolist():
-            i, j = a == U(p), b == U(p)
-            rows.append((p, code[i].tobytes(), n[i].tobytes(), key[j].tobytes(), lw[j].tobytes(), 0, 0))
-        return arrow(rows, TOPS)
-
     def read(rows) -> tuple:
         code, n, key, lw = (np.concatenate([np.frombuffer(x, kind) for x in c]) for c, kind in zip(rows, (U, np.int64, U, np.float64)))
         return *ctw.summed(code, n), *ctw.summed(key, lw)
@@ -263,10 +274,9 @@ def top(model: DataFrame, depth: int) -> tuple[list[tuple[np.ndarray, np.ndarray
     def add(rows: pa.Table) -> pa.Table:
         if rows.column("part")[0].as_py() < 0:
             return arrow([(-1, None, None, None, None, sum(rows.column("n").to_pylist()), sum(rows.column("v").to_pylist()))], TOPS)
-        return packed(*read(rows.column(c).to_pylist() for c in ("codes", "counts", "nodes", "sums")))
+        return by_latest(t, *read(rows.column(c).to_pylist() for c in ("codes", "counts", "nodes", "sums")))
 
-    weighed = model.groupBy("kind", "bucket").applyInArrow(weigh, TOPS_SQL)
-    got = weighed.groupBy("part").applyInArrow(add, TOPS_SQL).collect()  # at most 256 rows, of 256**(TOP - 2) contexts each
+    got = told.groupBy("part").applyInArrow(add, TOPS_SQL).collect()  # at most 257 rows, of 256**(TOP - 2) contexts each
     words = [r for r in got if r.part < 0]
     got = [r for r in got if r.part >= 0]
     tops: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, U), np.zeros(0), np.zeros(0))] * low
@@ -274,12 +284,12 @@ def top(model: DataFrame, depth: int) -> tuple[list[tuple[np.ndarray, np.ndarray
         code, n, key, lw = read([[bytes(x) for x in c] for c in zip(*((r.codes, r.counts, r.nodes, r.sums) for r in got))])
         for d in range(t, -1, -1):
             level = ctw.Level(code, n)
-            own = [ctw.top_index(d, code[level.first[k]], k).astype(U) for k in range(8)]
+            own = [ctw.top_index(code[level.first[k]], k).astype(U) for k in range(8)]
             level.weigh([lw[np.searchsorted(key, x)] for x in own])
-            all_keys = np.concatenate(own)
-            order = np.argsort(all_keys)
+            key = np.concatenate(own)
+            order = np.argsort(key)
             n0, n1, w, lw = (np.concatenate(x)[order] for x in (level.n0, level.n1, level.w, level.lw))
-            key = all_keys[order]
+            key = key[order]
             tops[d] = (key, (n1 + 0.5) / (n0 + n1 + 1.0), w)
             if d:
                 code, n = ctw.summed(ctw.shorter(code, d, d - 1), n)
@@ -291,33 +301,59 @@ ANSWERS_SQL = "g long, kind int, keys binary, values binary"
 ANSWERS = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
 
 
-def answers(model: DataFrame, asked: DataFrame, groups: int, depth: int, tops) -> DataFrame:
-    """(g, kind, keys, values): training counts of words, log10 probabilities of codes."""
-    low = min(TOP, depth)
+def reply(sums: pa.Table, gs: list[int], keys: list[bytes], depth: int, tops) -> pa.Table:
+    """To groups that ask one bucket: training counts of words, log10 probabilities of codes."""
+    kind, low = sums.column("kind")[0].as_py(), min(TOP, depth)
+    if kind == WORDS:
+        words = word_sums(sums)
+        return arrow([(g, kind, ws, planes(np.array([words[w] for w in ws.split(b" ")], dtype=U))) for g, ws in zip(gs, keys)], ANSWERS)
+    code, n = code_sums(sums)
+    score = np.zeros(len(code), np.float32)
+    for s in subtrees(code, depth, low):
+        levels, up = ctw.tree(code[s], n[s], depth, low)
+        score[s] = ctw.mixture(code[s], depth, tops, levels, up)
+    return arrow([(g, kind, x, planes(score[np.searchsorted(code, unplaned(x, U))], SCORE_BYTES)) for g, x in zip(gs, keys)], ANSWERS)
+
+
+def answered(asked: DataFrame, groups: int, depth: int) -> tuple[DataFrame, int, int]:
+    """(g, kind, keys, values) for all that groups ask, and the words' count and number."""
+    spark = asked.sparkSession
+    slices = max(1, -(-groups // SLICE))
+    if slices == 1:  # few askers: their requests are a bucket's counts, and stay with it
+
+        def first(rows: pa.Table) -> pa.Table:
+            worker_turn("lm")
+            told, n = weighed(rows, depth), len(KEPT)
+            kept = [rows.column("kind")[0].as_py(), *(rows.column(c).to_pylist() for c in ("g", "keys", "counts"))]
+            whole = pa.schema([*TOPS, *(f.with_name(f"k_{f.name}") for f in KEPT)])
+            return arrow([*(tuple(r.values()) + (None,) * n for r in told.to_pylist()), (*(None,) * len(TOPS), *kept)], whole)
+
+        both = stored(asked.groupBy("kind", "bucket").applyInArrow(first, TOPS_SQL + ", " + KEPT_SQL.replace("kind", "k_kind").replace("gs", "k_gs").replace("keys", "k_keys").replace("votes", "k_votes")))
+        tops, n, v = top(both.filter("part IS NOT NULL").select(*TOPS.names), depth)
+        shared = spark.sparkContext.broadcast(tops)
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_turn("lm")
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    kind, gs, keys, votes = (c[i].as_py() for c in batch.columns)
+                    yield from reply(arrow([(kind, 0, g, k, v) for g, k, v in zip(gs, keys, votes)], ROWS), gs, keys, depth, shared.value).to_batches()
+
+        return both.filter("k_kind IS NOT NULL").select(*(f"k_{c}" for c in KEPT.names)).mapInArrow(again, ANSWERS_SQL), n, v
+
+    asked = stored(asked)
+    model = merged(asked)
+    tops, n, v = top(model.groupBy("kind", "bucket").applyInArrow(lambda t: weighed(t, depth), TOPS_SQL), depth)
+    shared = spark.sparkContext.broadcast(tops)
 
-    def reply(m: pa.Table, a: pa.Table) -> pa.Table:
+    def meet(m: pa.Table, a: pa.Table) -> pa.Table:
         worker_turn("lm")
-        if not a.num_rows:
-            return arrow([], ANSWERS)
-        gs, keys = a.column("g").to_pylist(), a.column("keys").to_pylist()
-        if a.column("kind")[0].as_py() == WORDS:
-            sums = word_sums(m)
-            return arrow([(g, WORDS, ws, planes(np.array([sums[w] for w in ws.split(b" ")], dtype=U))) for g, ws in zip(gs, keys)], ANSWERS)
-        code, n = code_sums(m)
-        score = np.zeros(len(code), np.float32)
-        for s in subtrees(code, depth, low):
-            levels, up = ctw.tree(code[s], n[s], depth, low)
-            score[s] = ctw.mixture(code[s], depth, tops.value, levels, up)
-        out = [(g, CODES, x, planes(score[np.searchsorted(code, unplaned(x, U))], SCORE_BYTES)) for g, x in zip(gs, keys)]
-        return arrow(out, ANSWERS)
-
-    slices = -(-groups // SLICE)
-    if slices == 1:  # few askers: the bucket's sums are those of its askers
-        return asked.groupBy("kind", "bucket").applyInArrow(lambda t: reply(t, t), ANSWERS_SQL)
+        return reply(m, a.column("g").to_pylist(), a.column("keys").to_pylist(), depth, shared.value) if a.num_rows else arrow([], ANSWERS)
+
     left = model.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     right = asked.withColumn("slice", F.pmod(F.xxhash64("g"), F.lit(slices)).cast("int"))
     by = ["kind", "bucket", "slice"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(lambda key, m, a: reply(m, a), ANSWERS_SQL)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, ANSWERS_SQL), n, v
 
 
 class Lookup:
@@ -338,15 +374,10 @@ class Lookup:
 
 def score(docs: DataFrame, fold: "F.Column", *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte. depth: 1 to 7."""
-    spark = docs.sparkSession
     parts = stored(grouped(docs, fold, group_bytes))
     info = parts.agg(F.countDistinct("g").alias("g"), F.sum("n_train").alias("n"), F.sum("size").alias("size")).first()
     buckets = min(max(BUCKETS[0], (info.size or 0) // bucket_bytes), BUCKETS[1])
-    asked = stored(gather(parts, depth, buckets))
-    model = merged(asked)
-    tops, n_words, v_words = top(model, depth)
-    shared = spark.sparkContext.broadcast(tops)
-    replies = answers(model, asked, info.g, depth, shared)
+    replies, n_words, v_words = answered(gather(parts, depth, buckets), info.g, depth)
     ends = info.n or 0
     n_all, v_all = n_words + ends, v_words + (ends > 0)
     floor = math.log10(n_all + v_all + 1)

@@ -149,10 +149,12 @@ def test_lm_equals_brute_force(spark, monkeypatch, depth, fan_in, slice_, subtre
 
 
 def test_lm_beats_the_word_base_on_held_out_text(spark):
-    """In code length per byte, at the small scale too."""
-    got = [x for x in queries.op2_lmscore(spark, "/root/testdata/sf0.01").collect() if x.held_out]
-    assert len({x.doc_id for x in got}) == len(got) > 100
-    assert sum(x.score for x in got) > sum(x.base_score for x in got)
+    """In code length per byte, at sf0.1; with one more byte of context at sf0.01 too."""
+    for sf, depth in (("0.1", lm.DEPTH), ("0.01", 7)):
+        docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+        got = [x for x in lm.score(docs, queries.fold(7, 2), depth=depth).collect() if x.held_out]
+        assert len({x.doc_id for x in got}) == len(got) > 100
+        assert sum(x.score for x in got) > sum(x.base_score for x in got)
 
 
 def test_lm_is_a_distribution():
