@@ -1,17 +1,20 @@
 """Line dedup by pairwise alignment.
 
 Texts are split at newlines. Exact copies are settled first: every line of a
-later copy goes. Among distinct texts, a line is rare if at most `rare` texts
-hold it, and with `rare` None (the queries and the pipeline) however many do;
-two lines in a row always count as rare. Each rare unit pairs
-the earliest text that holds it with every other one: pairs grow with the
-lines, not with the square of a group. With `all_pairs` (op10_linededup), a
-line that then stays in a later text pairs that text with the next earlier
-holders, four times as many each round, until it goes or no earlier holder is
-left: a worded line goes if alignment with any earlier text finds it, as if all
-pairs had been compared. Each pair is aligned by patience diff
-(lines unique to both sides anchor, longest increasing run, extended to their
-equal neighbours), and aligned blocks go from the later document.
+later copy goes. Among distinct texts a line is rare if at most `rare_share` of
+the texts hold it (two texts at least), and two lines in a row always count as
+rare. In the first round each rare unit pairs the earliest text that holds it
+with every other one: pairs grow with the lines, not with the square of a group.
+Then every line, rare or not, that stays in a later text pairs that text with
+the line's earlier holders, the earliest first and four times as many each
+round, until it goes or no earlier holder is left. So a worded line goes if
+alignment with any earlier text finds it, as if all pairs had been compared;
+rarity decides the order of the work, not the result.
+
+Each pair is aligned by patience diff: lines unique to both sides anchor, then
+the longest increasing run, extended to equal neighbours. A stretch without such
+lines is anchored by lines that come again, the i-th with the i-th. Aligned
+blocks go from the later document.
 
 Earlier means the smaller doc_id; null ids come last. Null text has no lines
 and stays null. Lines without a word are never units but go as part of a block
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import stored, worker_turn
 
-#: Texts that may hold a line alone that still counts as rare.
-RARE = 50
+#: Share of the texts that may hold a line that still counts as rare.
+RARE_SHARE = 0.01
 
 
 def aligned(a: list, b: list) -> list[int]:
@@ -48,7 +51,7 @@ def aligned(a: list, b: list) -> list[int]:
             out.append(bhi)
         if alo == ahi or blo == bhi:
             continue
-        anchors = increasing(once(a, alo, ahi), once(b, blo, bhi))
+        anchors = increasing(once(a, alo, ahi), once(b, blo, bhi)) or increasing(numbered(a, alo, ahi), numbered(b, blo, bhi))
         if not anchors:
             continue
         pa_, pb = alo, blo
@@ -68,6 +71,17 @@ def once(lines: list, lo: int, hi: int) -> dict:
     return {k: i for k, i in at.items() if i >= 0 and k != 0}
 
 
+def numbered(lines: list, lo: int, hi: int) -> dict:
+    """Position of the i-th occurrence of each worded line in lines[lo:hi]."""
+    seen: dict = {}
+    at: dict = {}
+    for i in range(lo, hi):
+        if lines[i] != 0:
+            seen[lines[i]] = n = seen.get(lines[i], 0) + 1
+            at[lines[i], n] = i
+    return at
+
+
 def increasing(a: dict, b: dict) -> list[tuple[int, int]]:
     """Longest run of common keys whose positions grow on both sides."""
     from bisect import bisect_left
@@ -104,8 +118,8 @@ def cuts(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("b", "ha", "hb").mapInArrow(run, "b string, gone array<int>").filter("size(gone) > 0")
 
 
-def later_rounds(held: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
-    """b, gone of the rounds after the first. held: u, tx, first, a (the earliest holder) of every shared line.
+def later_rounds(held: DataFrame, done: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+    """b, gone of the rounds after the first, whose pairs (a, b) are done. held: u, tx, first, a (the earliest holder) of every shared line.
 
     Ranks of holders are cut at the round's reach, so no task orders all the holders of a frequent line."""
     spot = lambda df: df.select(F.col("b").alias("tx"), F.explode("gone").alias("p")).distinct()
@@ -113,27 +127,29 @@ def later_rounds(held: DataFrame, found: DataFrame, reps: DataFrame) -> DataFram
     left = reps.join(later.select("tx").distinct(), "tx", "left_semi").select("tx", F.posexplode("h").alias("p", "u"))
     left = stored(left.join(later, ["tx", "u"], "left_semi").join(spot(found), ["tx", "p"], "left_anti"))
     by_rank = Window.partitionBy("u").orderBy(F.col("first").isNull(), "first", "tx")
-    out, reach = found.limit(0), 1
+    out, reach, further = found.limit(0), 0, 1
     while left.limit(1).count():
         top = held.join(left.select("u").distinct(), "u", "left_semi").select("u", "tx", F.row_number().over(by_rank).alias("r"))
-        top = stored(top.filter(F.col("r") <= 4 * reach))
+        top = stored(top.filter(F.col("r") <= further))
         left = stored(left.join(top, ["u", "tx"], "left"))
         new = top.filter(F.col("r") > reach).select("u", F.col("tx").alias("a"), F.col("r").alias("ra"))
-        pairs = stored(left.select("u", F.col("tx").alias("b"), "r").distinct().join(new, "u").filter("r IS NULL OR ra < r").select("a", "b").distinct())
+        pairs = left.select("u", F.col("tx").alias("b"), "r").distinct().join(new, "u").filter("r IS NULL OR ra < r").select("a", "b").distinct()
+        pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
         met = stored(pairs.select(F.explode(F.array("a", "b")).alias("tx")).distinct())
         cut = stored(cuts(pairs, reps.join(met, "tx", "left_semi").select("tx", "h")))
-        out = out.unionByName(cut)
+        out, done = out.unionByName(cut), done.unionByName(pairs)
         left = stored(left.filter("r IS NULL").drop("r").join(spot(cut), ["tx", "p"], "left_anti"))
-        reach *= 4
+        reach, further = further, 4 * further
     return out
 
 
-def removals(docs: DataFrame, *, rare: int | None = RARE, all_pairs: bool = False) -> DataFrame:
+def removals(docs: DataFrame, *, rare_share: float = RARE_SHARE) -> DataFrame:
     """tx, first, gone: by distinct text its earliest document and the line positions to delete from it."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)).otherwise(F.lit(0)))
     texts = docs.filter("text IS NOT NULL").select("doc_id", F.sha2(F.col("text"), 256).alias("tx"), lines.alias("h"))
     # the lines follow from tx; min() with a map-side combine keeps a large group of copies out of one task
     reps = stored(texts.groupBy("tx").agg(F.min("doc_id").alias("first"), F.min("h").alias("h")))
+    rare = max(2, int(rare_share * reps.count()))
     order = F.struct(F.col("first").isNull().alias("n"), "first", "tx")
     worded = F.filter("h", lambda x: x != 0)
     held = reps.select("tx", "first", F.inline(F.transform(F.array(worded), lambda w: F.array_distinct(F.concat(
@@ -142,15 +158,12 @@ def removals(docs: DataFrame, *, rare: int | None = RARE, all_pairs: bool = Fals
     )))[0]))
     held = stored(held)
     earliest = held.groupBy("k", "u").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o"))
-    few = F.lit(True) if rare is None else (F.col("k") == 2) | (F.col("n") <= rare)
-    earliest = stored(earliest.filter((F.col("n") > 1) & few).select("k", "u", F.col("o.tx").alias("a")))
-    pairs = held.join(earliest, ["k", "u"]).filter("a != tx").select("a", F.col("tx").alias("b")).distinct()
-    pairs = stored(pairs)
-    found = cuts(pairs, reps)
-    if all_pairs:
-        found = stored(found)
-        one = held.filter("k = 1").join(earliest.filter("k = 1").select("u", "a"), "u").select("u", "tx", "first", "a")
-        found = found.unionByName(later_rounds(stored(one), found, reps))
+    earliest = stored(earliest.filter("n > 1").select("k", "u", "n", F.col("o.tx").alias("a")))
+    few = earliest.filter((F.col("k") == 2) | (F.col("n") <= rare)).drop("n")
+    pairs = stored(held.join(few, ["k", "u"]).filter("a != tx").select("a", F.col("tx").alias("b")).distinct())
+    found = stored(cuts(pairs, reps))
+    one = held.filter("k = 1").join(earliest.filter("k = 1").select("u", "a"), "u").select("u", "tx", "first", "a")
+    found = found.unionByName(later_rounds(stored(one), pairs, found, reps))
     found = found.groupBy("b").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     return reps.select("tx", "first").join(found.withColumnRenamed("b", "tx"), "tx", "left")
 
