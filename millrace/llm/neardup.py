@@ -19,9 +19,11 @@ first by an estimate (five standard deviations of room), then on the exact bags.
 Links are joined into classes by label propagation.
 
 Equal texts are one class from the start; only one of them is hashed and
-compared. Texts that are null or have no word are classes of their own. A null
-doc_id has a null class. The class id is the smallest doc_id. Repeated rows
-share their class. Extra columns are ignored.
+compared. Texts are known by the first 16 bytes of their SHA-256, so ids may be of
+any type, null, or shared by several texts: each row gets the class of its own
+text. The class id is the smallest doc_id of the class, null if it has null ids
+only. Texts that are null or have no word are classes of their own, under their
+own id. Repeated rows share their class. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -136,8 +138,8 @@ def hashed(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(a, b, sim) of the pairs, on the exact bags."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    left = pairs.join(texts.select(F.col("tx").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("tx").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_turn("neardup")
@@ -157,7 +159,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 sims = [jaccard(bag(i, x), bag(j, y)) for i, j, x, y in zip(a, b, ta, tb)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, type=pa.float64())], ["a", "b", "sim"])
 
-    return both.mapInArrow(run, ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in "ab") + ", sim double")
+    return both.mapInArrow(run, "a binary, b binary, sim double")
 
 
 def across(held: DataFrame, near: DataFrame, label: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
@@ -174,7 +176,7 @@ def across(held: DataFrame, near: DataFrame, label: DataFrame, texts: DataFrame,
     of = at.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), main, F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     at = stored(at.join(stored(of.select("hub", "main", "n")), "hub"))
     sides = at.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ny"), F.ceil(F.count(F.when(F.col("label") != F.col("main"), 1)) / BLOCK).cast("int").alias("nx"))
-    at = at.join(stored(sides), "hub").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    at = at.join(stored(sides), "hub").join(texts.select(F.col("tx").alias("rep"), "text"), "rep")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     cols = ["hub", "rep", "d", "label", "text"]
     x = at.filter("label <> main").select(*cols, deal("nx").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"))
@@ -211,25 +213,29 @@ def across(held: DataFrame, near: DataFrame, label: DataFrame, texts: DataFrame,
                     out.append((left.rep[i], right.y_rep[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    kind = held.schema["rep"].dataType.simpleString()
-    return x.groupBy("hub", "i", "j").cogroup(y.groupBy("y_hub", "y_i", "y_j")).applyInPandas(join, f"a {kind}, b {kind}")
+    return x.groupBy("hub", "i", "j").cogroup(y.groupBy("y_hub", "y_i", "y_j")).applyInPandas(join, "a binary, b binary")
 
 
-def classes(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id for every row."""
+def digest(text: str = "text") -> "F.Column":
+    """What a text is known by; null without a word."""
+    return F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.substring(F.sha2(F.col(text), 256), 1, 32)))
+
+
+def labelled(docs: DataFrame, threshold: float, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tx) of every row, and (t, class_id, kept) of every text: the class's smallest doc_id and the text that has it."""
     docs = docs.select("doc_id", "text")
     sig = stored(hashed(docs, bands, rows, words))
-    known = sig.filter("doc_id IS NOT NULL AND tx IS NOT NULL")
-    reps = stored(known.groupBy("tx").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")))
-    held = reps.select("rep", F.explode("keys").alias("key"))
+    reps = stored(sig.filter("tx IS NOT NULL").groupBy("tx").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")))
+    held = reps.select(F.col("tx").alias("rep"), F.explode("keys").alias("key"))
     shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = stored(held.join(stored(shared), "key"))
     degree = stored(held.groupBy("rep").agg(F.sum("n").alias("degree")))
     ranked = held.join(degree, "rep")
-    hubs = stored(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("h")).select("key", (-F.col("h.r")).alias("hub")))
+    hubs = stored(ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "rep")).alias("h")).select("key", F.col("h.rep").alias("hub")))
     held = stored(held.join(hubs, "key").select("key", "rep", "hub"))
     wanted = small(degree.select(F.col("rep").alias("w")))
-    texts = stored(docs.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").dropDuplicates(["doc_id"]))
+    texts = docs.select(digest().alias("tx"), "text").join(wanted, F.col("tx") == F.col("w"), "left_semi")
+    texts = stored(texts.dropDuplicates(["tx"]))
     pairs = held.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     near = stored(verified(pairs, texts, words))
     links = near.filter(F.col("sim") >= threshold).select("a", "b")
@@ -240,13 +246,25 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = 5, ba
         links = links.unionByName(rest)
         label = components(links)
 
-    member = sig.select("doc_id", "tx").join(reps.select(F.col("tx").alias("t"), "rep"), F.col("tx") == F.col("t"), "left")
-    member = member.join(label, F.col("rep") == F.col("id"), "left")
-    return member.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("class_id"))
+    of = stored(reps.select("tx", "id").join(label.withColumnRenamed("id", "l"), F.col("tx") == F.col("l"), "left").select("tx", "id", F.coalesce("label", "tx").alias("label")))
+    best = of.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "tx")).alias("b"))
+    named = of.join(best.select("label", F.col("b.id").alias("class_id"), F.col("b.tx").alias("kept")), "label")
+    return sig.select("doc_id", "tx"), named.select(F.col("tx").alias("t"), "class_id", "kept")
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents whose id is their class's; of repeated rows, one. Null ids stay."""
-    kept = classes(docs, **how).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    null = docs.filter("doc_id IS NULL")
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(null)
+def classes(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id for every row."""
+    member, named = labelled(docs, threshold, words, bands, rows)
+    member = member.join(named, F.col("tx") == F.col("t"), "left")
+    return member.select("doc_id", F.when(F.col("tx").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of each class: that of its smallest doc_id. Of repeated rows one stays. Rows without a word stay, but for repeated ids."""
+    _, named = labelled(docs, threshold, words, bands, rows)
+    kept = named.filter("t = kept").select(F.col("t").alias("_t"), F.col("class_id").alias("_id"))
+    marked = docs.withColumn("_tx", digest())
+    worded = marked.join(kept, (F.col("_tx") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "_tx"])
+    bare = marked.filter("_tx IS NULL")
+    blank = bare.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(bare.filter("doc_id IS NULL"))
+    return worded.unionByName(blank).select(*docs.columns)
