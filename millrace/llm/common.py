@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,29 +22,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of this run's tables, by application; removed when the session's process ends.
+_runs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only
-    where the session names none (tests, one machine) an own one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where a
+    local session (tests, one machine) names none, an own one is set; on a cluster
+    that is an error, since executors would write where nobody else can read."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes at exit, if the session still stands then, or by clean()."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        _runs[app] = f"{shared_dir(spark)}/millrace/{app}"
+        atexit.register(lambda: spark.sparkContext._jsc is not None and clean(spark))
+    return _runs[app]
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the stored tables of this application; results that were not written yet are lost with them."""
+    app = spark.sparkContext.applicationId
+    if app in _runs:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_runs.pop(app))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends
     there, and a lost executor costs a re-read instead of a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Broadcasts a stored df only if it holds at most so many rows; beyond
-    that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = 100_000, most_bytes: int = 64_000_000) -> DataFrame:
+    """Broadcasts a stored df only if it holds at most so many rows, and so many
+    bytes of text in them; beyond that the join shuffles."""
+    sized = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema]
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(reduce(lambda a, b: a + b, sized)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most_bytes else df
 
 
 def unit(*cols) -> "F.Column":

@@ -73,8 +73,9 @@ class WordIds:
             for i, e in zip(range(0, len(new), 2000), got):
                 ids = np.array(e.ids, dtype=self.kind)
                 raw, cuts = ids.tobytes(), [0, *((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()]
-                if len(cuts) != len(new[i : i + 2000]) + 1:
-                    raise ValueError("a piece has no last token of its own")
+                if len(cuts) != len(new[i : i + 2000]) + 1:  # a piece without a last token of its own: each by itself
+                    self.pieces.update((p, self._whole(p)) for p in new[i : i + 2000])
+                    continue
                 self.pieces.update(zip(new[i : i + 2000], (raw[x:y] for x, y in zip(cuts, cuts[1:]))))
         get = self.pieces.__getitem__
         return [get(x) + get(y) for x, y in split]

@@ -285,6 +285,14 @@ def test_neardup_chains_and_large_groups(spark):
     assert got == brute_classes(dict(rows))
 
 
+def test_neardup_takes_ids_of_any_type_and_ids_with_two_texts(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [("x", a), ("y", a + " end"), ("y", b), ("z", b), (None, b), (None, "alone"), ("y", b)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(tuple, neardup.classes(docs).collect()), key=repr) == sorted([("x", "x"), ("y", "x"), ("y", "y"), ("z", "y"), (None, "y"), (None, None), ("y", "y")], key=repr)
+    assert sorted(map(tuple, neardup.one_of_each(docs).collect()), key=repr) == sorted([("x", a), ("y", b), (None, "alone")], key=repr)
+
+
 def test_neardup_copies_survive_the_reset_of_seen_texts(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SEEN", 2)
     monkeypatch.setattr(neardup, "CHUNK_DOCS", 2)
@@ -315,7 +323,7 @@ def test_components(spark):
 
 def test_neardup_odd_rows(odd, nothing):
     got = neardup.classes(odd).collect()
-    assert len(got) == 13 and {r.class_id for r in got if r.doc_id is None} == {None}
+    assert len(got) == 13 and {r.class_id for r in got if r.doc_id is None} == {None, 4}  # a null text, and a copy of 4's
     by_id = {r.doc_id: r.class_id for r in got}
     assert by_id[5] == 4 and by_id[7] == 6 and by_id[1] == 1 and by_id[2] == 2 and by_id[3] == 3
     assert neardup.one_of_each(odd).columns == odd.columns
@@ -387,43 +395,31 @@ def test_patience_alignment():
     assert linedup.aligned([1, 1, 1, 2], [1, 1, 3, 2]) == [0, 1, 3]
 
 
-def test_linedup_against_all_pairs(spark):
-    """Every line that alignment with an earlier text finds goes, and no other."""
-    docs = docs_of(spark)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    got = {r.doc_id: r for r in linedup.dedup_lines(docs.select("doc_id", "text")).collect()}
-    lines = {i: t.split("\n") for i, t in texts.items()}
-    held = Counter(x for i in texts for x in set(lines[i]) if WORD.search(x))
-    for i, t in texts.items():
-        gone, first = set(), {x: min(j for j in texts if x in lines[j]) for x in set(lines[i]) if held[x] > 1 and WORD.search(x)}
-        code = lambda k: [x if WORD.search(x) else 0 for x in lines[k]]
-        for j in {j for j in first.values() if j < i and texts[j] != t}:
-            gone |= set(linedup.aligned(code(j), code(i)))
-        if any(texts[j] == t for j in texts if j < i):
-            gone = set(range(len(lines[i])))
-        want = "\n".join(x for k, x in enumerate(lines[i]) if k not in gone)
-        assert (got[i].n_lines, got[i].n_removed, got[i].text) == (len(lines[i]), len(gone), want), i
+def lcs_positions(a, b):
+    """Whether b's given positions spell a common subsequence: checked by greedy embedding."""
+    it = iter(a)
+    return all(any(x == y for y in it) for x in b)
+
+
+def test_alignment_is_a_common_subsequence_and_finds_repeated_passages():
+    r = random.Random(12)
+    for _ in range(300):
+        a, b = ([r.randrange(6) for _ in range(r.randrange(14))] for _ in range(2))
+        got = linedup.aligned(a, b)
+        assert got == sorted(set(got)) and lcs_positions(a, [b[i] for i in got])
+    assert linedup.aligned([1, 2, 9, 1, 2], [7, 1, 2, 8, 1, 2, 6]) == [1, 2, 4, 5]  # held twice by both
 
 
 def test_linedup_large_group_and_boilerplate(spark):
     licence = "This line stands in very many texts."
-    rows = [(i, f"{licence}\nown line {i}\nanother {i * 7}") for i in range(200)]
+    rows = [(i, f"own line {i}\n{licence}\nanother {i * 7}") for i in range(200)]
     block = "\n".join(f"shared block line {k}" for k in range(5))
     rows += [(1000 + i, f"head {i}\n{block}\nfoot {i}") for i in range(150)]
-    got = {r.doc_id: r for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[i].n_removed == 0 for i in range(200))  # one frequent line alone is no evidence
-    assert got[1000].n_removed == 0 and all(got[1000 + i].text == f"head {i}\nfoot {i}" for i in range(1, 150))
-
-
-def test_linedup_queries_take_frequent_lines(spark, tmp_path):
-    """A lone line goes from every later text, also where more than RARE texts hold it."""
-    rows = [(i, f"own line {i}\nA licence line that stands alone.\nanother {i * 7}") for i in range(linedup.RARE + 10)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.n_removed for r in queries.op10_linededup(spark, str(tmp_path)).collect()}
-    assert got == {i: int(i > 0) for i, _ in rows}
-    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
-    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
-    assert got == {i: t if i == 0 else f"own line {i}\nanother {i * 7}" for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (0.0001, 0.5, 1.0):  # what counts as rare decides the order of the work, not the result
+        got = {r.doc_id: r for r in linedup.dedup_lines(docs, rare_share=share).collect()}
+        assert got[0].n_removed == 0 and all(got[i].text == f"own line {i}\nanother {i * 7}" for i in range(1, 200))
+        assert got[1000].n_removed == 0 and all(got[1000 + i].text == f"head {i}\nfoot {i}" for i in range(1, 150))
 
 
 def test_linedup_query_equals_true_all_pairs(spark, tmp_path):
@@ -490,6 +486,28 @@ def test_mtree_skips_pages():
     assert sum(looked) < len(v) / 2
 
 
+def test_topk_passes_over_far_trees(spark):
+    """On vectors in clusters a query visits few trees, and the result is exact."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(24, 12)) * 900
+    v = np.rint(np.vstack([c + rng.normal(size=(60, 12)) * 9 for c in centres]))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    stats: dict = {}
+    got = mtree.search(df, df.filter("vec_id % 20 = 0"), k=3, tree=60, stats=stats).collect()
+    for q in range(0, len(v), 20):
+        s = v @ v[q]
+        best = sorted((i for i in range(len(v)) if i != q), key=lambda i: (-s[i], i))[:3]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, int(s[i])) for i in best]
+    assert stats["trees"] > 10 and stats["visits"] < stats["queries"] * stats["trees"] / 2
+
+
+def test_topk_repeated_ids(spark):
+    """Whatever the order of rows, one query id with several vectors means the least of them; repeated rows count each."""
+    rows = [(50, [2.0, 1.0]), (50, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0])] + [(60 + i, [0.0, 1.0]) for i in range(9)]
+    got = [sorted(map(tuple, mtree.top_k(spark.createDataFrame([(*y, 0.5, 7) for y in x], "vec_id long, embedding array<float>, score double, rank int").coalesce(1), k=4).collect())) for x in (rows, rows[::-1])]
+    assert got[0] == got[1] == [(50, 1, 2, 131072), (50, 2, 2, 131072), (50, 3, 3, 131072), (50, 4, 60, 131072)]
+
+
 def test_topk_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (50, [1.0, 1.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (None, [1.0, 1.0]), (6, [0.5, 0.5]), (50, [1.0, 1.0])]
     got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()
