@@ -56,12 +56,13 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends
-    there, and a lost executor costs a re-read instead of a recomputation."""
+def stored(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder (in a folder for each value of
+    `by`) and reads it back: lineage ends there, and a lost executor costs a
+    re-read instead of a recomputation."""
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

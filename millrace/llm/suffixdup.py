@@ -7,25 +7,29 @@ on the window alone, so two equal windows have the same anchor at the same
 offset, and comparing the suffixes that start at anchors, to the right and to the
 left, finds every repeat. Windows in a row with one anchor form a span.
 
-1. Anchors whose lead string occurs once are done. Spans are counted: a span
-   whose every occurrence of the lead is the same text is repeated as a whole.
-2. The other distinct spans are suffixes to sort: sampled splitters
-   range-partition them by their leading bytes, each bucket is sorted by a
-   multikey sort over eight-byte digits, and common prefixes of neighbours tell,
-   for each offset, which windows agree to the right; those that also agree to
-   the left are repeated.
-3. Windows that may have their like beyond a bucket's edge are compared across
-   boundaries by fingerprint, dealt evenly however many share a lead.
-
-Texts that occur twice or more (copies) and are long enough go as a whole. Null
-text is empty: n_bytes 0, the digest of no bytes. Repeated rows are copies.
-Extra columns are ignored, ids may be null, an empty table gives no rows. Long
-texts are worked through in overlapping pieces.
+1. Anchors whose lead string has a hash that occurs once are done; the hash is a
+   filter only. Equal spans (128 bits of BLAKE2b) are counted and stand once.
+2. All other spans are suffixes to sort by their bytes: splitters from a sample of
+   bounded size range-partition them, each bucket is sorted by a multikey sort over
+   eight-byte digits, and common prefixes of neighbours tell, for each offset, which
+   windows agree to the right; a second sort of the bytes before the anchors tells
+   which also agree to the left. Those, and those of a span that occurs twice, are
+   repeated. At most `MOST_BUCKETS` buckets are dealt at a time; more suffixes are
+   split into ranges first, which are worked through one after the other.
+3. Windows that share their right part with a row at a bucket's edge may have their
+   like beyond it; they are compared across boundaries by BLAKE2b of their bytes,
+   dealt evenly however many share a lead.
+
+Texts that occur twice or more (copies, by SHA-256) and are long enough go as a
+whole. Null text is empty: n_bytes 0, the digest of no bytes. Repeated rows are
+copies. Extra columns are ignored, ids may be null, an empty table gives no rows.
+Long texts are worked through in overlapping pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,22 +39,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
-from millrace.llm.shingling import STEPS, U, mix, powers, prefix
+from millrace.llm.shingling import U, mix, powers, prefix
 
 LENGTH, LEAD = 200, 40
 PIECE = 1 << 19
-#: Suffix rows that a bucket of the sort is meant to hold.
-BUCKET_ROWS = 20_000
+#: Suffix rows that a bucket of the sort is meant to hold, buckets dealt at a time, sampled rows for each splitter.
+BUCKET_ROWS, MOST_BUCKETS, SAMPLED = 20_000, 4096, 16
 
 
 def anchors(a: np.ndarray, first: np.ndarray, length: int, lead: int) -> tuple[np.ndarray, ...]:
     """Of texts laid end to end in a, each beginning at first[i] (with the end
-    last): text number, lead hash, span hash, anchor, first and last window."""
+    last): text number, lead hash, anchor, first and last window."""
     none = np.zeros(0, np.int64)
     n = len(a) - length + 1
     sizes = np.diff(first)
     if n <= 0 or not (sizes >= length).any():
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none, none.astype(np.uint64), none, none, none
     p = prefix(a)
     _, down = powers(len(a))
     at = np.arange(len(a) - lead + 1)
@@ -73,9 +77,12 @@ def anchors(a: np.ndarray, first: np.ndarray, length: int, lead: int) -> tuple[n
     new = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (start[1:] != start[:-1] + 1)])
     i1, i2 = start[new], start[np.r_[new[1:] - 1, len(start) - 1]]
     anchor = pos[new]
-    end = i2 + length
-    span = mix((p[end] - p[i1]) * down[i1] + (end - i1).astype(np.uint64) * STEPS[1] + (anchor - i1).astype(np.uint64) * STEPS[2])
-    return np.searchsorted(first, i1, "right") - 1, h[anchor], span, anchor, i1, i2
+    return np.searchsorted(first, i1, "right") - 1, h[anchor], anchor, i1, i2
+
+
+def known(content: bytes, offset: int) -> bytes:
+    """What a span or a window is known by: its bytes and where its anchor is."""
+    return hashlib.blake2b(content + offset.to_bytes(4, "little"), digest_size=16).digest()
 
 
 def pieces(raw: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
@@ -94,12 +101,12 @@ def pieces(raw: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield np.frombuffer(b"".join(part), np.uint8), np.cumsum([0] + [len(y) for y in part]), own
 
 
-SPAN = "lead:bigint,span:bigint,p:bigint,i1:bigint,i2:bigint"
+SPAN = "lead:bigint,span:binary,p:bigint,i1:bigint,i2:bigint"
 
 
 def scanned(docs: DataFrame, length: int, lead: int) -> DataFrame:
     """tid, doc_id, tx, n_bytes, sha, text, spans; text and spans are null for a copy of a text that the task has had."""
-    fields = [("lead", pa.int64()), ("span", pa.int64()), ("p", pa.int64()), ("i1", pa.int64()), ("i2", pa.int64())]
+    fields = [("lead", pa.int64()), ("span", pa.binary()), ("p", pa.int64()), ("i1", pa.int64()), ("i2", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -123,12 +130,14 @@ def scanned(docs: DataFrame, length: int, lead: int) -> DataFrame:
                     cuts = np.searchsorted(doc, np.arange(len(own) + 1))
                     for k, (j, off) in enumerate(own):
                         s = slice(cuts[k], cuts[k + 1])
-                        shift = off - first[k]
-                        got[new[j]].append((cols[0][s].view(np.int64), cols[1][s].view(np.int64), cols[2][s] + shift, cols[3][s] + shift, cols[4][s] + shift))
+                        shift, text = off - first[k], raw[new[j]]
+                        p, i1, i2 = (c[s] + shift for c in cols[1:])
+                        span = [known(text[x : y + length], z - x) for x, y, z in zip(i1.tolist(), i2.tolist(), p.tolist())]
+                        got[new[j]].append((cols[0][s].view(np.int64), span, p, i1, i2))
                 cols, sizes = [], [sum(len(x[0]) for x in g) for g in got]
                 for k, (_, kind) in enumerate(fields):
                     flat = [x[k] for g in got for x in g]
-                    cols.append(pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64), type=kind))
+                    cols.append(pa.array([x for y in flat for x in y] if kind == pa.binary() else np.concatenate(flat) if flat else np.zeros(0, np.int64), type=kind))
                 spans = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), type=pa.int32()), pa.StructArray.from_arrays(cols, names=[f for f, _ in fields]))
                 fresh = set(new)
                 yield pa.RecordBatch.from_arrays(
@@ -142,11 +151,10 @@ def scanned(docs: DataFrame, length: int, lead: int) -> DataFrame:
 
 
 def contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(lead, span, n, o, suffix, before): the bytes from the anchor on, and those before it, nearest first."""
-    df = texts.join(wanted, "tid").select("text", "lead", "span", "n", "p", "i1", "i2")
-    df = df.select("lead", "span", "n", (F.col("p") - F.col("i1")).alias("o"), (F.col("p") - F.col("i2")).alias("o1"),
-                   F.expr(f"substring(text, cast(p + 1 as int), cast(i2 + {length} - p as int))").alias("suffix"), F.reverse(F.hex(F.expr("substring(text, cast(i1 + 1 as int), cast(p - i1 as int))"))).alias("before"))
-    return df
+    """(span, n, o, o1, suffix, before): the bytes from the anchor on, and those before it, nearest first, as reversed hexadecimal digits."""
+    df = texts.join(wanted, "tid").select("text", "span", "n", "p", "i1", "i2")
+    return df.select("span", "n", (F.col("p") - F.col("i1")).alias("o"), (F.col("p") - F.col("i2")).alias("o1"),
+                     F.expr(f"substring(text, cast(p + 1 as int), cast(i2 + {length} - p as int))").alias("suffix"), F.reverse(F.hex(F.expr("substring(text, cast(i1 + 1 as int), cast(p - i1 as int))"))).alias("before"))
 
 
 def multikey(words: np.ndarray) -> np.ndarray:
@@ -177,117 +185,155 @@ def digits(m: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(m, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
 
 
-def repeated(suffix: list[bytes], before: list[bytes], n: np.ndarray, near: np.ndarray, far: np.ndarray, length: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def laid(rows: list[bytes], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width), dtype=np.uint8)
+    for i, x in enumerate(rows):
+        x = x[:width]
+        out[i, : len(x)] = np.frombuffer(x, np.uint8)
+    return out
+
+
+def shared(m: np.ndarray) -> np.ndarray:
+    """Bytes that each row has in common with the next one."""
+    differ = m[1:] != m[:-1]
+    return np.where(differ.any(1), differ.argmax(1), m.shape[1]) if m.shape[1] else np.zeros(max(len(m) - 1, 0), np.int64)
+
+
+def repeated(suffix: list[bytes], before: list[bytes], n: np.ndarray, near: np.ndarray, far: np.ndarray, length: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorts suffixes and marks repeated windows. near..far: a row's offsets from
-    window start to anchor. Returns the order, marks (row x offset, in that order),
-    window fingerprints, and of each row the longest prefix that it shares with the
-    bucket's first or last row."""
+    window start to anchor. Returns the order, marks (row x offset, in that order), and
+    of each row the longest prefix that it shares with the bucket's first or last row.
+
+    Rows that take part at an offset have all bytes that are compared there, so the
+    zeros that fill shorter rows make no two of them equal."""
     w = length - lead + 1
-    r = np.zeros((len(suffix), length), dtype=np.uint8)
-    b = np.zeros((len(suffix), w), dtype=np.uint8)
-    for i, (x, y) in enumerate(zip(suffix, before)):
-        x = x[:length]
-        r[i, : len(x)] = np.frombuffer(x, np.uint8)
-        b[i, : len(y)] = np.frombuffer(y, np.uint8)
+    r, b = laid(suffix, length), laid(before, w)
     order = multikey(np.hstack([digits(r), digits(b)]))
     r, b, n, near, far = r[order], b[order], n[order], near[order], far[order]
-    size = np.fromiter((min(len(suffix[i]), length) for i in order), dtype=np.int64, count=len(order))
-    differ = r[1:] != r[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), length)
-    common = np.minimum(common, np.minimum(size[1:], size[:-1]))
-    up, _ = powers(max(length, w) + 1)
-    right = np.cumsum((r.astype(np.uint64) + U(1)) * up[:length], axis=1)
-    left = np.hstack([np.zeros((len(b), 1), np.uint64), np.cumsum((b.astype(np.uint64) + U(1)) * up[:w], axis=1)])
+    common = shared(r)
+    back = multikey(digits(b))
+    left = shared(b[back])
+    place = np.empty(len(b), dtype=np.int64)
+    place[back] = np.arange(len(b))
     marks = np.zeros((len(r), w), dtype=bool)
-    prints = np.zeros((len(r), w), dtype=np.uint64)
     for o in range(w):
         on = np.flatnonzero((near <= o) & (o <= far))
         if not len(on):
             continue
-        run = np.cumsum(np.r_[0, common < length - o])[on].astype(np.uint64)
-        _, back, count = np.unique(mix(run * STEPS[0] + left[on, o]), return_inverse=True, return_counts=True)
-        marks[on, o] = (count[back] > 1) | (n[on] > 1)
-        prints[on, o] = mix(mix(right[on, length - o - 1] + U(o)) + left[on, o])
+        to_right = np.cumsum(np.r_[0, common < length - o])[on]
+        to_left = np.cumsum(np.r_[0, left < o])[place[on]]
+        _, of, count = np.unique(to_right * len(r) + to_left, return_inverse=True, return_counts=True)
+        marks[on, o] = (count[of] > 1) | (n[on] > 1)
     if not len(order):
-        return order, marks, prints, np.zeros(0, np.int64)
+        return order, marks, np.zeros(0, np.int64)
     to_first = np.minimum.accumulate(np.r_[length, common])
     to_last = np.minimum.accumulate(np.r_[length, common[::-1]])[::-1]
-    return order, marks, prints, np.maximum(to_first, to_last)
+    return order, marks, np.maximum(to_first, to_last)
+
+
+def key_of(suffix: bytes, before: str, length: int) -> tuple[bytes, bytes]:
+    """A row's place in the order, and the bytes before its anchor, nearest first: reversed hexadecimal digits have each byte's digits swapped."""
+    near = bytes.fromhex(before[::-1])[::-1]
+    return suffix[:length].ljust(length, b"\0") + near, near
+
+
+def splitters(rows: DataFrame, total: int, parts: int, length: int) -> list[bytes]:
+    """At most parts - 1 keys that cut rows into even ranges, from about SAMPLED sampled rows for each: a share of the hashes of spans."""
+    if parts < 2:
+        return []
+    some = rows.filter(F.pmod(F.xxhash64("span"), F.lit(1 << 30)) < int(min(1.0, SAMPLED * parts / total) * (1 << 30))).select("suffix", "before").collect()
+    keys = sorted(key_of(bytes(x.suffix), x.before, length)[0] for x in some)
+    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+
+
+DEALT = "part long, span binary, n long, o long, o1 long, suffix binary, before binary"
+
+
+def dealt(rows: DataFrame, cuts: list[bytes], length: int) -> DataFrame:
+    """rows with the range between cuts that each falls into."""
+    cuts = rows.sparkSession.sparkContext.broadcast(cuts)  # fewer than MOST_BUCKETS keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                keys = [key_of(x, y, length) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+                part = [bisect_right(cuts.value, k) for k, _ in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *b.columns[:5], pa.array([x for _, x in keys], pa.binary())], ["part", "span", "n", "o", "o1", "suffix", "before"])
+
+    return rows.select("span", "n", "o", "o1", "suffix", "before").mapInArrow(run, DEALT)
 
 
 def sorted_spans(rows: DataFrame, length: int, lead: int) -> DataFrame:
-    """(lead, span, offs): the repeated offsets of each span.
+    """(span, offs): the repeated offsets of each span.
 
     Equal leading bytes are neighbours in the order, so a window can only meet its
     like in another bucket if its row shares the window's right part with a row at
     the bucket's edge. Such windows are compared across boundaries: open ones with
     their owner, settled ones once for all their like, in packed arrays dealt by
-    fingerprint."""
+    digest."""
     w = length - lead + 1
-    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
-    dealt = rows.repartitionByRange(buckets, "suffix", "before")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        ids, spans = t.column("lead").to_numpy(), t.column("span").to_numpy()
+    total = rows.count()
+    ranges = max(1, -(-total // (MOST_BUCKETS * BUCKET_ROWS)))
+    rounds = [(rows, total)]
+    if ranges > 1:
+        cuts = splitters(rows, total, ranges, length)
+        at = dealt(rows, cuts, length).select(F.col("part").alias("range"), "span").withColumnRenamed("span", "rs")
+        apart = stored(rows.join(at, F.col("span") == F.col("rs")).drop("rs").repartition("range", F.pmod(F.xxhash64("span"), F.lit(64))), by=["range"])
+        rounds = [(df, df.count()) for i in range(len(cuts) + 1) for df in [apart.filter(F.col("range") == i).drop("range")]]
+    fan = max(1, min(MOST_BUCKETS, -(-total // BUCKET_ROWS)))
+
+    def run(t: pa.Table) -> pa.Table:
+        spans, suffix, before = (t.column(c).to_pylist() for c in ("span", "suffix", "before"))
         n, o1, o = (t.column(c).to_numpy() for c in ("n", "o1", "o"))
-        # reversed hexadecimal digits: nearest byte first, its digits swapped
-        before = [bytes.fromhex(x[::-1])[::-1] for x in t.column("before").to_pylist()]
-        order, marks, prints, edge = repeated(t.column("suffix").to_pylist(), before, n, o1, o, length, lead)
-        ids, spans = ids[order], spans[order]
+        order, marks, edge = repeated(suffix, before, n, o1, o, length, lead)
         offset = np.arange(w)
         reach = (o1[order][:, None] <= offset) & (offset <= o[order][:, None]) & (edge[:, None] >= length - offset)
-        out: list[tuple] = []
-        for i in np.flatnonzero(marks.any(1)):
-            out.append((int(ids[i]), int(spans[i]), np.flatnonzero(marks[i]).astype(np.int32), None, None, None, None, None))
+        out: list[tuple] = [(spans[order[i]], np.flatnonzero(marks[i]).astype(np.int32), None, None, None, None) for i in np.flatnonzero(marks.any(1))]
+        window = lambda i, k: known(before[order[i]][:k] + suffix[order[i]][: length - k], int(k))
         row, k = np.nonzero(reach & ~marks)
-        settled = np.unique(prints[reach & marks])
-        none = np.zeros(len(settled), dtype=np.int64)
-        fp = np.concatenate([prints[row, k], settled])
-        l, s = np.concatenate([ids[row], none]), np.concatenate([spans[row], none])
-        k = np.concatenate([k, none - 1]).astype(np.int32)
-        part = (fp % U(buckets)).astype(np.int64)
-        at = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(part[at]) != 0, True]) if len(at) else [0]
-        for lo, hi in zip(cuts, cuts[1:]):
-            x = at[lo:hi]
-            out.append((None, None, None, int(part[x[0]]), fp[x].tobytes(), l[x].tobytes(), s[x].tobytes(), k[x].tobytes()))
-        cols = list(zip(*out)) if out else [[]] * 8
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), *(pa.binary(),) * 4)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, kinds)], ["lead", "span", "offs", "part", "fps", "leads", "spans", "ks"])
-
-    def meet(part):
-        import pandas as pd
-
-        join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in part[c]])
-        fp, l, s, k = join("fps", np.uint64), join("leads", np.int64), join("spans", np.int64), join("ks", np.int32)
-        _, back, count = np.unique(fp, return_inverse=True, return_counts=True)
-        hit = np.flatnonzero((count[back] > 1) & (k >= 0))
-        got: dict[tuple[int, int], list[int]] = {}
-        for a, b, o in zip(l[hit].tolist(), s[hit].tolist(), k[hit].tolist()):
-            got.setdefault((a, b), []).append(o)
-        return pd.DataFrame([(a, b, np.array(v, dtype=np.int32)) for (a, b), v in got.items()], columns=["lead", "span", "offs"])
-
-    found = stored(dealt.mapInArrow(run, "lead long, span long, offs array<int>, part long, fps binary, leads binary, spans binary, ks binary"))
-    across = found.filter("part IS NOT NULL").select("part", "fps", "leads", "spans", "ks").groupBy("part").applyInPandas(meet, "lead long, span long, offs array<int>")
-    return found.filter("part IS NULL").select("lead", "span", "offs").unionByName(across)
+        fps = [window(i, j) for i, j in zip(row.tolist(), k.tolist())]
+        settled = {window(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(reach & marks)))}
+        by: dict[int, list[tuple[bytes, bytes, int]]] = {}
+        for fp, i, j in zip(fps, row.tolist(), k.tolist()):
+            by.setdefault(int.from_bytes(fp[:4], "little") % fan, []).append((fp, spans[order[i]], j))
+        for fp in settled:
+            by.setdefault(int.from_bytes(fp[:4], "little") % fan, []).append((fp, bytes(16), -1))
+        for part, some in by.items():
+            out.append((None, None, part, *(b"".join(x) for x in list(zip(*some))[:2]), np.array([x[2] for x in some], dtype=np.int32).tobytes()))
+        cols = list(zip(*out)) if out else [[]] * 6
+        kinds = (pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(list(x), type=kind) for c, x, kind in zip(("span", "offs", "part", "fps", "spans", "ks"), cols, kinds)})
+
+    def meet(t: pa.Table) -> pa.Table:
+        fp, s = (np.frombuffer(b"".join(t.column(c).to_pylist()), "V16") for c in ("fps", "spans"))
+        k = np.frombuffer(b"".join(t.column("ks").to_pylist()), np.int32)
+        _, of, count = np.unique(fp.view("<u8").reshape(-1, 2), axis=0, return_inverse=True, return_counts=True)
+        hit = np.flatnonzero((count[of.ravel()] > 1) & (k >= 0))
+        got: dict[bytes, list[int]] = {}
+        for i in hit.tolist():
+            got.setdefault(s[i].tobytes(), []).append(int(k[i]))
+        return pa.table({"span": pa.array(list(got), pa.binary()), "offs": pa.array(list(got.values()), pa.list_(pa.int32()))})
+
+    found = None
+    for df, size in rounds:
+        cuts = splitters(df, max(size, 1), max(1, min(MOST_BUCKETS, -(-size // BUCKET_ROWS))), length)
+        got = stored(dealt(df, cuts, length).groupBy("part").applyInArrow(run, "span binary, offs array<int>, part long, fps binary, spans binary, ks binary"))
+        found = got if found is None else found.unionByName(got)
+    across = found.filter("part IS NOT NULL").select("part", "fps", "spans", "ks").groupBy("part").applyInArrow(meet, "span binary, offs array<int>")
+    return found.filter("part IS NULL").select("span", "offs").unionByName(across)
 
 
 def removed(docs: DataFrame, *, length: int = LENGTH, lead: int = LEAD, with_kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     base = stored(scanned(docs, length, lead))
     spans = base.select("tid", F.inline("spans"))
-    leads = spans.groupBy("lead").agg(F.count(F.lit(1)).alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi"))
-    leads = stored(leads.filter("c > 1").select(F.col("lead").alias("l"), (F.col("lo") != F.col("hi")).alias("multi")))
-    again = stored(spans.join(leads, F.col("lead") == F.col("l")).drop("l"))
-    whole = again.filter("NOT multi").select("tid", "i1", "i2")
-
-    several = again.filter("multi")
-    distinct = several.groupBy("lead", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "p", "i1", "i2")).alias("at"))
-    distinct = stored(distinct.select("lead", "span", "n", "at.tid", "at.p", "at.i1", "at.i2"))
+    leads = spans.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    leads = stored(leads.select(F.col("lead").alias("l")))
+    again = stored(spans.join(leads, F.col("lead") == F.col("l"), "left_semi").drop("lead"))
+
+    distinct = again.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "p", "i1", "i2")).alias("at"))
+    distinct = stored(distinct.select("span", "n", "at.tid", "at.p", "at.i1", "at.i2"))
     suffixes = stored(contexts(base.filter("text IS NOT NULL").select("tid", "text"), distinct, length))
     found = sorted_spans(suffixes, length, lead)
     # runs of offsets o become runs of window starts p - o
@@ -296,11 +342,10 @@ def removed(docs: DataFrame, *, length: int = LENGTH, lead: int = LEAD, with_kep
         IF(size(acc) > 0 AND element_at(acc, -1).hi = o - 1,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('lo', element_at(acc, -1).lo, 'hi', o))),
            concat(acc, array(named_struct('lo', o, 'hi', o)))))""")
-    found = found.groupBy("lead", "span").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("offs")))).alias("offs"))
-    found = stored(found.select(F.col("lead").alias("fl"), F.col("span").alias("fs"), runs.alias("runs")))
-    partly = several.join(found, (F.col("lead") == F.col("fl")) & (F.col("span") == F.col("fs")))
-    partly = partly.select("tid", "p", F.explode("runs").alias("r")).select("tid", (F.col("p") - F.col("r.hi")).alias("i1"), (F.col("p") - F.col("r.lo")).alias("i2"))
-    gone = stored(whole.unionByName(partly).groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("i1", "i2"))).alias("gone")).withColumnRenamed("tid", "gt"))
+    found = found.groupBy("span").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("offs")))).alias("offs"))
+    found = stored(found.select(F.col("span").alias("fs"), runs.alias("runs")))
+    gone = again.join(found, F.col("span") == F.col("fs")).select("tid", "p", F.explode("runs").alias("r")).select("tid", (F.col("p") - F.col("r.hi")).alias("i1"), (F.col("p") - F.col("r.lo")).alias("i2"))
+    gone = stored(gone.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("i1", "i2"))).alias("gone")).withColumnRenamed("tid", "gt"))
 
     copies = stored(base.groupBy("tx").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("tx").alias("cx")))
     rows = base.select("tid", "doc_id", "tx", "n_bytes", "sha").join(copies, F.col("tx") == F.col("cx"), "left")

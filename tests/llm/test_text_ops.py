@@ -345,9 +345,10 @@ def brute_repeats(raw, length):
     return out
 
 
-@pytest.mark.parametrize("length,lead,bucket", [(200, 40, 20_000), (30, 8, 40), (30, 8, 3)])
-def test_suffixdup_equals_brute_force(spark, monkeypatch, length, lead, bucket):
+@pytest.mark.parametrize("length,lead,bucket,most", [(200, 40, 20_000, 4096), (30, 8, 40, 4096), (30, 8, 3, 4096), (30, 8, 20, 5)])
+def test_suffixdup_equals_brute_force(spark, monkeypatch, length, lead, bucket, most):
     monkeypatch.setattr(suffixdup, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(suffixdup, "MOST_BUCKETS", most)
     r = random.Random(7)
     passage = "".join(r.choice("abcdefgh ") for _ in range(90))
     texts = {}
@@ -362,6 +363,18 @@ def test_suffixdup_equals_brute_force(spark, monkeypatch, length, lead, bucket):
     assert got == brute_repeats({k: (t or "").encode() for k, t in texts.items()}, length)
 
 
+def test_suffixdup_hashes_are_a_filter_only(spark, monkeypatch):
+    """Where all leads share two hashes, bytes still decide."""
+    whole = suffixdup.anchors
+    monkeypatch.setattr(suffixdup, "anchors", lambda *a: (lambda got: (got[0], got[1] % np.uint64(2), *got[2:]))(whole(*a)))
+    r = random.Random(10)
+    texts = {i: "".join(r.choice("abcd") for _ in range(120)) for i in range(30)}
+    texts |= {100 + i: texts[i][:60] + texts[i + 1][30:110] for i in range(8)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixdup.removed(df, length=30, lead=8).collect()}
+    assert got == brute_repeats({k: t.encode() for k, t in texts.items()}, 30)
+
+
 def test_suffixdup_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixdup, "PIECE", 512)
     r = random.Random(8)
