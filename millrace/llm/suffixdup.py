@@ -231,6 +231,15 @@ def repeated(suffix: list[bytes], before: list[bytes], n: np.ndarray, near: np.n
     return order, marks, np.maximum(to_first, to_last)
 
 
+RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+
+def runs_of(offs: np.ndarray) -> list[dict]:
+    """Offsets in order as runs of neighbours."""
+    cut = np.flatnonzero(np.diff(offs) != 1) + 1
+    return [{"lo": int(x[0]), "hi": int(x[-1])} for x in np.split(offs, cut)]
+
+
 def key_of(suffix: bytes, before: str, length: int) -> tuple[bytes, bytes]:
     """A row's place in the order, and the bytes before its anchor, nearest first: reversed hexadecimal digits have each byte's digits swapped."""
     near = bytes.fromhex(before[::-1])[::-1]
@@ -265,7 +274,7 @@ def dealt(rows: DataFrame, cuts: list[bytes], length: int) -> DataFrame:
 
 
 def sorted_spans(rows: DataFrame, length: int, lead: int) -> DataFrame:
-    """(span, offs): the repeated offsets of each span.
+    """(span, runs): the repeated offsets of each span, as runs; a span can have several rows.
 
     Equal leading bytes are neighbours in the order, so a window can only meet its
     like in another bucket if its row shares the window's right part with a row at
@@ -289,7 +298,7 @@ def sorted_spans(rows: DataFrame, length: int, lead: int) -> DataFrame:
         order, marks, edge = repeated(suffix, before, n, o1, o, length, lead)
         offset = np.arange(w)
         reach = (o1[order][:, None] <= offset) & (offset <= o[order][:, None]) & (edge[:, None] >= length - offset)
-        out: list[tuple] = [(spans[order[i]], np.flatnonzero(marks[i]).astype(np.int32), None, None, None, None) for i in np.flatnonzero(marks.any(1))]
+        out: list[tuple] = [(spans[order[i]], runs_of(np.flatnonzero(marks[i])), None, None, None, None) for i in np.flatnonzero(marks.any(1))]
         window = lambda i, k: known(before[order[i]][:k] + suffix[order[i]][: length - k], int(k))
         row, k = np.nonzero(reach & ~marks)
         fps = [window(i, j) for i, j in zip(row.tolist(), k.tolist())]
@@ -302,8 +311,8 @@ def sorted_spans(rows: DataFrame, length: int, lead: int) -> DataFrame:
         for part, some in by.items():
             out.append((None, None, part, *(b"".join(x) for x in list(zip(*some))[:2]), np.array([x[2] for x in some], dtype=np.int32).tobytes()))
         cols = list(zip(*out)) if out else [[]] * 6
-        kinds = (pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({c: pa.array(list(x), type=kind) for c, x, kind in zip(("span", "offs", "part", "fps", "spans", "ks"), cols, kinds)})
+        kinds = (pa.binary(), RUNS, pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(list(x), type=kind) for c, x, kind in zip(("span", "runs", "part", "fps", "spans", "ks"), cols, kinds)})
 
     def meet(t: pa.Table) -> pa.Table:
         fp, s = (np.frombuffer(b"".join(t.column(c).to_pylist()), "V16") for c in ("fps", "spans"))
@@ -313,15 +322,15 @@ def sorted_spans(rows: DataFrame, length: int, lead: int) -> DataFrame:
         got: dict[bytes, list[int]] = {}
         for i in hit.tolist():
             got.setdefault(s[i].tobytes(), []).append(int(k[i]))
-        return pa.table({"span": pa.array(list(got), pa.binary()), "offs": pa.array(list(got.values()), pa.list_(pa.int32()))})
+        return pa.table({"span": pa.array(list(got), pa.binary()), "runs": pa.array([runs_of(np.sort(x)) for x in got.values()], RUNS)})
 
     found = None
     for df, size in rounds:
         cuts = splitters(df, max(size, 1), max(1, min(MOST_BUCKETS, -(-size // BUCKET_ROWS))), length)
-        got = stored(dealt(df, cuts, length).groupBy("part").applyInArrow(run, "span binary, offs array<int>, part long, fps binary, spans binary, ks binary"))
+        got = stored(dealt(df, cuts, length).groupBy("part").applyInArrow(run, "span binary, runs array<struct<lo:int,hi:int>>, part long, fps binary, spans binary, ks binary"))
         found = got if found is None else found.unionByName(got)
-    across = found.filter("part IS NOT NULL").select("part", "fps", "spans", "ks").groupBy("part").applyInArrow(meet, "span binary, offs array<int>")
-    return found.filter("part IS NULL").select("span", "offs").unionByName(across)
+    across = found.filter("part IS NOT NULL").select("part", "fps", "spans", "ks").groupBy("part").applyInArrow(meet, "span binary, runs array<struct<lo:int,hi:int>>")
+    return found.filter("part IS NULL").select("span", "runs").unionByName(across)
 
 
 def removed(docs: DataFrame, *, length: int = LENGTH, lead: int = LEAD, with_kept: bool = False) -> DataFrame:
@@ -336,14 +345,8 @@ def removed(docs: DataFrame, *, length: int = LENGTH, lead: int = LEAD, with_kep
     distinct = stored(distinct.select("span", "n", "at.tid", "at.p", "at.i1", "at.i2"))
     suffixes = stored(contexts(base.filter("text IS NOT NULL").select("tid", "text"), distinct, length))
     found = sorted_spans(suffixes, length, lead)
-    # runs of offsets o become runs of window starts p - o
-    runs = F.expr("""
-      aggregate(offs, cast(array() as array<struct<lo:int,hi:int>>), (acc, o) ->
-        IF(size(acc) > 0 AND element_at(acc, -1).hi = o - 1,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('lo', element_at(acc, -1).lo, 'hi', o))),
-           concat(acc, array(named_struct('lo', o, 'hi', o)))))""")
-    found = found.groupBy("span").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("offs")))).alias("offs"))
-    found = stored(found.select(F.col("span").alias("fs"), runs.alias("runs")))
+    found = stored(found.withColumnRenamed("span", "fs"))
+    # runs of offsets o become runs of window starts p - o; the last step joins those that overlap
     gone = again.join(found, F.col("span") == F.col("fs")).select("tid", "p", F.explode("runs").alias("r")).select("tid", (F.col("p") - F.col("r.hi")).alias("i1"), (F.col("p") - F.col("r.lo")).alias("i2"))
     gone = stored(gone.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("i1", "i2"))).alias("gone")).withColumnRenamed("tid", "gt"))
 
