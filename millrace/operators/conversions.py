@@ -7,6 +7,7 @@ types, then the string form; else the definition is in error.
 
 from __future__ import annotations
 
+import importlib
 import re
 from collections.abc import Callable
 
@@ -35,8 +36,25 @@ def conversion(name: str, source: str | None = None, target: str | None = None):
 
 
 def date_pattern(p: str) -> str:
-    """Zone letters Z... of older patterns as Spark's xx."""
-    return re.sub(r"Z+", "xx", p)
+    """An older date pattern in Spark's letters: zones Z... are xx; runs of day names are
+    cut to what Spark allows; quoted text stays."""
+    out = []
+    for quoted, run, _ in re.findall(r"('(?:[^']|'')*')|((.)\3*)", p):
+        if quoted:
+            out.append(quoted)
+        elif run[0] == "Z":
+            out.append("xx")
+        elif run[0] == "a":
+            out.append("a")
+        elif run[0] == "E":
+            out.append("E" if len(run) < 4 else "EEEE")
+        elif run[0] == "X":
+            out.append({1: "X", 2: "XX"}.get(len(run), "XXX"))
+        elif run[0] == "u":
+            raise DefinitionError(f"date pattern {p!r}: the number of a weekday cannot be read or written")
+        else:
+            out.append(run)
+    return "".join(out)
 
 
 @conversion("string2int", "string", "int")
@@ -79,14 +97,62 @@ def to_string(v: Column, kind: str) -> Column:
     return v.cast("string")
 
 
+#: Methods of a value that can be named as conversions; null stays null (names are fixed values).
+METHODS: dict[str, Callable[[Column], Column]] = {
+    "toString": lambda v: v.cast("string"), "trim": F.trim, "toLowerCase": F.lower, "toUpperCase": F.upper, "length": F.length,
+    "intValue": lambda v: v.try_cast("int"), "longValue": lambda v: v.try_cast("long"), "doubleValue": lambda v: v.try_cast("double"), "booleanValue": lambda v: v.try_cast("boolean"),
+}
+
+
+def by_name(name: str) -> Conversion:
+    """A registered conversion by its name or, with a path, by the path's last word; a
+    method of the value; or `module.function`, `module.Class.method` of Python: a static
+    method of one Column, or a method of an instance that is made with the parameters."""
+    if name in BY_NAME:
+        return BY_NAME[name]
+    path, _, last = name.rpartition(".")
+    found = _python(name) if path else None
+    if found is not None:
+        return found
+    if last in BY_NAME:
+        return BY_NAME[last]
+    if last in METHODS:
+        return lambda v, p: (METHODS[last](v), v.isNull() | METHODS[last](v).isNotNull())
+    raise DefinitionError(f"no conversion {name!r}")
+
+
+def _python(name: str) -> Conversion | None:
+    """What a Python path leads to, as a conversion; None if it leads nowhere."""
+    parts = name.split(".")
+    for cut in range(len(parts) - 1, 0, -1):
+        module = ".".join(parts[:cut])
+        try:
+            at = importlib.import_module(module)
+        except ModuleNotFoundError as e:
+            if e.name and (module == e.name or module.startswith(e.name + ".")):
+                continue
+            raise
+        owner = None
+        for x in parts[cut:]:
+            owner, at = at, getattr(at, x, None)
+        if at is None:
+            return None
+        bound = isinstance(owner, type) and not isinstance(owner.__dict__.get(parts[-1]), staticmethod)
+
+        def run(v: Column, p: dict) -> tuple[Column, Column]:
+            got = getattr(owner(p) if p else owner(), parts[-1])(v) if bound else at(v)
+            return got, v.isNull() | got.isNotNull()
+
+        return run
+    return None
+
+
 def convert(v: Column, source: str, target: str, hint: Hint | None = None) -> tuple[Column, Column]:
     if hint is not None:
         if callable(hint.method):
             got = hint.method(v)
             return got, v.isNull() | got.isNotNull()
-        if hint.name not in BY_NAME:
-            raise DefinitionError(f"no conversion {hint.name!r}")
-        return BY_NAME[hint.name](v, hint.parameters)
+        return by_name(hint.name)(v, hint.parameters)
     if source == target:
         return v, F.lit(True)
     if (source, target) in BY_TYPE:

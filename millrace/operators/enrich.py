@@ -36,8 +36,11 @@ def enrich(df: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], c
         good = cleaned(cache).filter(valid(now, days))
         fresh = compute(wanted.join(good.select("key"), "key", "left_anti")).select("key", "fields", "state").withColumn("timestamp", stamp)
         entries = good.select("key", "fields", "state", "timestamp").unionByName(fresh)
-    got = df.join(entries.select(F.col("key").alias("_key"), "fields", "state"), F.col(key).cast("string") == F.col("_key"), "left").drop("_key")
-    return got, entries
+    return joined(df, key, entries), entries
+
+
+def joined(df: DataFrame, key: str, entries: DataFrame) -> DataFrame:
+    return df.join(entries.select(F.col("key").alias("_key"), "fields", "state"), F.col(key).cast("string") == F.col("_key"), "left").drop("_key")
 
 
 def star(df: DataFrame, key: str, order: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

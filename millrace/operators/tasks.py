@@ -8,7 +8,6 @@ dict; what it throws is caught and becomes the record's exception.
 
 from __future__ import annotations
 
-import traceback
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -42,7 +41,7 @@ def native_task(name: str):
 
 
 def python_task(name: str, outputs: dict[str, str]):
-    """f(params, *values) -> value, tuple or dict of the outputs; False as `ok` marks a failure."""
+    """f(params, *values) -> value, tuple or dict of the outputs; False as `ok` marks a failure. Or a class, see above."""
 
     def add(f):
         TASKS[name] = Function(f, outputs, False)
@@ -51,39 +50,69 @@ def python_task(name: str, outputs: dict[str, str]):
     return add
 
 
-def run_task(name: str, params: dict, inputs: list[Column]) -> tuple[dict[str, Column], Column, Column]:
-    """(outputs, ok, exception) of one task."""
+def stack_of(e: BaseException) -> str:
+    """Where an exception came from, and its causes, a line each; the record carries it as text."""
+    lines, seen = [], set()
+    while e is not None and id(e) not in seen:
+        seen.add(id(e))
+        if lines:
+            lines.append(f"Caused by: {type(e).__name__}: {e}")
+        at = e.__traceback__
+        while at is not None:
+            lines.append(f"{at.tb_frame.f_code.co_filename}:{at.tb_lineno} in {at.tb_frame.f_code.co_name}")
+            at = at.tb_next
+        e = e.__cause__ or (None if e.__suppress_context__ else e.__context__)
+    return "\n".join(lines)
+
+
+def known(name: str) -> Function:
     if name not in TASKS:
         raise DefinitionError(f"no task function {name!r}")
-    task = TASKS[name]
-    none = F.lit(None).cast(EXCEPTION)
-    if task.native:
-        got = task.call(params, *inputs)
-        if isinstance(got, Column):
-            got = {"value": got}
-        ok = got.pop("ok", F.lit(True))
-        return got, ok, none
-    kinds, call = task.outputs, task.call
-    names = list(kinds)
+    return TASKS[name]
+
+
+def called(name: str, params: dict, inputs: list[Column]) -> Column:
+    """A python task's result for a record as one struct; it is to be computed once, so it stands as a column of its own."""
+    task = known(name)
+    kinds, call, names = task.outputs, task.call, list(task.outputs)
 
     @F.pandas_udf("ok boolean, class string, message string, stack string, " + ", ".join(f"`out_{k}` {t}" for k, t in kinds.items()))
     def run(*cols: pd.Series) -> pd.DataFrame:
-        rows = []
+        ok, fault, outs = [], [], {k: [] for k in names}
+        function = call(params) if isinstance(call, type) else call  # a class is made once a batch
         for values in zip(*cols):
-            row: dict = {"ok": True}
             try:
-                got = call(params, *values)
-                if not isinstance(got, (dict, tuple)):
-                    got = (got,)
+                if function is not call:
+                    got = {"ok": function.runTask(*values)} | {k: getattr(function, "get" + k[:1].upper() + k[1:])() for k in names}
+                else:
+                    got = function(params, *values)
                 if isinstance(got, tuple):
                     got = dict(zip(names, got))
-                row["ok"] = bool(got.get("ok", True))
-                row |= {f"out_{k}": got.get(k) for k in names}
+                elif not isinstance(got, dict):
+                    got = {names[0]: got} if names else {}
+                ok.append(bool(got.get("ok", True)))
+                fault.append((None, None, None))
+                for k in names:
+                    outs[k].append(got.get(k))
             except Exception as e:  # the record carries it on
-                row |= {"class": type(e).__name__, "message": str(e), "stack": traceback.format_exc()}
-            rows.append(row)
-        return pd.DataFrame(rows, columns=["ok", "class", "message", "stack", *(f"out_{k}" for k in names)], dtype=object)
+                ok.append(True)
+                fault.append((type(e).__name__, str(e), stack_of(e)))
+                for k in names:
+                    outs[k].append(None)
+        one = lambda i: pd.Series([f[i] for f in fault], dtype=object)
+        return pd.DataFrame({"ok": ok, "class": one(0), "message": one(1), "stack": one(2)} | {f"out_{k}": pd.Series(v, dtype=object) for k, v in outs.items()})
+
+    return run.asNondeterministic()(*(inputs or [F.lit(None).cast("string")]))
 
-    got = run(*(inputs or [F.lit(None).cast("string")]))
-    ex = F.when(got["class"].isNotNull(), F.struct(got["class"].alias("class"), got["message"].alias("message"), got["stack"].alias("stack")))
-    return {k: got[f"out_{k}"] for k in names}, got["ok"], ex
+
+def run_task(name: str, params: dict, inputs: list[Column], result: Column | None = None) -> tuple[dict[str, Column], Column, Column]:
+    """(outputs, ok, exception) of one task; result: of a python task, the column that called() gave."""
+    task = known(name)
+    if task.native:
+        got = task.call(params, *inputs)
+        if isinstance(got, Column):
+            got = {"value": got}
+        ok = got.pop("ok", F.lit(True))
+        return got, ok, F.lit(None).cast(EXCEPTION)
+    ex = F.when(result["class"].isNotNull(), F.struct(result["class"].alias("class"), result["message"].alias("message"), result["stack"].alias("stack")))
+    return {k: result[f"out_{k}"] for k in task.outputs}, result["ok"], ex

@@ -52,6 +52,8 @@ class StreamFormat:
     columns: dict[str, ColumnFormat] = field(default_factory=dict)
     encoding: str = "UTF-8"
     newline: str = "\n"
+    types: dict[str, int] = field(default_factory=dict)  # of tables: JDBC type codes
+    view: bool = False  # a temporary view under the terminal's name, with its own columns
 
 
 #: What an output without a format of its own writes.
@@ -85,6 +87,16 @@ class ErrorRoute:
     mappings: tuple = ()
 
 
+@dataclass(frozen=True)
+class Resource:
+    """What a terminal is bound to: `file` at a location, or `db` by connection and table."""
+
+    name: str
+    kind: str
+    location: str
+    table: str | None = None
+
+
 @dataclass(frozen=True)
 class Terminal:
     name: str
@@ -93,6 +105,7 @@ class Terminal:
     error_routes: tuple[ErrorRoute, ...] = ()
     queue_size: int = 5000
     monitor_frequency: int = 0
+    resource: Resource | None = None
 
 
 @dataclass(frozen=True)

@@ -9,18 +9,18 @@ nothing fails a job: errors are data. The same plan runs in batch and streaming.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.operators.conditions import add_event, build, start_events
 from millrace.operators.conversions import convert, export_exception, to_string
 from millrace.operators.records import record_to_string
-from millrace.operators.tasks import EXCEPTION, TASKS, run_task
+from millrace.operators.tasks import EXCEPTION, called, known, run_task
 from millrace.plans import mapping as m
 from millrace.plans.analyzer import Resolved, ResolvedRoute, analyze
 from millrace.plans.model import Compat, DefinitionError, MapExpression, MapField, Node, Pipe, ProcessDef, Terminal
@@ -39,6 +39,13 @@ class Plan:
     discarded: dict[str, DataFrame] = field(default_factory=dict)
     elements: dict[str, DataFrame] = field(default_factory=dict)
     deliveries: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
+    observed: dict[tuple[str, str, str], Observation] = field(default_factory=dict)
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Lets go of the rows that are kept for several routes."""
+        while self.kept:
+            self.kept.pop().unpersist()
 
 
 def struct_of(fields: dict[str, Column]) -> Column:
@@ -46,8 +53,12 @@ def struct_of(fields: dict[str, Column]) -> Column:
 
 
 class Planner:
-    def __init__(self, resolved: Resolved, persist: bool = False):
-        self.r, self.persist = resolved, persist
+    def __init__(self, resolved: Resolved, persist: bool = True, observe: bool = False):
+        self.r, self.persist, self.observe = resolved, persist, observe
+        ends = {t.name for t in resolved.process.outputs}
+        while more := {x.source for x in resolved.routes if x.destination in ends} - ends:
+            ends |= more
+        self.flows = ends  # elements from which records can come to a sink
         self.plan = Plan(resolved)
         self.into: dict[str, list[DataFrame]] = {e: [] for e in resolved.elements}
 
@@ -68,10 +79,18 @@ class Planner:
                     raise DefinitionError(f"nothing to read for input {name}")
                 df = self._source(e, sources[name])
             if df is not None:
+                df = self._counted(df, "element", name)
                 self.plan.elements[name] = df
                 self._send(name, df)
         return self.plan
 
+    def _counted(self, df: DataFrame, kind: str, source: str, destination: str = "") -> DataFrame:
+        """df, whose rows are counted by the run that writes the sinks."""
+        if not self.observe or df.isStreaming or (destination or source) not in self.flows:
+            return df
+        got = self.plan.observed[kind, source, destination] = Observation(f"{kind}:{source}:{destination}")
+        return df.observe(got, F.count(F.lit(1)).alias("n"))
+
     def _union(self, name: str) -> DataFrame | None:
         parts = self.into[name]
         return reduce(DataFrame.unionByName, parts) if parts else None
@@ -118,8 +137,10 @@ class Planner:
         for name, kind in kinds.items():
             df = df.withColumn(f"_c_{name}", F.lit(None).cast(kind))
         for i, task in enumerate(n.tasks):
-            got, ok, ex = run_task(task.function, task.parameters, [F.col(f"received.{f}") for f in task.inputs])
-            native = TASKS[task.function].native
+            inputs, native = [F.col(f"received.{f}") for f in task.inputs], known(task.function).native
+            if not native:
+                df = df.withColumn(f"_r{i}", called(task.function, task.parameters, inputs))
+            got, ok, ex = run_task(task.function, task.parameters, inputs, F.col(f"_r{i}"))
             # an exception ends the task sequence; what was set stays
             go = F.col("_ex").isNull()
             df = df.withColumn(f"_t{i}", F.struct(F.coalesce(ok, F.lit(True)).alias("ok"), ex.alias("ex"), *(c.alias(f"o_{k}") for k, c in got.items())))
@@ -136,8 +157,9 @@ class Planner:
         df = df.withColumn("created", struct_of({k: F.col(f"_c_{k}") for k in kinds}))
         df = self._framed(df, n.name, "node", F.col("_events"), F.col("_ex"))
         routes = sum(x.source == n.name for x in self.r.routes)
-        if self.persist and routes > 1 and not df.isStreaming and any(not TASKS[t.function].native for t in n.tasks):
+        if self.persist and routes > 1 and not df.isStreaming and any(not known(t.function).native for t in n.tasks):
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.plan.kept.append(df)
         return df
 
     def _send(self, name: str, df: DataFrame) -> None:
@@ -154,6 +176,7 @@ class Planner:
             if to_sink:  # records of different sources may meet there
                 values = {k: self._text(df, v) if (x.fields[k].type or "").startswith(("struct", "array")) else v for k, v in values.items()}
             branch = df.filter(F.col(f"_go{i}")).select(struct_of(values).alias("received"))
+            branch = self._counted(branch, "route", x.source, x.destination)
             self.plan.deliveries[x.source, x.destination] = branch
             self.into[x.destination].append(branch)
 
@@ -182,6 +205,7 @@ class Planner:
     def _sink(self, t: Terminal, df: DataFrame | None) -> None:
         if df is None:
             return
+        df = self._counted(df, "element", t.name)
         self.plan.elements[t.name] = df
         hints = {h.field: h for h in t.hints}
         kinds = {f.name: f.dataType.simpleString() for f in df.schema["received"].dataType.fields}
@@ -204,12 +228,27 @@ class Planner:
             self.plan.errors[t.name] = df.filter("NOT _ok").select("received")
 
 
-def plan(process: ProcessDef, sources: dict[str, DataFrame], compat: Compat = Compat(), persist: bool = False) -> Plan:
-    """persist keeps a node's rows where several routes leave it and its tasks run Python."""
-    got = Planner(analyze(process, compat), persist).run(sources)
+def plan(process: ProcessDef, sources: dict[str, DataFrame], compat: Compat = Compat(), persist: bool = True, observe: bool = False) -> Plan:
+    """persist keeps a node's rows where several routes leave it and its tasks run
+    Python, so that a record's tasks run once; release() lets them go. observe counts
+    the records of elements and routes while the sinks are written."""
+    process, sources = viewed(process, sources)
+    got = Planner(analyze(process, compat), persist, observe).run(sources)
     return error_sinks(got)
 
 
+def viewed(process: ProcessDef, sources: dict[str, DataFrame]) -> tuple[ProcessDef, dict[str, DataFrame]]:
+    """Inputs whose format is a temporary view get its columns and, unless one is given, its rows."""
+    inputs = []
+    for t in process.inputs:
+        if t.format is not None and t.format.view:
+            if t.name not in sources:
+                sources = sources | {t.name: SparkSession.active().table(t.name)}
+            t = replace(t, format=replace(t.format, fields=tuple(sources[t.name].columns)))
+        inputs.append(t)
+    return replace(process, inputs=tuple(inputs)), sources
+
+
 def error_sinks(p: Plan) -> Plan:
     """Rows of terminals' error routes, mapped, under the name of the route's destination."""
     for t in [*p.resolved.process.inputs, *p.resolved.process.outputs]:

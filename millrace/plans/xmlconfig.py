@@ -5,7 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 from millrace.operators.conditions import And, Const, Holds, Is, Not, Or, Xor
-from millrace.plans.model import ColumnFormat, DefinitionError, ErrorRoute, Hint, MapExpression, MapField, Node, Pipe, ProcessDef, Route, StreamFormat, Task, Terminal
+from millrace.plans.model import ColumnFormat, DefinitionError, ErrorRoute, Hint, MapExpression, MapField, Node, Pipe, ProcessDef, Resource, Route, StreamFormat, Task, Terminal
 
 
 def tag(e: ET.Element) -> str:
@@ -45,7 +45,10 @@ def stream_format(e: ET.Element | None, shared: dict[str, ET.Element]) -> Stream
     else:
         found = kid(e, "format")
     if found is not None and kid(found, "tableFormat") is not None:
-        return StreamFormat(tuple(c.get("name") for c in kids(kid(found, "tableFormat", "fields"), "column")))
+        columns = kids(kid(found, "tableFormat", "fields"), "column")
+        return StreamFormat(tuple(c.get("name") for c in columns), types={c.get("name"): int(c.get("jdbcDataType")) for c in columns if c.get("jdbcDataType")})
+    if found is not None and kid(found, "tmpFormat") is not None:
+        return StreamFormat(view=True)
     e = kid(found, "streamFormat")
     if e is None:
         return None
@@ -73,11 +76,22 @@ def mappings(e: ET.Element) -> tuple:
     return tuple(out)
 
 
+def resource(e: ET.Element | None) -> Resource | None:
+    """What a terminal is bound to: a file, or a table of a database."""
+    e = kid(e, "ioResource")
+    if e is None:
+        return None
+    file, db = kid(e, "file"), kid(e, "db")
+    if (file is None) == (db is None):
+        raise DefinitionError(f"resource {e.get('name')}: a file or a table is needed")
+    return Resource(e.get("name"), *(("file", file.get("location")) if db is None else ("db", db.get("connection"), db.get("table"))))
+
+
 def terminal(e: ET.Element, shared: dict[str, ET.Element]) -> Terminal:
-    hints = tuple(Hint(h.get("field"), text(h, "name") or (text(h, "conversionMethod") or "").rpartition(".")[2] or None, None, parameters(h)) for h in kids(e, "conversionHint"))
+    hints = tuple(Hint(h.get("field"), text(h, "name") or text(h, "conversionMethod") or None, None, parameters(h)) for h in kids(e, "conversionHint"))
     errors = tuple(ErrorRoute(text(r, "destination"), mappings(r)) for r in kids(e, "errorRoute"))
     source = kid(e, "datasource") if kid(e, "datasource") is not None else kid(e, "datasink")
-    return Terminal(e.get("name"), stream_format(source, shared), hints, errors, int(e.get("queueSize", 5000)), int(e.get("monitorFrequency", 0)))
+    return Terminal(e.get("name"), stream_format(source, shared), hints, errors, int(e.get("queueSize", 5000)), int(e.get("monitorFrequency", 0)), resource(source))
 
 
 def condition(e: ET.Element):

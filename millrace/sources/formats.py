@@ -135,7 +135,9 @@ def split_line(line: Column, f: StreamFormat) -> Column:
     # a line that does not match stays as it is, and so is one part
     fits = (lambda parts: F.size(parts) == n) if n > 1 else (lambda parts: line.rlike(pattern))
     whole = lambda parts: F.when(fits(parts), F.array(*(plain(parts[i], c) for i, c in enumerate(formats))))
-    return F.when(~line.contains(SEPARATOR), F.transform(F.array(F.split(joined, SEPARATOR, -1)), whole)[0])
+    # a line that holds the separating character itself is cut group by group
+    groups = F.when(line.rlike(pattern), F.array(*(plain(F.regexp_extract(line, pattern, i + 1), c) for i, c in enumerate(formats))))
+    return F.when(~line.contains(SEPARATOR), F.transform(F.array(F.split(joined, SEPARATOR, -1)), whole)[0]).otherwise(groups)
 
 
 def plain(part: Column, c: ColumnFormat) -> Column:

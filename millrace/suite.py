@@ -6,6 +6,8 @@ express, which the tests hold against hand-derived rows.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions import netaddr, strings, url
 from millrace.functions.useragent import FIELDS as UA_FIELDS
 from millrace.functions.useragent import user_agent
-from millrace.monitor import counts
+from millrace.monitor import counts, observed
 from millrace.operators import enrich, keyset, records
 from millrace.operators.conditions import And, Const, Holds, Is, Not, Or, Xor
 from millrace.operators.conversions import date2string, string2date
@@ -22,8 +24,9 @@ from millrace.operators.predicates import PREDICATES
 from millrace.operators.tasks import native_task, python_task
 from millrace.plans.model import ColumnFormat, ErrorRoute, Hint, MapExpression, MapField, Node, Pipe, ProcessDef, Route, StreamFormat, Task, Terminal
 from millrace.plans.planner import Plan, plan
-from millrace.sources.files import lines_of
+from millrace.sources.files import as_strings, decoded, lines_of
 from millrace.sources.formats import split_line
+from millrace.sources.store import Store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -427,10 +430,65 @@ def cache_ttl(spark, sf):
     return got.select("event_id", F.col("fields")["origin"].alias("origin"))
 
 
-@query("SELECT key FROM (VALUES ('a')) t(key)")
+@query("SELECT event_id::VARCHAR AS key FROM events WHERE event_type NOT IN ('click', 'view', 'error')")
 def cache_cleaning(spark, sf):
-    rows = [("a", {"x": "1"}, "OK", None), ("b", {"x": "1"}, "EMPTY", None), ("c", {}, "OK", None), ("d", None, "OK", None)]
-    return enrich.cleaned(spark.createDataFrame(rows, enrich.CACHE)).select("key")
+    """Entries that are empty, without fields or in progress are dropped on opening."""
+    kind = lambda x: F.col("event_type") == x
+    fields = F.when(kind("view"), F.lit(None)).when(kind("error"), F.expr("cast(map() as map<string,string>)")).otherwise(F.create_map(F.lit("x"), "event_type"))
+    cache = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("key"), fields.alias("fields"), F.when(kind("click"), "EMPTY").otherwise("OK").alias("state"), F.col("ts").cast("timestamp").alias("timestamp"))
+    return enrich.cleaned(cache).select("key")
+
+
+@query("""
+SELECT event_id, user_id::VARCHAR AS ip, CASE WHEN user_id % 5 > 0 THEN 'host' || user_id || CASE WHEN user_id % 2 = 0 THEN '.old' ELSE '.new' END END AS hostname,
+  CASE WHEN user_id % 5 > 0 THEN 'OK' ELSE 'FAILURE' END AS state FROM events""")
+def host_name_engine(spark, sf):
+    """Host names of the last three days come from the cache, the others are resolved once for each address."""
+    ev = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("ip"), "user_id")
+    names = ev.filter("user_id % 5 > 0").select("ip", F.concat(F.lit("host"), "ip", F.lit(".new.")).alias("hostname")).distinct()
+    days = F.when(F.col("user_id") % 2 == 0, 1).otherwise(4)
+    cache = ev.filter("user_id % 5 > 0").select(F.col("ip").alias("key"), "user_id").distinct()
+    cache = cache.select("key", F.create_map(F.lit("hostname"), F.concat(F.lit("host"), "key", F.lit(".old"))).alias("fields"), F.lit("OK").alias("state"), (F.lit("2024-01-30").cast("timestamp") - F.make_interval(days=days)).alias("timestamp"))
+    got, _ = netaddr.host_engine(ev.drop("user_id"), "ip", netaddr.named(names), cache, now=F.lit("2024-01-30").cast("timestamp"))
+    return got.select("event_id", "ip", "hostname", "state")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for what a query keeps: below the shared one, if the session names it."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/{os.urandom(8).hex()}" if shared else tempfile.mkdtemp(prefix="millrace-")
+
+
+@query("""
+WITH f AS (SELECT event_type AS key, min(event_id) FILTER (event_id % 4 = 0) AS a, min(event_id) AS b FROM events GROUP BY 1),
+k AS (SELECT key, row_number() OVER (ORDER BY a, key) - 1 AS id FROM f WHERE a IS NOT NULL)
+SELECT id, key, 2::BIGINT AS versions FROM k
+UNION ALL SELECT (SELECT count(*) FROM k) + row_number() OVER (ORDER BY b, key) - 1, key, 2 FROM f WHERE a IS NULL""")
+def keyset_store(spark, sf):
+    """A keyset that outlives a run: the second run numbers on from what the first has stored."""
+    ev, store = table(spark, sf, "events"), Store(spark, scratch(spark))
+    store.keyset("types", ev.filter("event_id % 4 = 0"), "event_type", "event_id")
+    got = store.keyset("types", ev, "event_type", "event_id")
+    return got.withColumn("versions", F.lit(len(store.versions("types"))).cast("long"))
+
+
+@query("""
+SELECT o_orderkey, c_mktsegment AS segment, CASE WHEN o_custkey % 2 = 0 THEN 'first' ELSE 'second' END AS run
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def lookup_store(spark, sf):
+    """A lookup table that outlives a run: only keys that it lacks are computed again."""
+    store, orders = Store(spark, scratch(spark)), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    compute = segments(spark, sf)
+    told = lambda run: lambda keys: compute(keys).select("key", F.map_concat("fields", F.create_map(F.lit("run"), F.lit(run))).alias("fields"), "state")
+    store.enrich("segments", orders.filter("o_custkey % 2 = 0"), "o_custkey", told("first"))
+    got = store.enrich("segments", orders, "o_custkey", told("second"))
+    return got.filter("state = 'OK'").select("o_orderkey", F.col("fields")["segment"].alias("segment"), F.col("fields")["run"].alias("run"))
+
+
+@query("SELECT row_number() OVER (ORDER BY min(c_name), c_nationkey) - 1 AS id, c_nationkey::VARCHAR AS key FROM customer GROUP BY c_nationkey")
+def keyset_text_order(spark, sf):
+    """First sight by a text column, in ranges like any other."""
+    return keyset.keyset(table(spark, sf, "customer").withColumn("k", F.col("c_nationkey").cast("string")), "k", "c_name")
 
 
 # --- URLs, requests, addresses, agents -------------------------------------------------
@@ -489,6 +547,26 @@ def http_request(spark, sf):
     return got.select("page_id", "r.state", "r.httprequest", "r.document", "r.protocol", "r.url.host", "r.url.path")
 
 
+@query("""
+WITH r AS (SELECT i, i * 70000 AS lo, i * 70000 + 49999 AS hi FROM range(200) t(i)),
+a AS (SELECT event_id, (event_id * 7919) % 14000000 AS n FROM events)
+SELECT event_id, CASE WHEN i IS NOT NULL THEN 'AS' || i END AS asnCode, CASE WHEN i % 7 > 0 THEN 'C' || i % 9 END AS countryCode, CASE WHEN i % 7 > 0 THEN 'Country ' || i % 9 END AS countryName,
+  CASE WHEN i IS NOT NULL THEN 'R' || i % 5 END AS region, CASE WHEN i IS NOT NULL THEN 'City ' || i END AS city, CASE WHEN i IS NOT NULL THEN (1000 + i)::VARCHAR END AS postalCode,
+  NULL::VARCHAR AS areaCode, CASE WHEN i % 7 > 0 THEN 'OK' ELSE 'FAILURE' END AS state
+FROM a LEFT JOIN r ON n BETWEEN lo AND hi""")
+def geo_fields(spark, sf):
+    """All seven fields, over ranges that cross the blocks of the join."""
+    n = (F.col("event_id") * 7919) % 14000000
+    octet = lambda shift: (F.shiftright(n, shift) % 256).cast("string")
+    i = F.col("id")
+    ranges = spark.range(200).select(
+        (i * 70000).alias("lo"), (i * 70000 + 49999).alias("hi"), F.concat(F.lit("AS"), i).alias("asnCode"), F.when(i % 7 > 0, F.concat(F.lit("C"), i % 9)).alias("countryCode"),
+        F.when(i % 7 > 0, F.concat(F.lit("Country "), i % 9)).alias("countryName"), F.concat(F.lit("R"), i % 5).alias("region"), F.concat(F.lit("City "), i).alias("city"), (i + 1000).alias("postalCode"),
+    )
+    ev = table(spark, sf, "events").select("event_id", F.concat_ws(".", octet(24), octet(16), octet(8), octet(0)).alias("ip"))
+    return netaddr.geo_lookup(ev, "ip", ranges).drop("ip")
+
+
 _RANGES = [(i * 40, i * 40 + 29, f"C{i}") for i in range(8)]
 
 
@@ -533,6 +611,23 @@ def user_agent_fields(spark, sf):
     return got.select("event_id", "a.agentName", "a.agentOSVersion", "a.agentSWPlatform", "a.agentProcessor")
 
 
+with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "suite_agents.tsv"), encoding="utf-8") as _f:
+    #: Recorded results, read against the rules: a string and its thirteen fields.
+    ALL_AGENTS = [x.rstrip("\n").split("\t") for x in _f]
+_sql = lambda x: "NULL" if x == "" else "'" + x.replace("'", "''") + "'"
+_ALL_ROWS = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in ALL_AGENTS)
+
+
+@query(f"""
+SELECT event_id, CASE WHEN "agentName" IS NULL THEN 'FAILURE' ELSE 'OK' END AS state, {", ".join(UA_FIELDS)}
+FROM events JOIN (SELECT *, row_number() OVER () - 1 AS i FROM (VALUES {_ALL_ROWS}) t(ua, {", ".join(UA_FIELDS)})) ON event_id % {len(ALL_AGENTS)} = i""")
+def user_agent_all_fields(spark, sf):
+    """All thirteen fields of all recorded strings."""
+    uas = F.array(*(F.lit(a[0]) for a in ALL_AGENTS))
+    ev = table(spark, sf, "events").select("event_id", F.element_at(uas, (F.col("event_id") % len(ALL_AGENTS) + 1).cast("int")).alias("ua"))
+    return ev.select("event_id", user_agent(F.col("ua")).alias("a")).select("event_id", "a.*")
+
+
 # --- strings ---------------------------------------------------------------------------
 
 
@@ -560,6 +655,115 @@ def string_utils(spark, sf):
     )
 
 
+@query(r"""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '\|' ELSE c_name END AS slashed, c_name LIKE 'Customer%' AS starts, true AS starts_null, false AS null_starts, c_name LIKE '%9' AS ends, true AS ends_null, false AS null_ends,
+  c_mktsegment || ';' || c_name AS items, '#' || regexp_replace(c_name, '(#)', '\\\1', 'g') AS escaped_old, '\#' || regexp_replace(c_name, '(#)', '\\\1', 'g') AS escaped,
+  CASE WHEN c_custkey < 256 THEN 16777216 * 10 + c_custkey END AS ip, 16777216 * 10 + c_custkey % 256 AS ip_loose
+FROM customer""")
+def string_edges(spark, sf):
+    """Helpers at their edges: a lone bar, null needles, a sequence at the start, octets above 255."""
+    name, key = F.col("c_name"), F.col("c_custkey")
+    null, sharp = F.lit(None).cast("string"), F.concat(F.lit("#"), name)
+    address = F.concat(F.lit("10.0.0."), key.cast("string"))
+    return table(spark, sf, "customer").select(
+        "c_custkey", strings.addslashes(F.when(key % 3 == 0, "|").otherwise(name)).alias("slashed"),
+        strings.starts_with(name, F.lit("Customer")).alias("starts"), strings.starts_with(name, null).alias("starts_null"), strings.starts_with(null, name).alias("null_starts"),
+        strings.ends_with(name, F.lit("9")).alias("ends"), strings.ends_with(name, null).alias("ends_null"), strings.ends_with(null, name).alias("null_ends"),
+        strings.join_items(F.array("c_mktsegment", "c_name"), ";").alias("items"), strings.escape_sequences(sharp, ["#"], "\\", compat=True).alias("escaped_old"), strings.escape_sequences(sharp, ["#"], "\\").alias("escaped"),
+        strings.string_to_ip(address).alias("ip"), strings.string_to_ip(address, strict=False).alias("ip_loose"),
+    )
+
+
+# --- readers of odd lines, records with dates, other conversions ---------------------------
+
+
+@query("""
+SELECT event_id::VARCHAR || chr(1) AS id, event_type || chr(1) || ',' || props AS rest FROM events""")
+def tokenize_control_char(spark, sf):
+    """The character that the native reader cuts with may stand in a line as well."""
+    f = StreamFormat(("id", "rest"), separator=",", quotes=(("<", ">"),))
+    line = F.concat(F.col("event_id").cast("string"), F.lit("\x01,<"), "event_type", F.lit("\x01,"), "props", F.lit(">"))
+    return table(spark, sf, "events").select(split_line(line, f).alias("p")).select(*(F.col("p")[i].alias(x) for i, x in enumerate(f.fields)))
+
+
+@query("""
+SELECT p_partkey, p_name || ' äöü' AS latin, p_name || ' őű' AS central, p_name || ' äő' AS wide FROM part""")
+def decode_encodings(spark, sf):
+    """Bytes of three encodings: one that Spark knows, one that Python decodes, one of two bytes a character."""
+
+    @F.pandas_udf("binary")
+    def in_latin2(s):
+        return s.map(lambda x: x.encode("iso-8859-2"))
+
+    text = lambda tail: F.concat("p_name", F.lit(tail))
+    return table(spark, sf, "part").select(
+        "p_partkey", decoded(F.encode(text(" äöü"), "ISO-8859-1"), "ISO-8859-1").alias("latin"), decoded(in_latin2(text(" őű")), "ISO-8859-2").alias("central"),
+        decoded(F.encode(text(" äő"), "UTF-16LE"), "UTF-16LE").alias("wide"),
+    )
+
+
+@query("""
+SELECT event_id, 'k:' || event_type || '|ProcessedDataInternalState:OK|timestamp:' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, event_type AS k, 'OK' AS state, date_trunc('second', ts) AS at, NULL::TIMESTAMP AS modified FROM events""")
+def record_timestamps(spark, sf):
+    """Stored entries with the time of processing; a date that is not known is left out."""
+    ev = table(spark, sf, "events").select("event_id", records.serialize(F.create_map(F.lit("k"), "event_type"), F.lit("OK"), F.col("ts").cast("timestamp"), F.lit(None).cast("timestamp")).alias("text"))
+    r = records.unserialize(F.col("text"))
+    return ev.select("event_id", "text", r["fields"]["k"].alias("k"), r["state"].alias("state"), r["timestamp"].cast("timestamp_ntz").alias("at"), r["dataSourceModified"].cast("timestamp_ntz").alias("modified"))
+
+
+@query("""
+SELECT 'out' AS sink, event_id::VARCHAR AS event_id, upper(event_type) AS event_type, value::VARCHAR AS value FROM events""")
+def conv_by_method(spark, sf):
+    """Hints that name a method: of the value, by a path, and of a class of one's own."""
+    ev = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("value").cast("string").alias("value"))
+    hints = (Hint("event_id", "com.example.Conversions.string2int"), Hint("event_type", "java.lang.String.toUpperCase"), Hint("value", "millrace.suite.Doubles.read", parameters={"factor": "1"}))
+    p = ProcessDef("m", (source("ev", "event_id", "event_type", "value", hints=hints),), sinks("out"), (Route("ev", "n"), Route("n", "out")), (Node("n", {"event_id": "Integer", "event_type": "String", "value": "Double"}),))
+    return united(plan(p, {"ev": ev}))
+
+
+class Doubles:
+    """A conversion class: made with its parameters, its methods take the value."""
+
+    def __init__(self, parameters: dict):
+        self.factor = float(parameters.get("factor", 1))
+
+    def read(self, v):
+        return v.try_cast("double") * self.factor
+
+
+class Halver:
+    """A task class: runTask says whether it worked, getters give the outputs."""
+
+    def __init__(self, parameters: dict):
+        self.by, self.half = int(parameters["by"]), None
+
+    def runTask(self, n):
+        self.half = n // self.by
+        return n % self.by == 0
+
+    def getHalf(self):
+        return self.half
+
+
+python_task("halver", {"half": "int"})(Halver)
+
+
+@query("""
+SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'fine' ELSE 'failed' END AS sink, o_orderkey::VARCHAR AS o_orderkey, (o_orderkey // 3)::VARCHAR AS half FROM orders""")
+def task_class(spark, sf):
+    """A class as a task: instance call, parameters, getters."""
+    keep = (MapExpression("o_orderkey = received:, half = created:half"),)
+    node = Node("n", {"o_orderkey": "Integer"}, {"half": "Integer"}, (Task("halver", ("o_orderkey",), (("half", "half"),), {"by": "3"}),))
+    p = ProcessDef("h", (source("o", "o_orderkey", hints=(Hint("o_orderkey", "string2int"),)),), sinks("fine", "failed"), (Route("o", "n"), Route("n", "fine", keep), Route("n", "failed", keep, Is("error:task-failed"))), (node,))
+    return united(plan(p, {"o": table(spark, sf, "orders")}))
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
+def table_format(spark, sf):
+    """Columns of a table in declared JDBC types, as strings."""
+    return as_strings(table(spark, sf, "nation").select("n_nationkey", "n_name"), 2, {"n_nationkey": 4, "n_name": 12})
+
+
 # --- counters --------------------------------------------------------------------------
 
 
@@ -574,3 +778,20 @@ def monitor_counts(spark, sf):
     keep = (MapField("event_id", "event_id"),)
     p = events_net((Route("ev", "err", keep, Holds("equals", "event_type", {"comparisonValue": "error"})), Route("ev", "rest", keep, Not(Is("routing:record-has-been-delivered")))), ("err", "rest"))
     return counts(plan(p, {"ev": table(spark, sf, "events")}))
+
+
+@query("""
+SELECT kind, source, destination, count(*) AS n FROM (
+  SELECT 'element' AS kind, 'ev' AS source, '' AS destination FROM events
+  UNION ALL SELECT 'element', 'err', '' FROM events WHERE event_type = 'error'
+  UNION ALL SELECT 'element', 'rest', '' FROM events WHERE event_type <> 'error'
+  UNION ALL SELECT 'route', 'ev', 'err' FROM events WHERE event_type = 'error'
+  UNION ALL SELECT 'route', 'ev', 'rest' FROM events WHERE event_type <> 'error') GROUP BY ALL""")
+def run_counts(spark, sf):
+    """The same counts, left by the run that writes the sinks."""
+    keep = (MapField("event_id", "event_id"),)
+    p = events_net((Route("ev", "err", keep, Holds("equals", "event_type", {"comparisonValue": "error"})), Route("ev", "rest", keep, Not(Is("routing:record-has-been-delivered")))), ("err", "rest"))
+    got = plan(p, {"ev": table(spark, sf, "events")}, observe=True)
+    for df in got.sinks.values():
+        df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(r["kind"], r["source"], r["destination"], r["n"]) for r in observed(got)], "kind string, source string, destination string, n long")

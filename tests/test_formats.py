@@ -1,7 +1,7 @@
 """Tokenizer, exporter, files, streaming, loader and command line."""
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -64,10 +64,11 @@ def test_golden_lines(spark):
 def test_tokens_and_long_sequences():
     f = StreamFormat(("a", "b"), "::", "^", (("<<", ">>"),), {"b": ColumnFormat(separators=("/",))})
     assert compiled(column_formats(f)) is None
-    assert tokenize("x<<y::z>>^::::p/q", column_formats(f)) == [
-        [("WORD", "x"), ("QUOTE", "<<"), ("WORD", "y::z"), ("QUOTE", ">>"), ("ESCAPE", "^"), ("WORD", "::")][:5] + [("WORD", ":"), ("DELIMITER", "::")],
-        [("WORD", ":p"), ("TOKENSEPARATOR", "/"), ("WORD", "q")],
-    ] or values("a::b/c", column_formats(f)) == ["a", "b/c"]
+    assert tokenize("x<<y::z>>^:::p/q", column_formats(f)) == [
+        [("WORD", "x"), ("QUOTE", "<<"), ("WORD", "y::z"), ("QUOTE", ">>"), ("ESCAPE", "^"), ("WORD", ":"), ("DELIMITER", "::")],
+        [("WORD", "p"), ("TOKENSEPARATOR", "/"), ("WORD", "q")],
+    ]
+    assert values("a::b/c", column_formats(f)) == ["a", "b/c"]
     assert values("a::<<b/c::d>>", column_formats(f)) == ["a", "b/c::d"]
 
 
@@ -77,16 +78,28 @@ def test_bad_formats():
             column_formats(f)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet='ab[]",\\ \n', max_size=9), min_size=1, max_size=40))
-def test_pattern_and_tokenizer_agree(xs):
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet='ab[]",\\ \n\x01\x00', max_size=9), min_size=40, max_size=120))
+def test_pattern_and_tokenizer_agree(spark, xs):
     """Both ways of reading a line give the same values and reject the same lines."""
-    import re
-
-    formats = column_formats(CSV)
-    pattern = re.compile(compiled(formats).replace("\\z", "\\Z"))
-    for x in xs:
-        assert (pattern.match(x) is not None) == (python_values(x, CSV) is not None), x
+    assert compiled(column_formats(CSV)) is not None
+    got = spark.createDataFrame(list(enumerate(xs)), "i int, line string").select("i", split_line(F.col("line"), CSV).alias("p")).collect()
+    for r in got:
+        assert r.p == python_values(xs[r.i], CSV), xs[r.i]
+
+
+def test_encodings_blank_lines_and_missing_files(spark, tmp_path):
+    text = "p\x01q\n\n  \nőrült, ä|x\r\nlast"
+    want = ["p\x01q", "", "  ", "őrült, ä|x", "last"]
+    for encoding in ("UTF-8", "ISO-8859-2", "UTF-16LE", "windows-1250"):
+        (tmp_path / encoding).write_bytes(text.encode(encoding))
+        assert [r.line for r in files.read_lines(spark, [str(tmp_path / encoding)], encoding).collect()] == want, encoding
+    (tmp_path / "latin").write_bytes("p\x01q\n\n  \nä".encode("latin-1"))
+    assert [r.line for r in files.read_lines(spark, [str(tmp_path / "latin")], "ISO-8859-1").collect()] == ["p\x01q", "", "  ", "ä"]
+    missing = []
+    got = files.read_lines(spark, [str(tmp_path / "nowhere"), str(tmp_path / "UTF-8"), str(tmp_path / "no*")], on_missing=missing.append)
+    assert got.count() == 5 and missing == [str(tmp_path / "nowhere"), str(tmp_path / "no*")]
+    assert files.read_lines(spark, [str(tmp_path / "nowhere")], on_missing=missing.append).count() == 0
 
 
 def test_export_and_round_trip(spark):
@@ -108,6 +121,10 @@ def test_files(spark, tmp_path):
     with pytest.raises(DefinitionError):
         files.as_strings(spark.range(1), 2)
     assert files.as_strings(spark.range(2), 1).dtypes == [("id", "string")]
+    assert files.as_strings(spark.range(2), 1, {"ID": -5}).count() == 2
+    for types in ({"id": 12}, {"id": 999}, {"other": 12}):
+        with pytest.raises(DefinitionError):
+            files.as_strings(spark.range(2), 1, types)
 
 
 def run(spark):
@@ -151,6 +168,46 @@ def test_command_line(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "o" / "fact")).count() == 6 and spark.read.json(str(tmp_path / "o" / "log.discarded")).count() == 1
 
 
+def test_command_line_options(spark, tmp_path, capsys):
+    import json
+
+    (tmp_path / "p.xml").write_text(XML)
+    (tmp_path / "a.txt").write_text('[1],"x"\n[2],"y"\nbad,line,here')
+    (tmp_path / "b.txt").write_text('[3],"z"\n[4],"x"\n')
+    run = lambda name, cache, *more: cli.main(["--process=two", f"--process_definitions={tmp_path}/p.xml", f"--output={tmp_path}/{name}", f"--data={tmp_path}/data", f"--usecache={cache}", "--tasks=millrace.suite", "--lookup=fact.bb", *more])
+    assert run("one", "false", "--keepkeyset=true", "--report", "--input", f"log={tmp_path}/a.txt", "--input", f"log={tmp_path}/gone.txt") == 0
+    told = json.loads(capsys.readouterr().out)
+    n = {(r["kind"], r["source"], r["destination"]): r["n"] for r in told["counts"]}
+    assert n["element", "log", ""] == 2 and n["route", "q", "fact"] == 2 and n["element", "fact", ""] == 2 and told["errors"] == {"log": 1}
+    assert told["events"] == [["file-open-failed", f"{tmp_path}/gone.txt"]]
+    meta = (tmp_path / "one" / "meta.xml").read_text()
+    assert "file@" in meta and 'name="two"' in meta and "programStart" in meta
+    keys = lambda out: {r.key: r.id for r in spark.read.parquet(f"{tmp_path}/{out}/keys/bb").collect()}
+    assert keys("one") == {"x": 0, "y": 1}
+    assert run("two", "true", "--keepkeyset=true", f"{tmp_path}/b.txt") == 0
+    assert keys("two") == {"x": 0, "y": 1, "z": 2}
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/two/fact").collect()) == ["3|z|2", "4|x|0"]
+    assert run("three", "false", f"{tmp_path}/b.txt") == 0 and not (tmp_path / "three" / "keys").exists()
+    assert run("four", "false", "--resolve=fact.nothing", f"{tmp_path}/b.txt") == 2 and run("five", "false", "--input=none=x") == 2
+
+
+def test_resources_and_view_formats(spark):
+    bound = XML.replace("<datasource>", '<datasource><ioResource name="r"><file location="/in/log"/></ioResource>', 1)
+    assert load(bound)["two"].inputs[0].resource.location == "/in/log"
+    db = XML.replace("<datasource>", '<datasource><ioResource name="r"><db connection="jdbc:x" table="t"/></ioResource>', 1)
+    from millrace.monitor import bound as told
+
+    assert told(load(db)["two"].inputs[0]) == "db@jdbc:x,t" and told(load(bound)["two"].inputs[0]) == "file@/in/log"
+    with pytest.raises(DefinitionError):
+        load(XML.replace("<datasource>", '<datasource><ioResource name="r"/>', 1))
+    body = XML[XML.index("<df:streamFormat>") : XML.index("</df:format>")]
+    spark.createDataFrame([("7", "q r"), ("z", "s")], "aa string, bb string").createOrReplaceTempView("log")
+    from millrace import suite  # noqa: F401  registers first_word
+
+    got = plan(load(XML.replace(body, "<df:tmpFormat/>"))["two"], {})
+    assert sorted(map(tuple, got.sinks["fact"].collect())) == [("0", "s", "s"), ("7", "q r", "q")] and got.sinks["rest"].count() == 0
+
+
 def test_shared_and_table_formats():
     shared = XML.replace("<df:format>", "<df:formatRef>f</df:formatRef><df:skip>", 1).replace("</df:format>", "</df:skip>", 1)
     body = XML[XML.index("<df:streamFormat>") : XML.index("</df:format>")]
