@@ -117,18 +117,18 @@ def drop_cache() -> None:
     _loaded.clear()
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, cache_words: int = CACHE_WORDS) -> WordIds:
     if path not in _loaded:
-        _loaded[path] = WordIds(path)
+        _loaded[path] = WordIds(path, cache_words)
     return _loaded[path]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, cache_words: int) -> DataFrame:
     """(pid, local_start, doc_id, n, ids) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_turn("packing", drop_cache)
-        enc, pid, at = word_ids(tokenizer), TaskContext.get().partitionId(), 0
+        enc, pid, at = word_ids(tokenizer, cache_words), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=enc.kind).tobytes()
         width = len(end)
         for batch in batches:
@@ -144,10 +144,11 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"pid int, local_start long, doc_id {id_type}, n long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2, with_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset and, if asked for, the piece's ids."""
-    toks = stored(tokenised(docs, tokenizer, end_id))
+    sequence_id, offset and, if asked for, the piece's ids. cache_words: distinct
+    words that a Python worker remembers; fewer cost time, not results."""
+    toks = stored(tokenised(docs, tokenizer, end_id, cache_words))
     totals = sorted((r.pid, r.n) for r in toks.groupBy("pid").agg(F.sum("n").alias("n")).collect())  # a row for each partition
     base, at = {}, 0
     for pid, n in totals:

@@ -55,6 +55,20 @@ def test_word_ids_equal_the_tokenizer():
         assert got == w.tok.encode(t, add_special_tokens=False).ids + [2], repr(t)
 
 
+def test_pack_does_not_depend_on_the_cache(spark):
+    docs = docs_of(spark)
+    packing.drop_cache()
+    few = packing.pack(docs, TOK, cache_words=10).collect()
+    assert sorted(map(repr, few)) == sorted(map(repr, packing.pack(docs, TOK).collect()))
+
+
+def test_word_ids_survive_a_tokenizer_without_piece_ends():
+    w = packing.WordIds(TOK)
+    w.last[:] = False  # no id ends a piece: every one is encoded by itself
+    got = np.frombuffer(w(["some plain words, and more"], b"\x02\x00")[0], "<u2").tolist()
+    assert got == w.tok.encode("some plain words, and more", add_special_tokens=False).ids + [2]
+
+
 def test_pack_odd_rows(odd, nothing):
     got = packing.pack(odd, TOK).collect()
     assert sum(p.length for p in got if p.start == 0 and p.doc_tokens == 1) == 5  # null, empty and blank texts: the end alone
