@@ -25,6 +25,8 @@ from millrace.llm.mixing import mixed
 from millrace.llm.neardup import one_of_each
 from millrace.llm.packing import pack
 
+#: Words that a worker of the packing stage remembers: workers of earlier stages still stand beside it.
+CACHE_WORDS = 250_000
 #: Below this score a text has next to no trigrams of the language it is closest to.
 LEAST_SCORE = 0.2
 
@@ -53,7 +55,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2, with_ids=True)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2, with_ids=True, cache_words=CACHE_WORDS)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
