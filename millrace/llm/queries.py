@@ -81,6 +81,22 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_mixing does before it draws: sizes and targets (in thousandths of a word)."""
+    return op3_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round(F.col("target") * 1000).cast("long").alias("target"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op4_quality."""
+    return op4_quality(spark, sf_dir).drop("kept", "posterior")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and slots of each shard of op8_sharding, and the sizes of all rows together."""
+    got = op8_sharding(spark, sf_dir).groupBy("law", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots"), F.sum("size").alias("size"))
+    return got.groupBy("law", "n", "first", "last", "slots").agg(F.count(F.lit(1)).alias("shards"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_lmscore": op2_lmscore,
@@ -92,6 +108,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_topk": op9_topk,
     "op10_linededup": op10_linededup,
+    "mixing_targets": mixing_targets,
+    "quality_counts": quality_counts,
+    "shard_sizes": shard_sizes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -106,6 +125,27 @@ p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS k FROM b x JO
 l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 10 * k >= 8 * (na.n + nb.n - k)),
 r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id)
 SELECT id AS doc_id, min(root) AS class_id FROM r GROUP BY id""",
+    "mixing_targets": r"""
+WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS n, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+c AS (SELECT *, 3 * n AS cap, 3 * n / w AS full_at FROM s),
+l AS (SELECT *, (SELECT sum(n) FROM s) - coalesce((SELECT sum(x.cap) FROM c x WHERE x.full_at < c.full_at OR x.full_at = c.full_at AND (x.source < c.source OR c.source IS NULL AND x.source IS NOT NULL)), 0) AS rest,
+  (SELECT sum(x.w) FROM c x WHERE NOT (x.full_at < c.full_at OR x.full_at = c.full_at AND (x.source < c.source OR c.source IS NULL AND x.source IS NOT NULL))) AS weights FROM c),
+v AS (SELECT rest / weights AS level FROM l WHERE rest / weights <= full_at ORDER BY full_at, source ASC NULLS LAST LIMIT 1)
+SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, round(1000 * least(cap, coalesce(level * w, cap)))::BIGINT AS target
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source CROSS JOIN v""",
+    "quality_counts": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS c FROM i),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM k WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w)
+SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM l LEFT JOIN r USING (doc_id)""",
+    "shard_sizes": """
+WITH t AS (SELECT count(*) AS n FROM documents), s AS (SELECT n // 8 + (i < n % 8)::BIGINT AS n FROM t CROSS JOIN range(8) r(i))
+SELECT 'rows' AS law, n, 0::BIGINT AS first, n - 1 AS last, n AS slots, count(*) AS shards FROM s GROUP BY n""",
     "op9_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v

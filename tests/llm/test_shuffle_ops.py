@@ -8,7 +8,10 @@ import public_tokenizers
 import pytest
 from llm_helpers import by
 
+from pyspark.sql import functions as F
+
 from millrace.llm import mixing, packing, sharding
+from millrace.llm.common import unit
 
 TOK = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -91,6 +94,35 @@ def test_shard_rows_law(spark):
     assert sorted(map(repr, again)) == sorted(map(repr, sharding.shard(docs, shards=8).collect()))
 
 
+def test_shard_placement_equals_a_plain_sort(spark, monkeypatch):
+    """Every row's shard and slot, against one sort of all rows on the driver."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 7)
+    docs = docs_of(spark)
+    got = sharding.shard(docs, shards=5).collect()
+    key = {r.doc_id: r.u for r in spark.createDataFrame([(r.doc_id, r.source, r.size, r.text_crc32) for r in got], "doc_id long, source string, size long, c long").select("doc_id", unit(F.lit(17), "doc_id", "source", "size", "c").alias("u")).collect()}
+    order = lambda r: (key[r.doc_id], r.doc_id, r.size, r.text_crc32)
+    rank = {r.doc_id: (k + 0.5) / len(v) for v in by(got, lambda r: r.source).values() for k, r in enumerate(sorted(v, key=order))}
+    for k, r in enumerate(sorted(got, key=lambda r: (rank[r.doc_id], r.source or "", *order(r)))):
+        shard = k * 5 // len(got)
+        assert (r.shard, r.slot) == (shard, k - -(-shard * len(got) // 5)), r
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from millrace.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name in ("mixing_targets", "quality_counts", "shard_sizes"):
+        got, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
+        cols = sorted(got.columns)
+        assert cols == sorted(want.columns)
+        at = [want.columns.index(c) for c in cols]
+        assert sorted(map(tuple, got.select(*cols).collect())) == sorted(tuple(r[i] for i in at) for r in want.fetchall()), name
+
+
 def test_shard_hot_source_and_odd_rows(spark, odd, nothing):
     hot = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text", "IF(id % 3 = 0, 'hot', concat('s', id % 7)) AS source")
     counts = by(sharding.shard(hot).collect(), lambda r: r.shard)

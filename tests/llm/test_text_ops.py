@@ -36,6 +36,51 @@ def test_langid_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_langid_predictions_equal_plain_loops():
+    """Trigrams, word scores, path, language and score of whole texts, by loops over characters."""
+    rng = np.random.default_rng(11)
+    counts = {x: np.r_[rng.integers(0, 9, 1 << langid.BITS), rng.integers(0, 500, langid.N_SCRIPTS)] for x in ("aa", "bb", "cc")}
+    counts["bb"][(1 << langid.BITS) + 2] = 0
+    model, (script, lower) = langid.Model(counts), langid.tables()
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdeÉßд ж. \n1ελ漢") for _ in range(r.randrange(0, 60))) for _ in range(120)] + [None, "", "7 !"]
+    m32 = (1 << 32) - 1
+
+    def bucket(c, one, two):
+        g = (c * 2654435761 + one * 2246822519 + two * 3266489917) & m32
+        return (((g ^ ((c * 40503 & m32) >> 7)) * 668265263) & m32) >> (32 - langid.BITS)
+
+    for text, (lang, score, spans) in zip(texts, model.predict(texts)):
+        chars = [(int(lower[ord(x)]) if script[ord(x)] else 0) for x in text or ""]
+        found, i = [], 0
+        while i < len(chars):
+            if not chars[i]:
+                i += 1
+                continue
+            j = i
+            while j < len(chars) and chars[j]:
+                j += 1
+            found.append((i, j))
+            i = j
+        if not found:
+            assert (lang, score, spans) == ("und", 0.0, [])
+            continue
+        at = lambda k: chars[k] if 0 <= k < len(chars) else 0
+        grams = {k: bucket(at(k), at(k - 1), at(k - 2) if at(k - 1) else 0) for i, j in found for k in range(i, j + 1)}
+        s = [[sum(float(model.logp[grams[k], x]) for k in range(i, j + 1)) + float(model.script[script[ord(text[i])], x]) for x in range(3)] for i, j in found]
+        best = [(v, [x]) for x, v in enumerate(s[0])]
+        for row in s[1:]:
+            best = [max(((v - (langid.SWITCH if p[-1] != x else 0) + row[x], [*p, x]) for v, p in best), key=lambda b: b[0]) for x in range(3)]
+        value, path = max(best, key=lambda b: b[0])
+        mine = [model.langs.index(n) for a, b, n in spans for i, j in found if a <= i < b]
+        cost = lambda p: sum(s[t][x] for t, x in enumerate(p)) - langid.SWITCH * sum(x != y for x, y in zip(p, p[1:]))
+        assert len(mine) == len(found) and abs(cost(mine) - value) < 1e-3
+        letters = [sum(j - i for (i, j), x in zip(found, mine) if x == k) for k in range(3)]
+        top = letters.index(max(letters))
+        seen = [float(model.seen[grams[k], top]) for i, j in found for k in range(i, j)]
+        assert lang == model.langs[top] and abs(score - letters[top] / sum(letters) * sum(seen) / len(seen)) < 1e-5
+
+
 def test_langid_reads_only_text(spark):
     docs = docs_of(spark)
     model = langid.learn(docs)
