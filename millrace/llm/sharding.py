@@ -3,7 +3,9 @@
 Rows of a source are ranked in a seeded shuffle, and a row's fractional rank is
 (rank + 1/2) / rows of the source. All rows are laid in the order of fractional
 rank and cut into equal runs, so each shard holds every source in proportion.
-The law is `rows`: shard counts are at most one apart.
+The law is `rows`: shard counts are at most one apart. A shard is filled by rank
+within the source alone, so equal texts are not kept together: a group of copies
+may hold a third of all rows, and no shard could take it whole under this law.
 
 Ranks come without a global sort: rows fall into buckets of their shuffle key,
 bucket counts are summed, and row_number() runs within a bucket only. A hot
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import stored, unit
 
-#: Rows that a bucket is meant to hold, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 1000, 16_384
+#: Rows that a bucket is meant to hold, and the most buckets; beyond 262 million rows buckets
+#: get larger, which the sort within a bucket spills for. The placement does not depend on either.
+BUCKET_ROWS, MOST_BUCKETS = 1000, 262_144
 
 
 def shard(docs: DataFrame, *, shards: int = 8, seed: int = 17) -> DataFrame:
