@@ -658,7 +658,7 @@ def string_utils(spark, sf):
 @query(r"""
 SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '\|' ELSE c_name END AS slashed, c_name LIKE 'Customer%' AS starts, true AS starts_null, false AS null_starts, c_name LIKE '%9' AS ends, true AS ends_null, false AS null_ends,
   c_mktsegment || ';' || c_name AS items, '#' || regexp_replace(c_name, '(#)', '\\\1', 'g') AS escaped_old, '\#' || regexp_replace(c_name, '(#)', '\\\1', 'g') AS escaped,
-  CASE WHEN c_custkey < 256 THEN 16777216 * 10 + c_custkey END AS ip, 16777216 * 10 + c_custkey % 256 AS ip_loose
+  CASE WHEN c_custkey < 256 THEN (16777216 * 10 + c_custkey)::VARCHAR END AS ip, 16777216 * 10 + c_custkey % 256 AS ip_loose
 FROM customer""")
 def string_edges(spark, sf):
     """Helpers at their edges: a lone bar, null needles, a sequence at the start, octets above 255."""
@@ -670,7 +670,7 @@ def string_edges(spark, sf):
         strings.starts_with(name, F.lit("Customer")).alias("starts"), strings.starts_with(name, null).alias("starts_null"), strings.starts_with(null, name).alias("null_starts"),
         strings.ends_with(name, F.lit("9")).alias("ends"), strings.ends_with(name, null).alias("ends_null"), strings.ends_with(null, name).alias("null_ends"),
         strings.join_items(F.array("c_mktsegment", "c_name"), ";").alias("items"), strings.escape_sequences(sharp, ["#"], "\\", compat=True).alias("escaped_old"), strings.escape_sequences(sharp, ["#"], "\\").alias("escaped"),
-        strings.string_to_ip(address).alias("ip"), strings.string_to_ip(address, strict=False).alias("ip_loose"),
+        strings.string_to_ip(address).cast("string").alias("ip"), strings.string_to_ip(address, strict=False).alias("ip_loose"),
     )
 
 
@@ -703,12 +703,12 @@ def decode_encodings(spark, sf):
 
 
 @query("""
-SELECT event_id, 'k:' || event_type || '|ProcessedDataInternalState:OK|timestamp:' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, event_type AS k, 'OK' AS state, date_trunc('second', ts) AS at, NULL::TIMESTAMP AS modified FROM events""")
+SELECT event_id, 'k:' || event_type || '|ProcessedDataInternalState:OK|timestamp:' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, event_type AS k, 'OK' AS state, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, NULL::VARCHAR AS modified FROM events""")
 def record_timestamps(spark, sf):
     """Stored entries with the time of processing; a date that is not known is left out."""
     ev = table(spark, sf, "events").select("event_id", records.serialize(F.create_map(F.lit("k"), "event_type"), F.lit("OK"), F.col("ts").cast("timestamp"), F.lit(None).cast("timestamp")).alias("text"))
     r = records.unserialize(F.col("text"))
-    return ev.select("event_id", "text", r["fields"]["k"].alias("k"), r["state"].alias("state"), r["timestamp"].cast("timestamp_ntz").alias("at"), r["dataSourceModified"].cast("timestamp_ntz").alias("modified"))
+    return ev.select("event_id", "text", r["fields"]["k"].alias("k"), r["state"].alias("state"), F.date_format(r["timestamp"], records.DATES).alias("at"), F.date_format(r["dataSourceModified"], records.DATES).alias("modified"))
 
 
 @query("""
