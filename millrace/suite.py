@@ -612,7 +612,7 @@ def user_agent_fields(spark, sf):
 
 
 with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "suite_agents.tsv"), encoding="utf-8") as _f:
-    #: Recorded results, read against the rules: a string and its thirteen fields.
+    #: Recorded results of the classifier, which guard against change: a string and its thirteen fields.
     ALL_AGENTS = [x.rstrip("\n").split("\t") for x in _f]
 _sql = lambda x: "NULL" if x == "" else "'" + x.replace("'", "''") + "'"
 _ALL_ROWS = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in ALL_AGENTS)
