@@ -9,7 +9,7 @@ Model: a bucket adds up its codes, weighs the subtrees below depth TOP bottom up
 are weighed on the driver: at most 256**(TOP - 1) contexts by 255 bit prefixes,
 whatever the input. Then every bucket knows the weights above it, scores the codes
 it was asked for from the nodes of all depths and answers the groups. No node is
-left out, no table of nodes, codes or words is broadcast, and subtrees are worked
+left out, only the nodes above the subtrees are broadcast, and subtrees are worked
 through `SUBTREES` codes at a time, so a task's memory does not follow a bucket's.
 A bucket's requests stay with it between the two passes. Where there are many
 groups, counts are added up in a tree of partial sums first, and a bucket's askers
