@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from millrace.plans.model import Compat, DefinitionError
+from millrace.plans.model import Compat, DefinitionError, MapField
 
 NAME = r"[A-Za-z_][\w\-]*"
 RECORDS = ("received", "created", "error", "nodedata")
@@ -112,3 +112,21 @@ def parse(text: str, compat: Compat = Compat()) -> list[Definition]:
             raise DefinitionError(f"mapping: {part!r} has no equals sign")
         out.append(Definition(*field_set(left, compat), source(right)))
     return out
+
+
+def renamed(mappings: tuple, have: list[str], compat: Compat = Compat()) -> dict[str, str]:
+    """Which field of one record goes where: destination to source. No mapping: all keep their names."""
+    out: dict[str, str] = {} if mappings else {f: f for f in have}
+    for mp in mappings:
+        if isinstance(mp, MapField):
+            out[mp.destination] = mp.source.rpartition(":")[2]
+            continue
+        for d in parse(mp.expression, compat):
+            if isinstance(d.source, FromExpression):
+                raise DefinitionError(f"{mp.expression!r}: fields of an embedded network are not computed")
+            names = [*(have if d.every else ()), *d.plus]
+            out |= {n: d.source.field if isinstance(d.source, FromField) else n for n in names if n not in d.minus}
+    for source in out.values():
+        if source not in have:
+            raise DefinitionError(f"no field {source!r} to map")
+    return out

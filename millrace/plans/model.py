@@ -118,12 +118,38 @@ class Task:
     parameters: dict[str, str] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class Virtual:
+    """An entry or exit of an embedded network: what goes in comes out, in its types.
+    An exit takes its fields from the first route that leads there."""
+
+    name: str
+    fields: dict[str, str] = field(default_factory=dict)
+    format: None = None
+    hints: tuple = ()
+    error_routes: tuple = ()
+
+
+@dataclass(frozen=True)
+class Network:
+    """A network as a task. A record of the node goes to every entry, with the received
+    fields that its mappings name; every record that comes to an exit leaves the node,
+    with the created fields that the exit's mappings set. One that comes to no exit is
+    gone, as at any element; one that comes to two leaves twice."""
+
+    inputs: dict[str, tuple]
+    outputs: dict[str, tuple]
+    routes: tuple[Route, ...]
+    nodes: tuple[Node, ...] = ()
+    pipes: tuple[Pipe, ...] = ()
+
+
 @dataclass(frozen=True)
 class Node:
     name: str
     received: dict[str, str]
     created: dict[str, str] = field(default_factory=dict)
-    tasks: tuple[Task, ...] = ()
+    tasks: tuple[Task | Network, ...] = ()
     monitor_frequency: int = 0
 
 

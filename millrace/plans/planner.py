@@ -23,7 +23,7 @@ from millrace.operators.records import record_to_string
 from millrace.operators.tasks import EXCEPTION, called, known, run_task
 from millrace.plans import mapping as m
 from millrace.plans.analyzer import Resolved, ResolvedRoute, analyze
-from millrace.plans.model import Compat, DefinitionError, MapExpression, MapField, Node, Pipe, ProcessDef, Terminal
+from millrace.plans.model import Compat, DefinitionError, MapExpression, MapField, Network, Node, Pipe, ProcessDef, Terminal, Virtual
 from millrace.sources.formats import parse_lines
 
 
@@ -53,8 +53,9 @@ def struct_of(fields: dict[str, Column]) -> Column:
 
 
 class Planner:
-    def __init__(self, resolved: Resolved, persist: bool = True, observe: bool = False):
-        self.r, self.persist, self.observe = resolved, persist, observe
+    def __init__(self, resolved: Resolved, persist: bool = True, observe: bool = False, carry: tuple[str, ...] = ()):
+        """carry: columns that come along with every record, as those of the node around an embedded network."""
+        self.r, self.persist, self.observe, self.carry = resolved, persist, observe, carry
         ends = {t.name for t in resolved.process.outputs}
         while more := {x.source for x in resolved.routes if x.destination in ends} - ends:
             ends |= more
@@ -101,9 +102,11 @@ class Planner:
         df = df.withColumn("events", start_events() if events is None else events)
         failed = F.exists("events", lambda x: x.startswith("ERROR_"))
         error = F.struct((F.lit(None).cast(EXCEPTION) if ex is None else ex).alias("ex"), "received", "created", "nodedata", "events")
-        return df.withColumn("error", F.when(failed, error)).select("received", "created", "error", "nodedata", "events")
+        return df.withColumn("error", F.when(failed, error)).select("received", "created", "error", "nodedata", "events", *self.carry)
 
-    def _source(self, t: Terminal, df: DataFrame) -> DataFrame:
+    def _source(self, t: Terminal | Virtual, df: DataFrame) -> DataFrame:
+        if isinstance(t, Virtual):
+            return self._framed(df.withColumn("created", F.col("received")), t.name, "source")
         if df.columns == ["line"] or ("line" in df.columns and not set(t.format.fields) <= set(df.columns)):
             parsed = parse_lines(df, t.format)
             self.plan.discarded[t.name] = parsed.filter("NOT fine").select(*[c for c in ("file", "line_no") if c in df.columns], F.lit("Parse Error").alias("reason"), "line")
@@ -137,6 +140,9 @@ class Planner:
         for name, kind in kinds.items():
             df = df.withColumn(f"_c_{name}", F.lit(None).cast(kind))
         for i, task in enumerate(n.tasks):
+            if isinstance(task, Network):
+                df = self._network(n, i, df)
+                continue
             inputs, native = [F.col(f"received.{f}") for f in task.inputs], known(task.function).native
             if not native:
                 df = df.withColumn(f"_r{i}", called(task.function, task.parameters, inputs))
@@ -157,11 +163,25 @@ class Planner:
         df = df.withColumn("created", struct_of({k: F.col(f"_c_{k}") for k in kinds}))
         df = self._framed(df, n.name, "node", F.col("_events"), F.col("_ex"))
         routes = sum(x.source == n.name for x in self.r.routes)
-        if self.persist and routes > 1 and not df.isStreaming and any(not known(t.function).native for t in n.tasks):
+        if self.persist and routes > 1 and not df.isStreaming and any(not isinstance(t, Network) and not known(t.function).native for t in n.tasks):
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self.plan.kept.append(df)
         return df
 
+    def _network(self, n: Node, i: int, df: DataFrame) -> DataFrame:
+        """Rows of the node as they come out of its network; rows with an exception go past it."""
+        own, kinds, go = self.r.inner[n.name, i], self.r.created[n.name], F.col("_ex").isNull()
+        inside = df.filter(go).select(F.struct(*df.columns).alias("_host"))
+        got = Planner(own.network, self.persist, carry=("_host",)).run(
+            {e: inside.select(struct_of({d: F.col(f"_host.received.{s}") for d, s in fields.items()}).alias("received"), "_host") for e, fields in own.entries.items()}
+        )
+        self.plan.kept += got.kept
+        parts = [df.filter(~go)] if any(not isinstance(t, Network) and not known(t.function).native for t in n.tasks[:i]) else []
+        for e, fields in own.exits.items():
+            values = {c: F.col(f"_host.{c}") for c in df.columns} | {f"_c_{d}": F.col(f"received.{s}").cast(kinds[d]) for d, s in fields.items()}
+            parts.append(got.sinks[e].select(*(v.alias(c) for c, v in values.items())))
+        return reduce(DataFrame.unionByName, parts)
+
     def _send(self, name: str, df: DataFrame) -> None:
         routes = [x for x in self.r.routes if x.source == name]
         delivered = F.lit(False)
@@ -171,11 +191,11 @@ class Planner:
             df = df.withColumn(took, delivered | F.col(f"_go{i}"))
             delivered = F.col(took)
         for i, x in enumerate(routes):
-            to_sink = x.destination in {t.name for t in self.r.process.outputs}
+            to_sink = x.destination in {t.name for t in self.r.process.outputs if isinstance(t, Terminal)}
             values = {k: self._bound(b) for k, b in x.fields.items()}
             if to_sink:  # records of different sources may meet there
                 values = {k: self._text(df, v) if (x.fields[k].type or "").startswith(("struct", "array")) else v for k, v in values.items()}
-            branch = df.filter(F.col(f"_go{i}")).select(struct_of(values).alias("received"))
+            branch = df.filter(F.col(f"_go{i}")).select(struct_of(values).alias("received"), *self.carry)
             branch = self._counted(branch, "route", x.source, x.destination)
             self.plan.deliveries[x.source, x.destination] = branch
             self.into[x.destination].append(branch)
@@ -207,6 +227,9 @@ class Planner:
             return
         df = self._counted(df, "element", t.name)
         self.plan.elements[t.name] = df
+        if isinstance(t, Virtual):
+            self.plan.sinks[t.name] = df
+            return
         hints = {h.field: h for h in t.hints}
         kinds = {f.name: f.dataType.simpleString() for f in df.schema["received"].dataType.fields}
         values, oks = {}, []

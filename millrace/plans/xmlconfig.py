@@ -5,7 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 from millrace.operators.conditions import And, Const, Holds, Is, Not, Or, Xor
-from millrace.plans.model import ColumnFormat, DefinitionError, ErrorRoute, Hint, MapExpression, MapField, Node, Pipe, ProcessDef, Resource, Route, StreamFormat, Task, Terminal
+from millrace.plans.model import ColumnFormat, DefinitionError, ErrorRoute, Hint, MapExpression, MapField, Network, Node, Pipe, ProcessDef, Resource, Route, StreamFormat, Task, Terminal
 
 
 def tag(e: ET.Element) -> str:
@@ -113,12 +113,37 @@ def condition(e: ET.Element):
     raise DefinitionError(f"a condition cannot be {name!r}")
 
 
-def node(e: ET.Element) -> Node:
+def embedded(e: ET.Element, nets: dict[str, ET.Element], within: tuple[str, ...]) -> Network:
+    """A network inside a task: its own, or a named one of the document."""
+    ref = text(e, "processingNetworkRef")
+    found = kid(e, "processingNetwork") if ref is None else nets.get(ref.strip())
+    if found is None:
+        raise DefinitionError(f"no network {ref!r}")
+    if ref is not None:
+        if ref.strip() in within:
+            raise DefinitionError(f"network {ref.strip()} holds itself")
+        within += (ref.strip(),)
+    ends = {k: {m.get("recordName"): mappings(m) for m in kids(e, f"{k}RecordMapping")} for k in ("input", "output")}
+    for k, given in ends.items():
+        names = {x.text.strip() for x in kids(kid(found, "io"), f"{k}Ref")}
+        if names != set(given) or not names:
+            raise DefinitionError(f"a network's {k}s are {', '.join(sorted(names)) or 'missing'}; mapped are {', '.join(sorted(given)) or 'none'}")
+    return Network(ends["input"], ends["output"], *inside(found, nets, within))
+
+
+def inside(e: ET.Element, nets: dict[str, ET.Element], within: tuple[str, ...] = ()) -> tuple[tuple[Route, ...], tuple[Node, ...], tuple[Pipe, ...]]:
+    """Routes, nodes and pipes of a network."""
+    pipes = tuple(Pipe(x.get("name"), int(x.get("monitorFrequency", 0))) for x in kids(kid(e, "io"), "asyncPipe"))
+    return tuple(route(r) for r in kids(e, "route")), tuple(node(n, nets, within) for n in kids(e, "node")), pipes
+
+
+def node(e: ET.Element, nets: dict[str, ET.Element], within: tuple[str, ...] = ()) -> Node:
     record = lambda name: {c.get("name"): c.get("javaType", "java.lang.String") for c in kids(kid(e, name), "column")}
     tasks = []
     for c in kids(kid(e, "tasks")):
         if tag(c) == "network":
-            raise DefinitionError(f"node {e.get('name')}: a network inside a task is not supported")
+            tasks.append(embedded(c, nets, within))
+            continue
         function = ".".join(x for x in (text(c, "class"), text(c, "method")) if x)
         outputs = tuple((o.get("variable") or o.get("field"), o.get("field")) for o in kids(c, "output"))
         tasks.append(Task(function, tuple(i.get("field") for i in kids(c, "input")), outputs, parameters(c)))
@@ -130,7 +155,7 @@ def route(e: ET.Element) -> Route:
     return Route(text(e, "source").strip(), text(e, "destination").strip(), mappings(e), condition(kids(c)[0]) if c is not None else None)
 
 
-def process(e: ET.Element, shared: dict[str, ET.Element]) -> ProcessDef:
+def process(e: ET.Element, shared: dict[str, ET.Element], nets: dict[str, ET.Element]) -> ProcessDef:
     terminals, network = kid(e, "terminals"), kid(e, "network")
     io = kid(network, "io")
     used = lambda name: [x.text.strip() for x in kids(io, name)]
@@ -139,15 +164,12 @@ def process(e: ET.Element, shared: dict[str, ET.Element]) -> ProcessDef:
     for name in used("inputRef") + used("outputRef"):
         if name not in inputs and name not in outputs:
             raise DefinitionError(f"no terminal {name!r}")
-    pipes = tuple(Pipe(x.get("name"), int(x.get("monitorFrequency", 0))) for x in kids(io, "asyncPipe"))
-    return ProcessDef(
-        e.get("name"), tuple(inputs[n] for n in used("inputRef")), tuple(outputs[n] for n in used("outputRef")),
-        tuple(route(r) for r in kids(network, "route")), tuple(node(n) for n in kids(network, "node")), pipes,
-    )
+    return ProcessDef(e.get("name"), tuple(inputs[n] for n in used("inputRef")), tuple(outputs[n] for n in used("outputRef")), *inside(network, nets))
 
 
 def load(xml: str) -> dict[str, ProcessDef]:
     """All processes of a definitions document, by name."""
     every = list(ET.fromstring(xml).iter())
     shared = {e.get("name"): e for e in every if tag(e) == "format" and e.get("name")}
-    return {e.get("name"): process(e, shared) for e in every if tag(e) == "process"}
+    nets = {e.get("name"): e for e in every if tag(e) in ("network", "processingNetwork") and e.get("name")}
+    return {e.get("name"): process(e, shared, nets) for e in every if tag(e) == "process"}

@@ -22,11 +22,12 @@ from millrace.operators.conditions import And, Const, Holds, Is, Not, Or, Xor
 from millrace.operators.conversions import date2string, string2date
 from millrace.operators.predicates import PREDICATES
 from millrace.operators.tasks import native_task, python_task
-from millrace.plans.model import ColumnFormat, ErrorRoute, Hint, MapExpression, MapField, Node, Pipe, ProcessDef, Route, StreamFormat, Task, Terminal
+from millrace.plans.model import ColumnFormat, ErrorRoute, Hint, MapExpression, MapField, Network, Node, Pipe, ProcessDef, Route, StreamFormat, Task, Terminal
 from millrace.plans.planner import Plan, plan
-from millrace.sources.files import as_strings, decoded, lines_of
+from millrace.sources.files import as_strings, decoded, lines_of, read_lines, write_lines
 from millrace.sources.formats import split_line
 from millrace.sources.store import Store
+from millrace.streaming.run import start
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -764,6 +765,82 @@ def table_format(spark, sf):
     return as_strings(table(spark, sf, "nation").select("n_nationkey", "n_name"), 2, {"n_nationkey": 4, "n_name": 12})
 
 
+# --- embedded networks -----------------------------------------------------------------
+
+
+@query("""
+SELECT 'out' AS sink, o_orderkey::VARCHAR AS o_orderkey, split_part(o_orderpriority, '-', 1) AS grade,
+  CASE WHEN o_orderstatus = 'F' THEN upper(o_orderpriority) END AS closed, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS still
+FROM orders WHERE o_orderstatus IN ('F', 'O')""")
+def embedded_network(spark, sf):
+    """A network as a task: an entry, a node, two exits; what comes to no exit is gone. A call before it stays set."""
+    inner = Network(
+        {"in": (MapField("o_orderstatus", "status"), MapField("o_orderpriority", "name"))},
+        {"done": (MapField("loud", "closed"),), "open": (MapField("name", "still"),)},
+        (Route("in", "louder"), Route("louder", "done", (MapExpression("loud = created:"),), Holds("equals", "status", {"comparisonValue": "F"})), Route("louder", "open", (MapExpression("name = received:"),), Holds("equals", "status", {"comparisonValue": "O"}))),
+        (Node("louder", {"status": "String", "name": "String"}, {"loud": "String"}, (Task("upper", ("name",), (("value", "loud"),)),)),),
+    )
+    cut = Task("split_pair", ("o_orderpriority",), (("head", "grade"),), {"separator": "-"})
+    node = Node("n", {"o_orderkey": "String", "o_orderstatus": "String", "o_orderpriority": "String"}, {"grade": "String", "closed": "String", "still": "String"}, (cut, inner))
+    p = ProcessDef("e", (source("o", "o_orderkey", "o_orderstatus", "o_orderpriority"),), sinks("out"), (Route("o", "n"), Route("n", "out", (MapExpression("o_orderkey = received:, * = created:"),))), (node,))
+    return united(plan(p, {"o": table(spark, sf, "orders")}))
+
+
+@query("""
+SELECT 'out' AS sink, o_orderkey::VARCHAR AS o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 10 <> 0 THEN (o_orderkey // 2)::VARCHAR END AS half,
+  CASE WHEN o_orderkey % 10 = 0 THEN 'failed' WHEN o_orderkey % 2 = 1 THEN 'thrown' END AS fault
+FROM orders""")
+def embedded_errors(spark, sf):
+    """Errors within a network within a network: its routes decide where they go."""
+    halves = Network(
+        {"number": (MapField("n", "o_orderkey"),)}, {"fine": (MapField("half", "h"),), "bad": (MapField("why", "f"),)},
+        (
+            Route("number", "halving"), Route("halving", "fine", (MapExpression("half = created:"),)),
+            Route("halving", "bad", (MapExpression("why = java.lang.String {'failed'}"),), Is("error:task-failed")), Route("halving", "bad", (MapExpression("why = java.lang.String {'thrown'}"),), Is("error:task-exception")),
+        ),
+        (Node("halving", {"o_orderkey": "Integer"}, {"half": "Integer"}, (Task("strict_half", ("o_orderkey",), (("half", "half"),)),)),),
+    )
+    outer = Network(
+        {"in": (MapField("o_orderkey", "n"),)}, {"end": (MapField("h", "half"), MapField("f", "fault"))}, (Route("in", "holder"), Route("holder", "p", (MapExpression("* = created:"),)), Route("p", "end")),
+        (Node("holder", {"n": "Integer"}, {"h": "Integer", "f": "String"}, (halves,)),), (Pipe("p"),),
+    )
+    node = Node("n", {"o_orderkey": "Integer"}, {"half": "Integer", "fault": "String"}, (outer,))
+    p = ProcessDef("e", (source("o", "o_orderkey", hints=(Hint("o_orderkey", "string2int"),)),), sinks("out"), (Route("o", "n"), Route("n", "out", (MapExpression("o_orderkey = received:, fault = created:, half = java.lang.String {string(half)}"),))), (node,))
+    return united(plan(p, {"o": table(spark, sf, "orders")}))
+
+
+# --- files and streams -----------------------------------------------------------------
+
+
+@query("SELECT 'out' AS sink, p_partkey::VARCHAR AS key, p_name AS name, upper(p_name) AS brand FROM part")
+def file_round_trip(spark, sf):
+    """A sink written as a file and read again as an input, with own separator, quotes and escapes."""
+    made = part_map(spark, sf, MapExpression("* - (p_size) = received:, p_brand = created:")).select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    f, path = StreamFormat(("key", "name", "brand"), separator=" ", quotes=(("'", "'"),)), scratch(spark)
+    write_lines(made, path, f, escape=True)
+    return united(plan(ProcessDef("again", (Terminal("file", f),), sinks("out"), (Route("file", "out"),)), {"file": read_lines(spark, [path])}))
+
+
+@query("""
+SELECT CASE WHEN event_type = 'error' THEN 'err' ELSE 'rest' END AS sink, event_id::VARCHAR AS event_id, event_type FROM events""")
+def stream_network(spark, sf):
+    """The network over a stream of files, run until all that is there has been read."""
+    f, path = StreamFormat(("event_id", "event_type")), scratch(spark)
+    write_lines(table(spark, sf, "events").select("event_id", "event_type"), f"{path}/lines", f)
+    routes = (Route("ev", "err", (), Holds("equals", "event_type", {"comparisonValue": "error"})), Route("ev", "rest", (), Not(Is("routing:record-has-been-delivered"))))
+    out = ProcessDef("s", (Terminal("ev", f),), (Terminal("err", f), Terminal("rest", f)), routes)
+    for q in start(spark, out, {"ev": f"{path}/lines"}, f"{path}/out", f"{path}/state"):
+        q.awaitTermination()
+    parts = [united(plan(ProcessDef("r", (Terminal("in", f),), sinks(x), (Route("in", x),)), {"in": read_lines(spark, [f"{path}/out/{x}"])})) for x in ("err", "rest")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT 'out' AS sink, p_partkey::VARCHAR AS p_partkey, p_name FROM part")
+def map_plus(spark, sf):
+    """A set of named fields."""
+    return part_map(spark, sf, MapExpression("p_partkey + p_name = received:"))
+
+
 # --- counters --------------------------------------------------------------------------
 
 

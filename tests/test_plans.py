@@ -7,9 +7,11 @@ from millrace.operators.conditions import And, Const, Holds, Is, Not
 from millrace.operators.tasks import native_task, python_task
 from millrace.plans import mapping as m
 from millrace.plans.analyzer import analyze
-from millrace.plans.model import Compat, DefinitionError, ErrorRoute, Hint, MapExpression, MapField, Node, Pipe, ProcessDef, Route, StreamFormat, Task, Terminal
+from millrace.plans.model import Compat, DefinitionError, ErrorRoute, Hint, MapExpression, MapField, Network, Node, Pipe, ProcessDef, Route, StreamFormat, Task, Terminal
 from millrace.plans.nodeset import evaluate
 from millrace.plans.planner import plan
+from millrace.plans.xmlconfig import load
+from millrace.sources.files import read_jdbc
 
 SETS = {"@all": ["s", "a", "b", "a-b", "p", "k"], "@sources": ["s", "p"], "@sinks": ["k"], "@nodes": ["a", "b", "a-b"], "@pipes": ["p"]}
 
@@ -26,6 +28,12 @@ def _register():  # a nested function travels to the workers by value
             raise RuntimeError("bang")
         return {"x": s + "!", "ok": s != "bad"}
 
+    @python_task("t_half", {"half": "int"})
+    def t_half(params, n):
+        if n % 2:
+            raise ValueError("odd")
+        return n // 2
+
 
 _register()
 
@@ -136,3 +144,90 @@ def test_no_shuffle_in_a_network(spark):
 
     text = suite.route_fallthrough(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "event_type" in text
+
+
+def shouted(**more):
+    """A node that holds a network with one node."""
+    inner = Node("up", {"s": "String"}, {"t": "String"}, (Task("t_upper", ("s",), (("value", "t"),)),))
+    given = {"inputs": {"in": (MapField("word", "s"),)}, "outputs": {"out": (MapField("t", "loud"),)}, "routes": (Route("in", "up"), Route("up", "out", (MapExpression("t = created:"),))), "nodes": (inner,)} | more
+    node = Node("n", {"word": "String"}, {"loud": "String", "size": "Integer"}, (Network(**given),))
+    return ProcessDef("p", (Terminal("a", StreamFormat(("word",))),), (Terminal("z"),), (Route("a", "n"), Route("n", "z", (MapExpression("word = received:, loud = created:"),))), (node,))
+
+
+def test_embedded_network(spark):
+    lines = spark.createDataFrame([("ab",), ("",), (None,), ("ab",)], "word string")
+    got = plan(shouted(), {"a": lines})
+    assert sorted(got.sinks["z"].collect(), key=str) == sorted([("ab", "AB"), ("", ""), (None, None), ("ab", "AB")], key=str)
+    assert "Exchange" not in got.sinks["z"]._jdf.queryExecution().toString()
+    twice = shouted(inputs={"in": (MapField("word", "s"),), "also": ()}, routes=(Route("in", "up"), Route("up", "out", (MapExpression("t = created:"),)), Route("also", "out", (MapExpression("t = {word}"),))))
+    assert sorted(r.loud for r in plan(twice, {"a": lines.limit(1)}).sinks["z"].collect()) == ["AB", "ab"]
+
+
+@pytest.mark.parametrize(
+    "more",
+    [
+        {"inputs": {"in": (MapField("none", "s"),)}},
+        {"inputs": {"in": (MapExpression("s = {word}"),)}},
+        {"outputs": {"out": (MapField("none", "loud"),)}},
+        {"outputs": {"out": (MapField("t", "none"),)}},
+        {"outputs": {"out": (MapField("t", "size"),)}},
+        {"outputs": {"out": (MapField("t", "loud"),), "unled": ()}},
+        {"routes": (Route("in", "up"), Route("up", "in"))},
+    ],
+)
+def test_bad_embedded_networks(more):
+    with pytest.raises(DefinitionError):
+        analyze(shouted(**more))
+
+
+def test_exceptions_pass_an_embedded_network(spark):
+    half = Task("t_half", ("k",), (("half", "half"),))
+    inner = Network({"in": ()}, {"out": (MapField("k", "same"),)}, (Route("in", "out"),))
+    node = Node("n", {"k": "Integer"}, {"half": "Integer", "same": "Integer"}, (half, inner))
+    keep = (MapExpression("* = received:, * = created:"),)
+    p = ProcessDef("p", (Terminal("a", StreamFormat(("k",)), (Hint("k", "string2int"),)),), (Terminal("y"), Terminal("z")), (Route("a", "n"), Route("n", "z", keep), Route("n", "y", (MapExpression("k = received:, same = java.lang.String {string(same)}"),), Is("error:task-exception"))), (node,))
+    got = plan(p, {"a": spark.createDataFrame([("4",), ("3",)], "k string")})
+    assert [tuple(r) for r in got.sinks["z"].collect()] == [("4", "2", "4")] and [tuple(r) for r in got.sinks["y"].collect()] == [("3", None)]
+
+
+EMBEDDED = """
+<d><network name="shout"><io><inputRef>in</inputRef><outputRef>out</outputRef></io>
+  <node name="up"><receivedFields><column name="s"/></receivedFields><createdFields><column name="t"/></createdFields>
+    <tasks><call><class>t_upper</class><input field="s"/><output variable="value" field="t"/></call></tasks></node>
+  <route><source>in</source><destination>up</destination></route>
+  <route><source>up</source><destination>out</destination><mapExpression expression="t = created:"/></route></network>
+<process name="p"><terminals><input name="a"><datasource><format><streamFormat><fields><column name="word"/></fields></streamFormat></format></datasource></input><output name="z"/></terminals>
+<network><io><inputRef>a</inputRef><outputRef>z</outputRef></io>
+  <node name="n"><receivedFields><column name="word"/></receivedFields><createdFields><column name="loud"/></createdFields>
+    <tasks><network><processingNetworkRef>REF</processingNetworkRef>
+      <inputRecordMapping recordName="in"><mapField source="word" destination="s"/></inputRecordMapping>
+      <outputRecordMapping recordName="out"><mapField source="t" destination="loud"/></outputRecordMapping></network></tasks></node>
+  <route><source>a</source><destination>n</destination></route><route><source>n</source><destination>z</destination></route></network></process></d>"""
+
+
+def test_embedded_network_from_xml(spark):
+    p = load(EMBEDDED.replace("REF", "shout"))["p"]
+    assert [tuple(r) for r in plan(p, {"a": spark.createDataFrame([("ab",)], "word string")}).sinks["z"].collect()] == [("ab", "AB")]
+    with pytest.raises(DefinitionError):
+        load(EMBEDDED.replace("REF", "none"))
+    with pytest.raises(DefinitionError):
+        load(EMBEDDED.replace("REF", "shout").replace('recordName="out"', 'recordName="end"'))
+    itself = "<network><processingNetworkRef>shout</processingNetworkRef><inputRecordMapping recordName='in'/><outputRecordMapping recordName='out'/></network>"
+    with pytest.raises(DefinitionError):
+        load(EMBEDDED.replace("REF", "shout").replace("<tasks><call>", f"<tasks>{itself}<call>"))
+
+
+def test_jdbc_reader(spark, tmp_path):
+    """An embedded database in this process stands for a server."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = "jdbc:derby:memory:millrace;create=true"
+    rows = spark.createDataFrame([(i, f"n{i}", None if i == 2 else i / 2) for i in range(6)], "K int, NAME string, X double")
+    rows.coalesce(1).write.format("jdbc").options(url=url, dbtable="t").mode("overwrite").save()
+    got = read_jdbc(spark, url, "SELECT k, name, x FROM t WHERE k > 1", 3, types={"k": 4, "name": 12, "x": 8})
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [("2", "n2", None), ("3", "n3", "1.5"), ("4", "n4", "2.0"), ("5", "n5", "2.5")]
+    assert set(got.dtypes) == {(c, "string") for c in got.columns}
+    parts = read_jdbc(spark, url, "SELECT k, name FROM t", 2, partitionColumn="K", lowerBound=0, upperBound=6, numPartitions=3)
+    assert parts.rdd.getNumPartitions() == 3 and parts.count() == 6
+    for columns, types in ((2, None), (3, {"k": 12, "name": 12, "x": 12})):
+        with pytest.raises(DefinitionError):
+            read_jdbc(spark, url, "SELECT k, name, x FROM t", columns, types=types)
