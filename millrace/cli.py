@@ -9,6 +9,7 @@ import logging
 import os
 import sys
 import time
+import xml.etree.ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from millrace.operators.enrich import CACHE
 from millrace.operators.keyset import encode
 from millrace.plans.model import DefinitionError
 from millrace.plans.planner import plan
-from millrace.plans.xmlconfig import load
+from millrace.plans.xmlconfig import exports, load
 from millrace.sources.files import read_lines, write_lines
 from millrace.sources.store import Store
 
@@ -44,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--lookup", action="append", default=[], metavar="SINK.COLUMN", help="replace a sink's column by ids and write its lookup table")
     p.add_argument("--resolve", action="append", default=[], metavar="SINK.COLUMN", help="add hostname, of a sink's column of addresses")
     p.add_argument("--tasks", action="append", default=[], help="Python modules that register tasks")
+    p.add_argument("--exports", action="append", default=[], metavar="FILE.xml", help="lists of Python modules and classes that register tasks, conversions and predicates")
     p.add_argument("--input", action="append", default=[], metavar="NAME=FILE", help="a file for the input of that name; may be repeated")
     p.add_argument("--report", action="store_true", help="count records while they are written; print a report and write meta.xml")
     p.add_argument("files", nargs="*", help="input files, for the process's one input")
@@ -80,8 +82,14 @@ def split_columns(spark: SparkSession, a: argparse.Namespace, sinks: dict[str, D
 
 def main(argv: list[str] | None = None) -> int:
     a, began = parser().parse_args(argv), time.time()
-    for module in a.tasks:
-        importlib.import_module(module)
+    try:
+        for module in a.tasks:
+            importlib.import_module(module)
+        for path in a.exports:
+            exports(path)
+    except (OSError, ImportError, DefinitionError, ET.ParseError) as e:
+        log.error("exports: %s", e)
+        return 2
     if not a.process_definitions:
         log.error("no definitions: give --process_definitions or set MILLRACE_DEFINITIONS")
         return 2

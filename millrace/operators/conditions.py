@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.operators.predicates import PREDICATES
+from millrace.operators.predicates import holds
 from millrace.plans.model import DELIVERED, EVENTS, META_OK, DefinitionError
 
 
@@ -66,9 +66,7 @@ def build(condition, delivered: Column, lookup) -> Column:
                 raise DefinitionError(f"no event {c.event!r}")
             return delivered if event == DELIVERED else F.array_contains("events", event)
         if isinstance(c, Holds):
-            if c.predicate not in PREDICATES:
-                raise DefinitionError(f"no predicate {c.predicate!r}")
-            return PREDICATES[c.predicate](lookup(c.value) if c.value else F.lit(None).cast("string"), c.parameters)
+            return holds(c.predicate, lookup(c.value) if c.value else F.lit(None).cast("string"), c.parameters)
         if isinstance(c, Const):
             return F.lit(c.value)
         if isinstance(c, Not):

@@ -1,4 +1,9 @@
-"""Predicates over one string value; a null value never holds, save for `true`."""
+"""Predicates over one string value; a null value never holds, save for `true`.
+
+A predicate is a function of a Column and its parameters, or a class: made without
+arguments, it is told its parameters (setParameters), may refuse them (init gives
+False), answers with isEvent(Column), and is closed. All but isEvent may be missing.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.plans.model import DefinitionError
+
 Predicate = Callable[[Column, dict], Column]
 PREDICATES: dict[str, Predicate] = {}
 
@@ -19,6 +26,23 @@ def predicate(name: str):
     return add
 
 
+def holds(name: str, v: Column, params: dict) -> Column:
+    """The named predicate over a value."""
+    if name not in PREDICATES:
+        raise DefinitionError(f"no predicate {name!r}")
+    found = PREDICATES[name]
+    if not isinstance(found, type):
+        return found(v, params)
+    made, step = found(), lambda method, *args: getattr(made, method, lambda *_: None)(*args)
+    step("setParameters", params)
+    if step("init") is False:
+        raise DefinitionError(f"predicate {name} refuses {params}")
+    try:
+        return F.coalesce(made.isEvent(v), F.lit(False))
+    finally:
+        step("close")
+
+
 def as_int(v: Column) -> Column:
     """An optional sign and digits that fit an int; null for anything else, blanks included."""
     s = v.cast("string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 # Events a record can carry.
@@ -185,6 +186,31 @@ TYPES = {
 }
 
 
+#: Names of collections (fixed values); their parts stand in angle brackets.
+LISTS = {"java.util.List", "java.util.ArrayList", "java.util.Set", "java.util.Collection", "List", "Set"}
+MAPS = {"java.util.Map", "java.util.HashMap", "Map"}
+
+
 def spark_type(name: str) -> str:
-    """A definition's type name as a Spark type; Spark's own names pass."""
-    return TYPES.get(name.strip(), name.strip())
+    """A definition's type name as a Spark type: `x[]` and lists are arrays, a wildcard
+    is its bound, or else a string; Spark's own names pass."""
+    name = name.strip()
+    if name.endswith("[]"):
+        return f"array<{spark_type(name[:-2])}>"
+    if name.startswith("?"):
+        return spark_type(re.sub(r"\A\?\s*(?:extends|super)?\s*", "", name) or "string")
+    outer, _, rest = name.partition("<")
+    if rest and outer.strip() in LISTS | MAPS:
+        if not rest.endswith(">"):
+            raise DefinitionError(f"type {name!r}: a bracket is open")
+        parts, depth = [""], 0
+        for c in rest[:-1]:
+            depth += (c == "<") - (c == ">")
+            if c == "," and not depth:
+                parts.append("")
+            else:
+                parts[-1] += c
+        if len(parts) != (2 if outer.strip() in MAPS else 1):
+            raise DefinitionError(f"type {name!r} has {len(parts)} parts")
+        return f"{'map' if outer.strip() in MAPS else 'array'}<{','.join(map(spark_type, parts))}>"
+    return TYPES.get(name, name)

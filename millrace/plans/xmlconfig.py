@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pkgutil
 import xml.etree.ElementTree as ET
 
 from millrace.operators.conditions import And, Const, Holds, Is, Not, Or, Xor
@@ -167,6 +168,17 @@ def process(e: ET.Element, shared: dict[str, ET.Element], nets: dict[str, ET.Ele
     return ProcessDef(e.get("name"), tuple(inputs[n] for n in used("inputRef")), tuple(outputs[n] for n in used("outputRef")), *inside(network, nets))
 
 
+def exports(path: str) -> None:
+    """Imports a descriptor's classes (or whole modules); whatever they register can be named in definitions."""
+    for e in ET.parse(path).getroot().iter():
+        if tag(e) == "class":
+            name = (e.text or "").strip()
+            try:
+                pkgutil.resolve_name(name)
+            except (ValueError, ImportError, AttributeError) as fault:
+                raise DefinitionError(f"{path}: no {name!r}: {fault}") from fault
+
+
 def load(xml: str) -> dict[str, ProcessDef]:
     """All processes of a definitions document, by name."""
     every = list(ET.fromstring(xml).iter())

@@ -149,13 +149,27 @@ def test_monitor_report(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    import time
+
     from millrace.streaming.run import start
+    from millrace.streaming.samples import Samples
 
     (tmp_path / "in").mkdir()
     for i, x in enumerate(LINES):
         (tmp_path / "in" / f"{i}.txt").write_text(x + "\n")
-    for q in start(spark, load(XML)["two"], {"log": str(tmp_path / "in")}, str(tmp_path / "out"), str(tmp_path / "ck"), max_files=2):
+    samples = Samples(most=2)
+    spark.streams.addListener(samples)
+    queries = start(spark, load(XML)["two"], {"log": str(tmp_path / "in")}, str(tmp_path / "out"), str(tmp_path / "ck"), max_files=2)
+    for q in queries:
         q.awaitTermination(60)
+    for _ in range(100):  # the listener hears of batches a little later
+        if all(samples.taken.get(str(q.runId)) for q in queries):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(samples)
+    for q in queries:
+        taken = samples.taken[str(q.runId)]
+        assert 1 <= len(taken) <= 2 and all(x.size > 0 and x.head and x.date for x in taken)
     got = sorted(r.value for r in spark.read.text(str(tmp_path / "out" / "fact")).collect())
     assert got == sorted(r.value for r in files.lines_of(run(spark).sinks["fact"]).collect())
 
@@ -168,6 +182,17 @@ def test_command_line(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "o" / "fact")).count() == 6 and spark.read.json(str(tmp_path / "o" / "log.discarded")).count() == 1
 
 
+def test_command_line_exports(spark, tmp_path):
+    (tmp_path / "p.xml").write_text(XML)
+    (tmp_path / "in.txt").write_text("\n".join(LINES))
+    for name, classes in (("good", "millrace.suite.Halver"), ("bad", "millrace.nothing.Here"), ("none", "nowhere.Here")):
+        (tmp_path / f"{name}.xml").write_text(f"<exports><class>{classes}</class></exports>")
+    args = ["--process", "two", "--process_definitions", str(tmp_path / "p.xml"), "--output", str(tmp_path / "o"), str(tmp_path / "in.txt")]
+    assert cli.main(["--exports", str(tmp_path / "good.xml"), *args]) == 0 and cli.main(["--exports", str(tmp_path / "none.xml"), *args]) == 2
+    assert cli.main(["--exports", str(tmp_path / "bad.xml"), *args]) == 2
+    assert cli.main(["--exports", str(tmp_path / "missing.xml"), *args]) == 2
+
+
 def test_command_line_options(spark, tmp_path, capsys):
     import json
 

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.conditions import And, Const, Holds, Is, Not
+from millrace.operators.predicates import predicate
 from millrace.operators.tasks import native_task, python_task
 from millrace.plans import mapping as m
 from millrace.plans.analyzer import analyze
-from millrace.plans.model import Compat, DefinitionError, ErrorRoute, Hint, MapExpression, MapField, Network, Node, Pipe, ProcessDef, Route, StreamFormat, Task, Terminal
+from millrace.plans.model import Compat, DefinitionError, ErrorRoute, Hint, MapExpression, MapField, Network, Node, Pipe, ProcessDef, Route, StreamFormat, Task, Terminal, spark_type
 from millrace.plans.nodeset import evaluate
 from millrace.plans.planner import plan
 from millrace.plans.xmlconfig import load
@@ -231,3 +232,44 @@ def test_jdbc_reader(spark, tmp_path):
     for columns, types in ((2, None), (3, {"k": 12, "name": 12, "x": 12})):
         with pytest.raises(DefinitionError):
             read_jdbc(spark, url, "SELECT k, name, x FROM t", columns, types=types)
+
+
+@pytest.mark.parametrize(
+    "name,want",
+    [
+        ("java.lang.Integer", "int"), (" Date ", "timestamp"), ("java.lang.String[]", "array<string>"), ("int[][]", "array<array<int>>"), ("java.util.List<java.lang.Long>", "array<bigint>"),
+        ("java.util.Map<String, java.util.List<Double>>", "map<string,array<double>>"), ("List<?>", "array<string>"), ("List<? extends java.lang.Integer>", "array<int>"), ("decimal(9,2)", "decimal(9,2)"), ("struct<a:int>", "struct<a:int>"),
+    ],
+)
+def test_type_names(name, want):
+    assert spark_type(name) == want
+
+
+def test_bad_type_names():
+    for name in ("List<int", "List<int,int>", "Map<int>"):
+        with pytest.raises(DefinitionError):
+            spark_type(name)
+
+
+def test_predicate_classes(spark):
+    seen = []
+
+    @predicate("t_longer")
+    class Longer:
+        def setParameters(self, params):
+            self.least = int(params["least"])
+
+        def init(self):
+            return self.least >= 0
+
+        def isEvent(self, value):
+            return F.length(value) > self.least
+
+        def close(self):
+            seen.append(self.least)
+
+    df = data(spark, ("abc", "x"), ("a", "y"), (None, "z"))
+    p = lambda least: small(Route("in", "out", (), Holds("t_longer", "a", {"least": least})))
+    assert rows(plan(p("2"), {"in": df}).sinks["out"]) == [("abc", "x")] and seen == [2]
+    with pytest.raises(DefinitionError):
+        plan(p("-1"), {"in": df})
