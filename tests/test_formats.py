@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace import cli
+from millrace import cli, suite  # noqa: F401  the suite registers tasks
 from millrace.monitor import Monitor, report
 from millrace.plans.model import ColumnFormat, DefinitionError, StreamFormat
 from millrace.plans.planner import plan
