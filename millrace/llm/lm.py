@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from millrace.llm import ctw_core as ctw
 from millrace.llm.common import stored, worker_turn
 
-DEPTH, TOP = 7, 3
+DEPTH, TOP = 6, 3
 #: Coded bytes of a group, of a stored row of documents, and of a counted chunk.
 GROUP_BYTES, ROW_BYTES, CHUNK_BYTES = 32_000_000, 1_000_000, 2_000_000
 #: Coded bytes that a bucket is meant for, and the fewest and most buckets.
