@@ -72,6 +72,48 @@ def test_word_ids_survive_a_tokenizer_without_piece_ends():
     assert got == w.tok.encode("some plain words, and more", add_special_tokens=False).ids + [2]
 
 
+def test_word_ids_take_objects_for_distinct_words_only():
+    import tracemalloc
+
+    w, text = packing.WordIds(TOK), " ".join(f"w{chr(97 + k % 20)}{chr(97 + k % 13)}," for k in range(600_000))
+    tracemalloc.start()
+    got = w([text], b"\x02\x00")[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24_000_000, peak  # with an object for each word 87 MB
+    assert np.frombuffer(got[-2002:], "<u2").tolist()[-9:] == w.tok.encode(text[-20:], add_special_tokens=False).ids[-8:] + [2]
+
+
+def test_word_ids_encode_a_word_once_whatever_marks_follow():
+    class Counted:
+        def __init__(self, tok):
+            self.tok, self.pieces = tok, 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.pieces += sum(len(t.split("\n")) for t in texts)
+            return self.tok.encode_batch_fast(texts, **kw)
+
+    w = packing.WordIds(TOK, cache_words=100)
+    stems = [f"{chr(97 + k % 8)}on{chr(97 + k // 8)}" for k in range(80)]
+    w([" ".join(stems)], b"\x02\x00")
+    w.bare = Counted(w.bare)
+    text = ", ".join(stems)
+    assert np.frombuffer(w([text], b"\x02\x00")[0], "<u2").tolist() == w.tok.encode(text, add_special_tokens=False).ids + [2]
+    assert w.bare.pieces == 1  # the comma
+
+
+def test_word_ids_of_some_texts_at_a_time(monkeypatch):
+    import random
+
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 60)
+    w, r, ends = packing.WordIds(TOK, cache_words=30), random.Random(2), [".", ",|", "'.", "-!", "\u00e9;", "\u00d7.", "9#", "\u0301.", "<|endoftext|>.", "<|endoftext|", "'s?", "\u4e2d*"]
+    texts = [" " * r.randrange(3) + " ".join(r.choice(["", "a", "Ab", "\u00c9t\u00e9", "1", "'"]) + r.choice(ends) for _ in range(r.randrange(40))) for _ in range(300)]
+    got = w([None, "", *texts], b"\x02\x00")
+    assert got[:2] == [b"\x02\x00"] * 2
+    for t, ids in zip(texts, got[2:], strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == w.tok.encode(t, add_special_tokens=False).ids + [2], repr(t)
+
+
 def test_pack_odd_rows(odd, nothing):
     got = packing.pack(odd, TOK).collect()
     assert sum(p.length for p in got if p.start == 0 and p.doc_tokens == 1) == 5  # null, empty and blank texts: the end alone
