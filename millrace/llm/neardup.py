@@ -44,6 +44,8 @@ BANDS, ROWS, THRESHOLD = 50, 8, 0.8
 CHUNK_CHARS, CHUNK_DOCS = 400_000, 500
 #: Texts that a scan task remembers; beyond that it hashes a text again.
 SEEN = 1_000_000
+#: Processes of points that are walked at once, and points that a step makes of them.
+SLICE, POINTS = 65_536, 8192
 #: Documents in a block of a hub's documents, and components of the estimates inside.
 BLOCK, SKETCH = 1000, 200
 
@@ -53,44 +55,71 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> U(20)).astype(np.float64) + 0.5) * 2.0**-44
 
 
+def rise(part: list[np.ndarray], until: np.ndarray, m: int, sig: np.ndarray) -> None:
+    """Lowers sig by the points of a part up to their bag's time; state and time of each process move to its last such point.
+
+    Processes are walked side by side, the fewer are left the more points of each at once."""
+    doc, count, width, state, time = part
+    wide = bool((width > 1).any())
+    for first in range(0, len(doc), SLICE):
+        at = np.arange(first, min(first + SLICE, len(doc)))
+        own, s, t, end = doc[at] * m, state[at], time[at], until[doc[at]]
+        while n := len(at):
+            k = max(1, POINTS // n)
+            # point j of a process: 44 bits of its hash give the time since point j - 1, 20 its component
+            x = mix(s[:, None] + np.arange(1, k + 1, dtype=np.uint64) * STEPS[0])
+            when = -np.log(unit(x))
+            if wide:
+                when /= width[at, None]
+            when[:, 0] += t
+            if k > 1:
+                np.add.accumulate(when, axis=1, out=when)
+            on = when <= end[:, None]
+            f = np.flatnonzero(on)
+            x, hit, of = x.ravel()[f], when.ravel()[f], f // k if k > 1 else f
+            place = own[of] + ((x & U(0xFFFFF)) * U(m) >> U(20)).astype(np.int64)
+            if wide:
+                w, c = width[at[of]], count[at[of]]
+                # of (w, 2w], or of (0, 1] where every count fits
+                fit = (w == 1) | (w + 1 + (mix(x ^ STEPS[2]) & (w - 1).astype(np.uint64)).astype(np.int64) <= c)
+                place, hit = place[fit], hit[fit]
+            np.minimum.at(sig, place, hit)
+            over, go = np.flatnonzero(~on[:, -1]), np.flatnonzero(on[:, -1])
+            n_on = on[over].sum(1) if k > 1 else np.zeros(len(over), dtype=np.int64)
+            state[at[over]] = s[over] + n_on.astype(np.uint64) * STEPS[0]
+            time[at[over]] = np.where(n_on > 0, when[over, n_on - 1], t[over])
+            at, own, s, t, end = at[go], own[go], s[go] + np.array([k], dtype=np.uint64) * STEPS[0], when[go, -1], end[go]
+
+
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     """bags x m earliest point times; a bag without elements has infinities."""
-    out = np.full((len(bags), m), np.inf)
+    sig = np.full((len(bags), m), np.inf)
     todo = np.array([i for i, (h, _) in enumerate(bags) if len(h)], dtype=np.int64)
-    stretch = 1.0
-    while len(todo):
-        own = [bags[i] for i in todo]
-        doc = np.repeat(np.arange(len(own)), [len(h) for h, _ in own])
-        h, c = np.concatenate([h for h, _ in own]), np.concatenate([n for _, n in own])
-        weight = np.bincount(doc, weights=c)
-        until = stretch * m * (np.log(m) + 3.0) / weight
-        sig = np.full(len(own) * m, np.inf)
-        level = 0
-        while len(h):  # dyadic intervals: (0, 1], (1, 2], (2, 4], ...
-            low, width = (0, 1) if level == 0 else (1 << (level - 1), 1 << (level - 1))
-            state = mix(h + U(level * int(STEPS[1]) & 0xFFFFFFFFFFFFFFFF))
-            d, t, cc = doc, np.zeros(len(h)), c
-            while len(d):
-                # the next point: 44 bits of the hash give its time, 20 its component
-                state = mix(state + STEPS[0])
-                t = t - np.log(unit(state)) / width
-                on = np.flatnonzero(t <= until[d])
-                d, t, state = d[on], t[on], state[on]
-                at = d * m + ((state & U(0xFFFFF)) * U(m) >> U(20)).astype(np.int64)
-                if width > 1:
-                    cc = cc[on]
-                    fit = low + 1 + (mix(state ^ STEPS[2]) % U(width)).astype(np.int64) <= cc
-                    np.minimum.at(sig, at[fit], t[fit])
-                else:
-                    np.minimum.at(sig, at, t)
-            level += 1
-            more = c > (1 << (level - 1))
-            h, c, doc = h[more], c[more], doc[more]
-        sig = sig.reshape(len(own), m)
-        full = np.isfinite(sig).all(1)
-        out[todo[full]] = sig[full]
-        todo, stretch = todo[~full], stretch * 2
-    return out
+    if not len(todo):
+        return sig
+    doc = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
+    h, c = np.concatenate([h for h, _ in bags]), np.concatenate([n for _, n in bags])
+    pace = m / np.maximum(np.bincount(doc, weights=c, minlength=len(bags)), 1)
+    levels = []
+    while len(h):  # dyadic intervals: (0, 1], (1, 2], (2, 4], ...
+        level = len(levels)
+        state = mix(h + U(level * int(STEPS[1]) & 0xFFFFFFFFFFFFFFFF))
+        levels.append([doc, c, np.full(len(h), 1 << max(level - 1, 0)), state, np.zeros(len(h))])
+        more = c > 1 << level
+        h, c, doc = h[more], c[more], doc[more]
+    parts = [levels[0]] + ([[np.concatenate(v) for v in zip(*levels[1:])]] if levels[1:] else [])
+    reach = np.log(m) + 1.0
+    while True:
+        for part in parts:
+            rise(part, reach * pace, m, sig.reshape(-1))
+        todo = todo[~np.isfinite(sig[todo]).all(1)]
+        if not len(todo):
+            return sig
+        short = np.zeros(len(bags), dtype=bool)
+        short[todo] = True
+        left = [np.flatnonzero(short[part[0]]) for part in parts]
+        parts = [[v[i] for v in part] for i, part in zip(left, parts)]
+        reach += 1.0
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:

@@ -358,6 +358,46 @@ def test_bagminhash_is_unbiased_on_bags():
     assert abs(np.mean(err)) < 0.01 and np.std(err) < 0.03 and np.isfinite(sig).all()
 
 
+def test_bagminhash_takes_few_steps_for_small_bags_and_high_counts(monkeypatch):
+    steps, mix = [], neardup.mix
+    monkeypatch.setattr(neardup, "mix", lambda x: steps.append(len(x)) or mix(x))
+    bags = shingling.shingles(["one", "two words", "again " * 20_000, "", " ".join(f"w{i}" for i in range(300))])
+    sig = neardup.signatures(bags, 400)
+    assert len(steps) < 400 and np.isfinite(sig[[0, 1, 2, 4]]).all() and np.isinf(sig[3]).all()
+    assert all(np.array_equal(sig[[i]], neardup.signatures([b], 400)) for i, b in enumerate(bags))
+
+
+def plain_signature(bag, m):
+    """Every point of every process, one at a time, until long after all components have one."""
+    sig, steps = [np.inf] * m, [int(x) for x in shingling.STEPS]
+    mix = lambda x: int(shingling.mix(np.array([x % 2**64], dtype=np.uint64))[0])
+    until = m * (np.log(m) + 6) / int(bag[1].sum())
+    for h, c in zip(bag[0].tolist(), bag[1].tolist()):
+        for level in range(c.bit_length() + 1):
+            low, width = (0, 1) if level == 0 else (1 << (level - 1), 1 << (level - 1))
+            if c <= low:
+                break
+            state, t, j = mix(h + level * steps[1]), 0.0, 1
+            while True:
+                x = mix(state + j * steps[0])
+                t += -np.log(((x >> 20) + 0.5) * 2.0**-44) / width
+                if t > until:
+                    break
+                if low + 1 + mix(x ^ steps[2]) % width <= c:
+                    at = (x & 0xFFFFF) * m >> 20
+                    sig[at] = min(sig[at], t)
+                j += 1
+    return sig
+
+
+@pytest.mark.parametrize("size, points", [(65_536, 8192), (3, 8)])
+def test_bagminhash_equals_a_plain_loop(monkeypatch, size, points):
+    monkeypatch.setattr(neardup, "SLICE", size, raising=False)
+    monkeypatch.setattr(neardup, "POINTS", points, raising=False)
+    bags = shingling.shingles(["one", "a b c d e f g", "again " * 900, "a b c d e f " * 30, " ".join(f"w{i % 37}" for i in range(200))])
+    assert np.allclose(neardup.signatures(bags, 32), [plain_signature(b, 32) for b in bags], rtol=1e-9)
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(25)]
